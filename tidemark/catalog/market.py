@@ -27,7 +27,7 @@ def daily_bars(spark, sf):
 SELECT symbol, date, round(close, 4) AS close FROM bars
 WHERE date >= (SELECT max(date) FROM bars) - INTERVAL 400 DAY"""))
 def bars_since(spark, sf):
-    bars = standin.bars(spark, sf)
+    bars = standin.bar_table(spark, sf)
     newest = standin.table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("newest"))
     # One row: the newest day.
     dated = bars.crossJoin(F.broadcast(newest))
@@ -47,7 +47,7 @@ SELECT symbol, count(*) AS bars, max(date) AS last_day
 FROM bars WHERE NOT (date = DATE '2001-10-15' AND pos = n_bars - 1) AND date <= DATE '2001-10-15' GROUP BY symbol"""))
 def completed_bars(spark, sf):
     # 06:00 UTC is 11:30 local, so that day's bar is still forming.
-    day = standin.bars(spark, sf).where(F.col("date") <= F.lit("2001-10-15").cast("date"))
+    day = standin.bar_table(spark, sf).where(F.col("date") <= F.lit("2001-10-15").cast("date"))
     done = bar_ops.completed(day, F.lit("2001-10-15 06:00:00").cast("timestamp"), "15:30")
     return done.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max("date").alias("last_day"))
 
@@ -59,7 +59,7 @@ SELECT symbol, pos, round((close / lag(close, 1) OVER w - 1) * 100, 6) AS ret_1d
        round((close / lag(close, 60) OVER w - 1) * 100, 6) AS ret_60d
 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY pos)"""))
 def ind_returns(spark, sf):
-    out = indicators.returns(standin.bars(spark, sf))
+    out = indicators.returns(standin.bar_table(spark, sf))
     names = ["ret_1d", "ret_5d", "ret_20d", "ret_60d"]
     return rounded(out, 6, *names).select("symbol", "pos", *names)
 
@@ -72,7 +72,7 @@ SELECT symbol, pos,
 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY pos)"""))
 def ind_sma(spark, sf):
     names = ["dist_sma20", "dist_sma50", "dist_sma200"]
-    return rounded(indicators.average_distance(standin.bars(spark, sf)), 6, *names).select("symbol", "pos", *names)
+    return rounded(indicators.average_distance(standin.bar_table(spark, sf)), 6, *names).select("symbol", "pos", *names)
 
 
 @query("ind_atr", "W4", with_views("bars", """
@@ -80,7 +80,7 @@ SELECT symbol, pos, CASE WHEN pos >= 13 THEN round(avg(tr) OVER (PARTITION BY sy
 FROM (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr
       FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY pos))"""))
 def ind_atr(spark, sf):
-    return rounded(indicators.atr(standin.bars(spark, sf)), 6, "atr_pct").select("symbol", "pos", "atr_pct")
+    return rounded(indicators.atr(standin.bar_table(spark, sf)), 6, "atr_pct").select("symbol", "pos", "atr_pct")
 
 
 @query("ind_volume", "W5 W7 W21", with_views("bars", """
@@ -90,7 +90,7 @@ SELECT symbol, pos,
        true AS volume_known
 FROM bars"""))
 def ind_volume(spark, sf):
-    out = indicators.volume(standin.bars(spark, sf))
+    out = indicators.volume(standin.bar_table(spark, sf))
     return rounded(out, 6, "vol_ratio", "log_turnover").select("symbol", "pos", "vol_ratio", "log_turnover", "volume_known")
 
 
@@ -98,7 +98,7 @@ def ind_volume(spark, sf):
 SELECT symbol, pos, CASE WHEN pos >= 119 THEN round((close / max(high) OVER (PARTITION BY symbol ORDER BY pos ROWS 251 PRECEDING) - 1) * 100, 6) END AS dist_52w_high
 FROM bars"""))
 def ind_high52(spark, sf):
-    out = indicators.high_distance(standin.bars(spark, sf))
+    out = indicators.high_distance(standin.bar_table(spark, sf))
     return rounded(out, 6, "dist_52w_high").select("symbol", "pos", "dist_52w_high")
 
 
@@ -106,12 +106,12 @@ def ind_high52(spark, sf):
 SELECT symbol, pos, CASE WHEN pos >= 9 THEN CAST(sum(up) OVER (PARTITION BY symbol ORDER BY pos ROWS 9 PRECEDING) AS INTEGER) END AS up_days_10
 FROM (SELECT symbol, pos, CASE WHEN close > lag(close) OVER (PARTITION BY symbol ORDER BY pos) THEN 1 ELSE 0 END AS up FROM bars)"""))
 def ind_updays(spark, sf):
-    return indicators.up_days(standin.bars(spark, sf)).select("symbol", "pos", "up_days_10")
+    return indicators.up_days(standin.bar_table(spark, sf)).select("symbol", "pos", "up_days_10")
 
 
 @query("ema30", "W9 X2", with_views("bars lined", "SELECT symbol, pos, round(ema, 6) AS ema FROM lined"))
 def ema30(spark, sf):
-    return rounded(indicators.exit_line(standin.bars(spark, sf)), 6, "ema").select("symbol", "pos", "ema")
+    return rounded(indicators.exit_line(standin.bar_table(spark, sf)), 6, "ema").select("symbol", "pos", "ema")
 
 
 @query("rsi14", "W3 X2", with_views("moves steps14", """
@@ -128,7 +128,7 @@ FROM (SELECT m.symbol, m.pos, m.close, s.g, s.l FROM moves m LEFT JOIN steps14 s
         FROM steps14 s JOIN moves m ON m.symbol = s.symbol AND m.pos = s.pos + 1"""),
 }))
 def rsi14(spark, sf):
-    return rounded(indicators.rsi(standin.bars(spark, sf)), 6, "rsi14").select("symbol", "pos", "rsi14")
+    return rounded(indicators.rsi(standin.bar_table(spark, sf)), 6, "rsi14").select("symbol", "pos", "rsi14")
 
 
 @query("market_state", "J7 J8 J6", with_views("index_bars", """
@@ -142,7 +142,7 @@ ASOF LEFT JOIN (
     FROM index_bars WINDOW w AS (ORDER BY date)) a ON a.date <= d.date
 ASOF LEFT JOIN index_bars b ON b.date < d.date"""))
 def market_state(spark, sf):
-    index = asof.index_features(standin.index_bars(standin.bars(spark, sf)))
+    index = asof.index_features(standin.index_bars(standin.bar_table(spark, sf)))
     filled = asof.filled_calendar(index, ["close", "index_ret_20d", "index_dist_sma50"])
     names = ["index_ret_20d", "index_dist_sma50"]
     return rounded(filled, 6, *names).select("date", "close", "close_before", *names)
@@ -164,7 +164,7 @@ FROM marks WHERE date = (SELECT max(date) FROM marks)""", {
         FROM index_bars WINDOW w AS (ORDER BY date)"""),
 }))
 def pulse(spark, sf):
-    index = standin.index_bars(standin.bars(spark, sf)).withColumn("name", F.lit("index"))
+    index = standin.index_bars(standin.bar_table(spark, sf)).withColumn("name", F.lit("index"))
     return pulse_plan.index_pulse(index)
 
 
@@ -172,7 +172,7 @@ def pulse(spark, sf):
 SELECT date, level, CASE WHEN level < 13 THEN 'calm' WHEN level < 18 THEN 'normal' WHEN level < 25 THEN 'nervous' ELSE 'fearful' END AS mood
 FROM (SELECT date, abs(close - lag(close) OVER (ORDER BY date)) AS level FROM index_bars) WHERE level IS NOT NULL"""))
 def fear_bands(spark, sf):
-    index = standin.index_bars(standin.bars(spark, sf))
+    index = standin.index_bars(standin.bar_table(spark, sf))
     swing = F.abs(F.col("close") - F.lag("close").over(W.orderBy("date")))
     levels = index.select("date", swing.alias("level")).where(F.col("level").isNotNull())
     return levels.withColumn("mood", pulse_plan.mood(F.col("level")))
@@ -185,5 +185,5 @@ FROM (SELECT *, avg(close) OVER (PARTITION BY symbol ORDER BY pos ROWS 49 PRECED
         (SELECT * FROM bars WHERE date >= (SELECT max(date) FROM bars) - INTERVAL 710 DAY))
 WHERE pos = n_bars - 1 AND n >= 50 AND date >= (SELECT max(date) FROM bars) - INTERVAL 30 DAY"""))
 def breadth(spark, sf):
-    bars = standin.bars(spark, sf).withColumn("symbol", F.col("symbol").cast("string"))
+    bars = standin.bar_table(spark, sf).withColumn("symbol", F.col("symbol").cast("string"))
     return pulse_plan.breadth(bars, fresh_days=30, history_days=710)

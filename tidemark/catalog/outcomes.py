@@ -26,13 +26,13 @@ def sources_of(spark, sf):
 
 
 def closed(spark, sf):
-    bars = standin.bars(spark, sf)
+    bars = standin.bar_table(spark, sf)
     measured = indicators.filter_measures(bars)
     return outcomes.closed_trades(standin.signals(spark, sf), measured, RULES)
 
 
 def holds(spark, sf):
-    bars = standin.bars(spark, sf)
+    bars = standin.bar_table(spark, sf)
     calendar = asof.filled_calendar(standin.index_bars(bars), ["close"])
     return outcomes.hold_outcomes(standin.signals(spark, sf), bars, calendar, RULES)
 
@@ -96,7 +96,7 @@ SELECT h.scanner, h.symbol, h.hit_date,
 FROM hits2 h ASOF LEFT JOIN bars b ON b.symbol = h.symbol AND b.date <= h.hit_date""", HITS2))
 def snap_session(spark, sf):
     live = sources_of(spark, sf)[1].select("scanner", "symbol", "hit_date")
-    return asof.snap_to_session(live, standin.bars(spark, sf))
+    return asof.snap_to_session(live, standin.bar_table(spark, sf))
 
 
 @query("signal_bar", "E1 J1 J2 M6", with_views("located", """
@@ -108,7 +108,7 @@ FROM located"""))
 def signal_bar(spark, sf):
     from ..functions.numbers import candle_shape
 
-    at = sig.locate(standin.signals(spark, sf), standin.bars(spark, sf), RULES)
+    at = sig.locate(standin.signals(spark, sf), standin.bar_table(spark, sf), RULES)
     shape = candle_shape(F.col("trigger"), F.col("bar_low"), F.col("bar_close"))
     shape["close_pos_in_bar"] = F.when(F.col("trigger").isNotNull(), shape["close_pos_in_bar"])
     out = at.withColumns(shape)
@@ -126,7 +126,7 @@ FROM (SELECT *, coalesce(dist >= -near_high, true) AND coalesce(atr < atr_max, t
       FROM (SELECT l.*, round(m.dist, 2) AS dist, CASE WHEN m.pos >= 14 THEN round(m.atr, 2) END AS atr
             FROM located l JOIN measures m ON m.symbol = l.symbol AND m.pos = l.end_pos))"""))
 def entry_filter(spark, sf):
-    measured = indicators.filter_measures(standin.bars(spark, sf))
+    measured = indicators.filter_measures(standin.bar_table(spark, sf))
     at = sig.locate(standin.signals(spark, sf), measured, RULES, ["filter_dist", "filter_atr"])
     known = at.where(F.col("end_pos").isNotNull())
     args = (F.col("scanner"), F.col("filter_dist"), F.col("filter_atr"))
@@ -138,7 +138,7 @@ def entry_filter(spark, sf):
 @query("first_touch", "E2 E3 J4", with_views("touches", """
 SELECT scanner, symbol, hit_date, status, entry_pos, entry_date, round(entry, 4) AS entry, gap, sessions_left FROM touches"""))
 def first_touch(spark, sf):
-    at = sig.locate(standin.signals(spark, sf), standin.bars(spark, sf), RULES)
+    at = sig.locate(standin.signals(spark, sf), standin.bar_table(spark, sf), RULES)
     out = outcomes.first_touch(at, RULES)
     return rounded(out, 4, "entry").select(
         "scanner", "symbol", "hit_date", "status", "entry_pos", "entry_date", "entry", "gap", "sessions_left"
@@ -151,7 +151,7 @@ SELECT scanner, symbol, hit_date, result AS status, round(stop, 6) AS stop, roun
        CAST(printf('%.2f', (coalesce(exit, now) / entry - 1) * 100 - 0.25) AS DOUBLE) AS ret
 FROM results"""))
 def barrier_exit(spark, sf):
-    bars = standin.bars(spark, sf)
+    bars = standin.bar_table(spark, sf)
     at = outcomes.first_touch(sig.locate(standin.signals(spark, sf), bars, RULES), RULES)
     out = outcomes.barrier_exit(at, bars, RULES)
     return rounded(out, 6, "stop", "exit", "now", "ma").select(
@@ -173,7 +173,7 @@ SELECT scanner, symbol, hit_date, status,
        coalesce(bool_or(status = 'waiting') OVER (PARTITION BY scanner, symbol ORDER BY hit_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS duplicate
 FROM touches"""))
 def order_duplicates(spark, sf):
-    at = outcomes.first_touch(sig.locate(standin.signals(spark, sf), standin.bars(spark, sf), RULES), RULES)
+    at = outcomes.first_touch(sig.locate(standin.signals(spark, sf), standin.bar_table(spark, sf), RULES), RULES)
     return sig.mark_duplicates(at).select("scanner", "symbol", "hit_date", "status", "duplicate")
 
 
@@ -184,7 +184,7 @@ FROM (SELECT *, 5 * (d // 7) + least(d % 7, 4) + entry_window AS total,
              CASE tier WHEN 'Midcap' THEN 0 WHEN 'Largecap' THEN 1 WHEN 'Smallcap' THEN 2 ELSE 3 END AS priority
       FROM (SELECT *, date_diff('day', DATE '1970-01-05', signal_date) AS d FROM touches))"""))
 def order_deadlines(spark, sf):
-    at = sig.locate(standin.signals(spark, sf), standin.bars(spark, sf), RULES)
+    at = sig.locate(standin.signals(spark, sf), standin.bar_table(spark, sf), RULES)
     end = F.when(RULES.weekly(F.col("scanner")), dates.add_workdays(F.col("signal_date"), config.WEEKLY_WINDOW)).otherwise(
         dates.add_workdays(F.col("signal_date"), config.DAILY_WINDOW)
     )
@@ -227,32 +227,32 @@ SELECT scanner, count(*) FILTER (WHERE status = 'touched') AS bought, count(*) F
        count(*) FILTER (WHERE status = 'no bar') AS no_price_data, count(*) FILTER (WHERE status = 'waiting') AS pending
 FROM touches GROUP BY scanner"""))
 def status_counts(spark, sf):
-    at = outcomes.first_touch(sig.locate(standin.signals(spark, sf), standin.bars(spark, sf), RULES), RULES)
+    at = outcomes.first_touch(sig.locate(standin.signals(spark, sf), standin.bar_table(spark, sf), RULES), RULES)
     return summaries.status_counts(at)
 
 
 @query("horizon_stats", "A2 X5", with_views("holds", """
-SELECT scanner, horizon, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 7) AS up, round(avg(ret), 7) AS mean,
-       round(median(ret), 7) AS median, round(avg(best), 7) AS best, round(avg(worst), 7) AS worst,
-       round(avg(index_ret), 7) AS index_mean, round(avg(CASE WHEN ret > index_ret THEN 1.0 ELSE 0.0 END), 7) AS beat,
-       round(avg(ret - index_ret), 7) AS excess
+SELECT scanner, horizon, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 7) AS up, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret) / 100) AS mean,
+       round(median(ret), 7) AS median, (CAST(sum(CAST(round((best) * 100) AS BIGINT)) AS DOUBLE) / count(best) / 100) AS best, (CAST(sum(CAST(round((worst) * 100) AS BIGINT)) AS DOUBLE) / count(worst) / 100) AS worst,
+       (CAST(sum(CAST(round((index_ret) * 100) AS BIGINT)) AS DOUBLE) / count(index_ret) / 100) AS index_mean, round(avg(CASE WHEN ret > index_ret THEN 1.0 ELSE 0.0 END), 7) AS beat,
+       (CAST(sum(CAST(round((ret - index_ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret - index_ret) / 100) AS excess
 FROM holds WHERE horizon IS NOT NULL GROUP BY scanner, horizon""", HOLD_VIEWS))
 def horizon_stats(spark, sf):
     out = summaries.horizon_stats(holds(spark, sf))
-    return rounded(out, 7, "up", "mean", "median", "best", "worst", "index_mean", "beat", "excess")
+    return rounded(out, 7, "up", "median", "beat")
 
 
 @query("group_cells", "A3", with_views("holds", """
 SELECT scanner, horizon, dimension, coalesce(nullif(grp, ''), 'Unknown') AS grp, n, CASE WHEN n >= min_n THEN up END AS up,
        CASE WHEN n >= min_n THEN mean END AS mean, CASE WHEN n >= min_n THEN excess END AS excess
 FROM (SELECT scanner, horizon, dimension, grp, count(*) AS n, max(min_n) AS min_n,
-             round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 7) AS up, round(avg(ret), 7) AS mean, round(avg(ret - index_ret), 7) AS excess
+             round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 7) AS up, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret) / 100) AS mean, (CAST(sum(CAST(round((ret - index_ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret - index_ret) / 100) AS excess
       FROM (SELECT *, 'tier' AS dimension, tier AS grp, 10 AS min_n FROM holds
             UNION ALL SELECT *, 'year', CAST(year(entry_date) AS VARCHAR), 10 FROM holds
             UNION ALL SELECT *, 'sector', sector, 20 FROM holds)
       WHERE horizon IS NOT NULL GROUP BY ALL)""", HOLD_VIEWS))
 def group_cells(spark, sf):
-    return rounded(summaries.group_cells(holds(spark, sf)), 7, "up", "mean", "excess")
+    return rounded(summaries.group_cells(holds(spark, sf)), 7, "up")
 
 
 SUMMARY_VIEWS = HOLD_VIEWS | {
@@ -262,8 +262,8 @@ SUMMARY_VIEWS = HOLD_VIEWS | {
                      last(tier ORDER BY hit_date) FILTER (WHERE tier IS NOT NULL) AS tier,
                      last(sector ORDER BY hit_date) FILTER (WHERE sector IS NOT NULL) AS sector
               FROM touches WHERE status = 'touched' GROUP BY scanner, symbol) b
-        JOIN (SELECT scanner, symbol, avg(ret) FILTER (WHERE horizon = '1m') AS avg_1m, avg(ret) FILTER (WHERE horizon = '6m') AS avg_6m,
-                     avg(ret) FILTER (WHERE horizon = '1y') AS avg_1y,
+        JOIN (SELECT scanner, symbol, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '1m') AS DOUBLE) / count(ret) FILTER (WHERE horizon = '1m') / 100) AS avg_1m, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '6m') AS DOUBLE) / count(ret) FILTER (WHERE horizon = '6m') / 100) AS avg_6m,
+                     (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '1y') AS DOUBLE) / count(ret) FILTER (WHERE horizon = '1y') / 100) AS avg_1y,
                      100 * avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE horizon = '1y') AS up_1y
               FROM holds WHERE status = 'bought' GROUP BY scanner, symbol) h
         ON h.scanner = b.scanner AND h.symbol = b.symbol"""),
@@ -271,16 +271,16 @@ SUMMARY_VIEWS = HOLD_VIEWS | {
 
 
 @query("symbol_summary", "A4 X5", with_views("per_symbol", """
-SELECT scanner, symbol, signals, first, last, tier, sector, round(avg_1m, 7) AS avg_1m, round(avg_6m, 7) AS avg_6m,
-       round(avg_1y, 7) AS avg_1y, round(up_1y, 7) AS up_1y FROM per_symbol""", SUMMARY_VIEWS))
+SELECT scanner, symbol, signals, first, last, tier, sector, avg_1m AS avg_1m, avg_6m AS avg_6m,
+       avg_1y AS avg_1y, round(up_1y, 7) AS up_1y FROM per_symbol""", SUMMARY_VIEWS))
 def symbol_summary(spark, sf):
     out = summaries.symbol_summary(holds(spark, sf))
     names = ["avg_1m", "avg_6m", "avg_1y", "up_1y"]
-    return rounded(out, 7, *names).select("scanner", "symbol", "signals", "first", "last", "tier", "sector", *names)
+    return rounded(out, 7, "up_1y").select("scanner", "symbol", "signals", "first", "last", "tier", "sector", *names)
 
 
 @query("best_worst_symbols", "L3", with_views("per_symbol", """
-SELECT scanner, side, place, symbol, round(avg_1y, 7) AS avg_1y FROM (
+SELECT scanner, side, place, symbol, avg_1y AS avg_1y FROM (
     SELECT scanner, symbol, avg_1y, 'best' AS side, row_number() OVER (PARTITION BY scanner ORDER BY round(avg_1y, 6) DESC, symbol) AS place
     FROM per_symbol WHERE signals >= 3 AND avg_1y IS NOT NULL
     UNION ALL
@@ -288,7 +288,7 @@ SELECT scanner, side, place, symbol, round(avg_1y, 7) AS avg_1y FROM (
     FROM per_symbol WHERE signals >= 3 AND avg_1y IS NOT NULL) WHERE place <= 10""", SUMMARY_VIEWS))
 def best_worst_symbols(spark, sf):
     out = summaries.best_and_worst(summaries.symbol_summary(holds(spark, sf)), "avg_1y")
-    return rounded(out, 7, "avg_1y").select("scanner", "side", "place", "symbol", "avg_1y")
+    return out.select("scanner", "side", "place", "symbol", "avg_1y")
 
 
 @query("biggest_winners", "L3 L1", with_views("holds", """
@@ -301,29 +301,28 @@ def biggest_winners(spark, sf):
 
 
 @query("scanner_glance", "A2", with_views("holds touches", """
-SELECT t.scanner, t.signals, t.bought, round(h.m1, 7) AS avg_1m, round(h.m6, 7) AS avg_6m, round(h.y1, 7) AS avg_1y, round(h.y2, 7) AS avg_2y, round(h.x1, 7) AS excess_1y
+SELECT t.scanner, t.signals, t.bought, h.m1 AS avg_1m, h.m6 AS avg_6m, h.y1 AS avg_1y, h.y2 AS avg_2y, h.x1 AS excess_1y
 FROM (SELECT scanner, count(*) AS signals, count(*) FILTER (WHERE status = 'touched') AS bought FROM touches GROUP BY scanner) t
-JOIN (SELECT scanner, avg(ret) FILTER (WHERE horizon = '1m') AS m1, avg(ret) FILTER (WHERE horizon = '6m') AS m6, avg(ret) FILTER (WHERE horizon = '1y') AS y1,
-             avg(ret) FILTER (WHERE horizon = '2y') AS y2, avg(ret - index_ret) FILTER (WHERE horizon = '1y') AS x1 FROM holds GROUP BY scanner) h USING (scanner)""", HOLD_VIEWS))
+JOIN (SELECT scanner, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '1m') AS DOUBLE) / count(ret) FILTER (WHERE horizon = '1m') / 100) AS m1, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '6m') AS DOUBLE) / count(ret) FILTER (WHERE horizon = '6m') / 100) AS m6, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '1y') AS DOUBLE) / count(ret) FILTER (WHERE horizon = '1y') / 100) AS y1,
+             (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '2y') AS DOUBLE) / count(ret) FILTER (WHERE horizon = '2y') / 100) AS y2, (CAST(sum(CAST(round((ret - index_ret) * 100) AS BIGINT)) FILTER (WHERE horizon = '1y') AS DOUBLE) / count(ret - index_ret) FILTER (WHERE horizon = '1y') / 100) AS x1 FROM holds GROUP BY scanner) h USING (scanner)""", HOLD_VIEWS))
 def scanner_glance(spark, sf):
-    out = summaries.scanner_glance(holds(spark, sf))
-    return rounded(out, 7, "avg_1m", "avg_6m", "avg_1y", "avg_2y", "excess_1y")
+    return summaries.scanner_glance(holds(spark, sf))
 
 
 @query("trade_breakdown", "A5", with_views("trades", """
-SELECT grp, count(*) AS trades, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 7) AS win, round(avg(ret), 7) AS mean,
-       round(avg(ret) FILTER (WHERE ret > 0), 7) AS mean_win, round(avg(ret) FILTER (WHERE ret <= 0), 7) AS mean_loss,
+SELECT grp, count(*) AS trades, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 7) AS win, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret) / 100) AS mean,
+       (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE ret > 0) AS DOUBLE) / count(ret) FILTER (WHERE ret > 0) / 100) AS mean_win, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE ret <= 0) AS DOUBLE) / count(ret) FILTER (WHERE ret <= 0) / 100) AS mean_loss,
        round(avg(CASE WHEN result = 'average' THEN 1.0 ELSE 0.0 END), 7) AS average_share, round(avg(CASE WHEN result = 'stop' THEN 1.0 ELSE 0.0 END), 7) AS stop_share,
        round(avg(CASE WHEN result = 'time' THEN 1.0 ELSE 0.0 END), 7) AS time_share, round(avg(days), 7) AS days, CAST(round(sum(ret * 1000)) AS BIGINT) AS profit
 FROM (SELECT *, scanner AS grp FROM trades UNION ALL SELECT *, tier FROM trades WHERE tier <> '' UNION ALL SELECT *, 'All' FROM trades) GROUP BY grp"""))
 def trade_breakdown(spark, sf):
     out = summaries.trade_breakdown(closed(spark, sf))
-    return rounded(out, 7, "win", "mean", "mean_win", "mean_loss", "average_share", "stop_share", "time_share", "days")
+    return rounded(out, 7, "win", "average_share", "stop_share", "time_share", "days")
 
 
 @query("trade_rollup", "A6 A7", with_views("trades", """
-SELECT coalesce(scanner, 'All') AS scanner, count(*) AS trades, CAST(round(100 * avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)) AS BIGINT) AS win, round(avg(ret), 2) AS mean,
-       round(avg(ret) FILTER (WHERE ret > 0), 1) AS mean_win, round(avg(ret) FILTER (WHERE ret <= 0), 1) AS mean_loss, CAST(round(avg(days)) AS BIGINT) AS days
+SELECT coalesce(scanner, 'All') AS scanner, count(*) AS trades, CAST(round(100 * avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)) AS BIGINT) AS win, round((CAST(sum(CAST(round((ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret) / 100), 2) AS mean,
+       round((CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE ret > 0) AS DOUBLE) / count(ret) FILTER (WHERE ret > 0) / 100), 1) AS mean_win, round((CAST(sum(CAST(round((ret) * 100) AS BIGINT)) FILTER (WHERE ret <= 0) AS DOUBLE) / count(ret) FILTER (WHERE ret <= 0) / 100), 1) AS mean_loss, CAST(round(avg(days)) AS BIGINT) AS days
 FROM trades WHERE entry_date >= (SELECT max(m) FROM (SELECT min(entry_date) AS m FROM trades GROUP BY scanner)) GROUP BY ROLLUP (scanner)"""))
 def trade_rollup(spark, sf):
     return summaries.trade_rollup(summaries.from_common_start(closed(spark, sf)))
@@ -335,7 +334,7 @@ SELECT t.scanner, t.symbol, t.hit_date, count(*) AS points, min(p.date) AS first
 FROM trades t JOIN path x ON x.symbol = t.symbol AND x.date = t.exit_date
 JOIN path p ON p.symbol = t.symbol AND p.pos BETWEEN greatest(t.end_pos - 10, 0) AND least(x.pos + 3, t.n_bars - 1) GROUP BY ALL"""))
 def trade_paths(spark, sf):
-    lined = indicators.exit_line(standin.bars(spark, sf))
+    lined = indicators.exit_line(standin.bar_table(spark, sf))
     points = outcomes.trade_paths(closed(spark, sf), lined)
     return points.groupBy("scanner", "symbol", "hit_date").agg(
         F.count(F.lit(1)).alias("points"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),

@@ -10,11 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import dates
 
-BY_POS = W.partitionBy("symbol").orderBy("pos")
-BY_POS_BACK = W.partitionBy("symbol").orderBy(F.desc("pos"))
+
+def by_pos() -> WindowSpec:
+    """A symbol's bars in session order."""
+    return W.partitionBy("symbol").orderBy("pos")
+
+
+def by_pos_back() -> WindowSpec:
+    """A symbol's bars from the last session to the first."""
+    return W.partitionBy("symbol").orderBy(F.desc("pos"))
 
 
 def from_ticks(ticks: DataFrame, order: list[str]) -> DataFrame:

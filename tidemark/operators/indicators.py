@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .. import config
 from ..functions.numbers import finite
-from .bars import BY_POS
-from .rolling import Extreme, sliding_extremes
+from .bars import by_pos
+from .rolling import Extreme, sliding_extremes, sliding_sums
 from .smoothing import exp_smooth
 
 
-def _last(n: int, skip: int = 0) -> W:
-    return BY_POS.rowsBetween(-(n - 1) - skip, -skip)
+def _last(n: int, skip: int = 0) -> WindowSpec:
+    return by_pos().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def _from(pos: int, value: Column) -> Column:
@@ -23,24 +23,22 @@ def _from(pos: int, value: Column) -> Column:
 
 def returns(bars: DataFrame, lengths: tuple[int, ...] = (1, 5, 20, 60)) -> DataFrame:
     return bars.withColumns(
-        {f"ret_{n}d": finite((F.col("close") / F.lag("close", n).over(BY_POS) - 1) * 100) for n in lengths}
+        {f"ret_{n}d": finite((F.col("close") / F.lag("close", n).over(by_pos()) - 1) * 100) for n in lengths}
     )
 
 
 def average_distance(bars: DataFrame, lengths: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
     """Percent from the n-bar mean close; needs four fifths of the n bars."""
-    return bars.withColumns(
-        {
-            f"dist_sma{n}": finite(
-                _from(int(n * 0.8) - 1, (F.col("close") / F.avg("close").over(_last(n)) - 1) * 100)
-            )
-            for n in lengths
-        }
-    )
+    summed = sliding_sums(bars, {f"__s{n}": ("close", n) for n in lengths}, ["symbol"], "pos")
+    out = {}
+    for n in lengths:
+        mean = F.col(f"__s{n}") / F.least(F.col("pos") + 1, F.lit(n))
+        out[f"dist_sma{n}"] = finite(_from(int(n * 0.8) - 1, (F.col("close") / mean - 1) * 100))
+    return summed.withColumns(out).drop(*[f"__s{n}" for n in lengths])
 
 
 def true_range() -> Column:
-    before = F.lag("close", 1).over(BY_POS)
+    before = F.lag("close", 1).over(by_pos())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -83,7 +81,7 @@ def filter_measures(bars: DataFrame) -> DataFrame:
 
 def up_days(bars: DataFrame) -> DataFrame:
     """Closes above the one before, in the last 10 bars."""
-    rise = F.coalesce(F.col("close") > F.lag("close", 1).over(BY_POS), F.lit(False)).cast("int")
+    rise = F.coalesce(F.col("close") > F.lag("close", 1).over(by_pos()), F.lit(False)).cast("int")
     return bars.withColumn("__up", rise).withColumn(
         "up_days_10", _from(9, F.sum("__up").over(_last(10)).cast("int"))
     ).drop("__up")
@@ -91,7 +89,7 @@ def up_days(bars: DataFrame) -> DataFrame:
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's relative strength; 100 where there was no loss, and on the first bar."""
-    move = F.col("close") - F.lag("close", 1).over(BY_POS)
+    move = F.col("close") - F.lag("close", 1).over(by_pos())
     moved = bars.withColumns({"__gain": F.greatest(move, F.lit(0.0)), "__loss": F.greatest(-move, F.lit(0.0))})
     moved = moved.withColumns(
         {c: F.when(F.col("pos") >= 1, F.col(c)) for c in ("__gain", "__loss")}

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..session import cut
 
-OF_SCANNER = W.partitionBy("scanner").orderBy("run")
+
+def of_scanner() -> WindowSpec:
+    """A scanner's runs in order."""
+    return W.partitionBy("scanner").orderBy("run")
 
 
 def scanner_runs(members: DataFrame) -> DataFrame:
@@ -20,8 +24,8 @@ def scanner_runs(members: DataFrame) -> DataFrame:
     runs = members.groupBy("scanner", "run").agg(F.min("run_at").alias("run_at"))
     return runs.withColumns(
         {
-            "prev_run": F.lag("run").over(OF_SCANNER),
-            "place": F.row_number().over(OF_SCANNER),
+            "prev_run": F.lag("run").over(of_scanner()),
+            "place": F.row_number().over(of_scanner()),
             "from_end": F.row_number().over(W.partitionBy("scanner").orderBy(F.desc("run"))),
         }
     )
@@ -49,11 +53,11 @@ def partial_reads(members: DataFrame, max_gap_hours: float = 2.0, tail: int = 60
     longest chain; the table of decisions has one row per scanner and run.
     """
     runs = scanner_runs(members).where(F.col("from_end") <= tail)
-    gap = (F.unix_timestamp(F.lead("run_at").over(OF_SCANNER)) - F.unix_timestamp("run_at")) / 3600.0
+    gap = (F.unix_timestamp(F.lead("run_at").over(of_scanner())) - F.unix_timestamp("run_at")) / 3600.0
     state = cut(
         runs.select(
-            "scanner", "run", F.lead("run").over(OF_SCANNER).alias("next_run"), gap.alias("gap"),
-            F.lag("run").over(OF_SCANNER).alias("base_run"), F.lit(True).alias("open"), F.lit(False).alias("half"),
+            "scanner", "run", F.lead("run").over(of_scanner()).alias("next_run"), gap.alias("gap"),
+            F.lag("run").over(of_scanner()).alias("base_run"), F.lit(True).alias("open"), F.lit(False).alias("half"),
         )
     )
     for _ in range(tail):
@@ -85,7 +89,7 @@ def partial_reads(members: DataFrame, max_gap_hours: float = 2.0, tail: int = 60
             "half", F.when(F.col("open"), F.coalesce("verdict", F.lit(False))).otherwise(F.col("half"))
         )
         whole = F.last(F.when(~F.col("half"), F.col("run")), ignorenulls=True).over(
-            OF_SCANNER.rowsBetween(W.unboundedPreceding, -1)
+            of_scanner().rowsBetween(W.unboundedPreceding, -1)
         )
         moved = decided.withColumn("__base", whole).withColumn("open", ~F.col("__base").eqNullSafe(F.col("base_run")))
         state = cut(

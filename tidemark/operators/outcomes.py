@@ -16,7 +16,7 @@ from .. import config
 from ..functions import dates
 from ..functions.numbers import net_return
 from ..functions.rules import RuleBook
-from .bars import BY_POS, BY_POS_BACK
+from .bars import by_pos, by_pos_back
 from .indicators import exit_line
 from .rolling import Extreme, sliding_extremes
 from .signals import KEY, locate
@@ -60,9 +60,9 @@ def path_bars(bars: DataFrame, rules: RuleBook, span: int = config.EXIT_SPAN) ->
     lined = exit_line(bars, span)
     lined = lined.withColumn(
         "__next",
-        F.struct(F.lead("open", 1).over(BY_POS).alias("open"), F.lead("date", 1).over(BY_POS).alias("date")),
+        F.struct(F.lead("open", 1).over(by_pos()).alias("open"), F.lead("date", 1).over(by_pos()).alias("date")),
     )
-    back = BY_POS_BACK.rowsBetween(W.unboundedPreceding, -1)
+    back = by_pos_back().rowsBetween(W.unboundedPreceding, -1)
     below = F.when(
         F.col("close") < F.col("ema"),
         F.struct(
@@ -70,9 +70,9 @@ def path_bars(bars: DataFrame, rules: RuleBook, span: int = config.EXIT_SPAN) ->
             F.col("__next.date").alias("exit_date"),
         ),
     )
-    end = F.first(F.struct("date", "close", "ema")).over(BY_POS_BACK)
+    end = F.first(F.struct("date", "close", "ema")).over(by_pos_back())
     caps = {
-        f"cap_{h}": F.struct(F.lead("date", h).over(BY_POS).alias("date"), F.lead("close", h).over(BY_POS).alias("close"))
+        f"cap_{h}": F.struct(F.lead("date", h).over(by_pos()).alias("date"), F.lead("close", h).over(by_pos()).alias("close"))
         for h in rules.holds()
     }
     return lined.withColumns({"below": F.last(below, ignorenulls=True).over(back), "end": end} | caps).drop("__next")
@@ -193,8 +193,8 @@ def horizon_bars(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     specs = [Extreme("close", op, n + 1, f"{name}_{n}") for n in lengths for op, name in (("max", "best"), ("min", "worst"))]
     spread = sliding_extremes(marked, specs, ["symbol"], "pos", ahead=True)
     return spread.withColumns(
-        {f"close_{n}": F.lead("close", n).over(BY_POS) for n in lengths}
-        | {f"index_{n}": F.lead("__idx", n).over(BY_POS) for n in lengths}
+        {f"close_{n}": F.lead("close", n).over(by_pos()) for n in lengths}
+        | {f"index_{n}": F.lead("__idx", n).over(by_pos()) for n in lengths}
     ).drop("__idx")
 
 

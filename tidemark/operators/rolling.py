@@ -1,16 +1,17 @@
-"""Sliding extremes by doubling.
+"""Sliding extremes and sums by doubling.
 
 A frame of n rows costs n updates per row when Spark evaluates it as a sliding
-window. Here level k holds the extreme of 2**k neighbouring rows, built from two
-level k-1 values with one `lag` or `lead`; any length is covered by two
-overlapping levels. All levels share one shuffle and one sort.
+window. Here level k holds the extreme (or sum) of 2**k neighbouring rows, built from
+two level k-1 values with one `lag` or `lead`. Any length is covered by two overlapping
+levels for an extreme, and by the levels of its binary digits for a sum, which adds
+only values inside the frame. All levels share one shuffle and one sort.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,3 +65,33 @@ def sliding_extremes(
         out = out.drop(*[level(s, o, k - 1) for s, o in series] if k else [])
         ready = [level(s, o, k) for s, o in series]
     return out.drop(*ready)
+
+
+def sliding_sums(df: DataFrame, sums: dict[str, tuple[str, int]], part: list[str], order: str) -> DataFrame:
+    """Sums `{out: (source, length)}` over the current row and its predecessors, cut at the start."""
+    window = W.partitionBy(*part).orderBy(order)
+    series = sorted({source for source, _ in sums.values()})
+    top = max(length for _, length in sums.values()).bit_length() - 1
+
+    def level(source: str, k: int) -> str:
+        return f"__sum_{source}_{k}"
+
+    def back(name: str, rows: int) -> Column:
+        return F.coalesce(F.lag(name, rows).over(window), F.lit(0.0)) if rows else F.col(name)
+
+    out = df.withColumns({level(s, 0): F.coalesce(F.col(s), F.lit(0.0)) for s in series})
+    covered = dict.fromkeys(sums, 0)
+    for k in range(0, top + 1):
+        if k:
+            out = out.withColumns({level(s, k): F.col(level(s, k - 1)) + back(level(s, k - 1), 2 ** (k - 1)) for s in series})
+        due = {}
+        for name, (source, length) in sums.items():
+            if length >> k & 1:
+                piece = back(level(source, k), covered[name])
+                due[name] = F.col(name) + piece if covered[name] else piece
+                covered[name] += 2**k
+        if due:
+            out = out.withColumns(due)
+        if k:
+            out = out.drop(*[level(s, k - 1) for s in series])
+    return out.drop(*[level(s, top) for s in series])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from .. import config
 from ..functions import dates
 from ..functions.rules import RuleBook, tier_from_size, tier_priority
 from . import bars as bar_ops
-from .bars import BY_POS
+from .bars import by_pos
 from .keys import earliest_values, latest_values
 
 KEY = ["scanner", "symbol", "hit_date"]
@@ -59,44 +59,55 @@ def confirmations(signals: DataFrame, days: int = config.CONFIRM_DAYS) -> DataFr
     )
 
 
-def signal_bars(bars: DataFrame, rules: RuleBook, extra: list[str] | None = None) -> DataFrame:
-    """Every bar a signal can stand on: each day, and each closed week, keyed (symbol, weekly, key_date).
-
-    `upcoming` holds the next sessions up to the longest entry window, so that finding the
-    touch needs no range join.
-    """
-    ahead = F.array(
+def upcoming(longest: int) -> Column:
+    """The next `longest` sessions of a bar, so that finding a touch needs no range join."""
+    window = by_pos()
+    return F.array(
         *[
             F.struct(
-                F.lead("date", k).over(BY_POS).alias("date"),
-                F.lead("open", k).over(BY_POS).alias("open"),
-                F.lead("high", k).over(BY_POS).alias("high"),
+                F.lead("date", k).over(window).alias("date"),
+                F.lead("open", k).over(window).alias("open"),
+                F.lead("high", k).over(window).alias("high"),
             )
-            for k in range(1, rules.longest_window() + 1)
+            for k in range(1, longest + 1)
         ]
     )
-    ready = bars.withColumn("upcoming", ahead)
-    carried = ["upcoming", *(extra or [])]
-    daily = ready.select(
-        "symbol", F.lit(False).alias("weekly"), F.col("date").alias("key_date"), F.col("pos").alias("start_pos"),
-        F.col("pos").alias("end_pos"), F.col("date").alias("signal_date"), F.col("high").alias("trigger"),
-        F.col("low").alias("bar_low"), F.col("close").alias("bar_close"), "n_bars", *carried,
-    )
-    week = bar_ops.weekly(ready, carried).where(bar_ops.week_closed())
-    weekly = week.select(
-        "symbol", F.lit(True).alias("weekly"), F.col("week").alias("key_date"), "start_pos", "end_pos",
-        F.col("end_date").alias("signal_date"), F.col("high").alias("trigger"), F.col("low").alias("bar_low"),
-        F.col("close").alias("bar_close"), "n_bars", *carried,
-    )
-    return daily.unionByName(weekly)
 
 
 def locate(signals: DataFrame, bars: DataFrame, rules: RuleBook, extra: list[str] | None = None) -> DataFrame:
-    """Signals with their signal bar; bar columns are NULL where no bar (or no closed week) exists."""
-    keyed = signals.withColumn("weekly", rules.weekly(F.col("scanner"))).withColumn(
-        "key_date", F.when(F.col("weekly"), dates.week_start(F.col("hit_date"))).otherwise(F.col("hit_date"))
+    """Signals with their signal bar: the hit's day, or for weekly scanners the whole closed week.
+
+    Bar columns are NULL where no bar (or no closed week) exists. A week is known at its last
+    session, so both kinds of signal read close, later sessions and `extra` from one bar by
+    (symbol, date).
+    """
+    weeks = bars.groupBy("symbol", dates.week_start(F.col("date")).alias("__week")).agg(
+        F.min("pos").alias("__first"), F.max("pos").alias("end_pos"), F.max("date").alias("end_date"),
+        F.max("high").alias("__high"), F.min("low").alias("__low"), F.max("n_bars").alias("n_bars"),
+    )
+    closed = weeks.where(bar_ops.week_closed()).select(
+        "symbol", "__week", "__first", F.col("end_date").alias("__date"), "__high", "__low", F.lit(True).alias("weekly")
+    )
+    keyed = signals.select(
+        "*", rules.weekly(F.col("scanner")).alias("weekly"), dates.week_start(F.col("hit_date")).alias("__week")
+    )
+    dated = keyed.join(closed, ["symbol", "__week", "weekly"], "left").withColumn(
+        "__date", F.when(F.col("weekly"), F.col("__date")).otherwise(F.col("hit_date"))
+    )
+    ends = bars.select(
+        "symbol", F.col("date").alias("__date"), F.col("pos").alias("end_pos"), F.col("high").alias("__bar_high"),
+        F.col("low").alias("__bar_low"), F.col("close").alias("bar_close"), "n_bars",
+        upcoming(rules.longest_window()).alias("upcoming"), *(extra or []),
+    )
+    found = dated.join(ends, ["symbol", "__date"], "left")
+    return found.select(
+        *signals.columns, "weekly",
+        F.when(F.col("weekly"), F.col("__first")).otherwise(F.col("end_pos")).alias("start_pos"), "end_pos",
+        F.when(F.col("end_pos").isNotNull(), F.col("__date")).alias("signal_date"),
+        F.when(F.col("weekly"), F.col("__high")).otherwise(F.col("__bar_high")).alias("trigger"),
+        F.when(F.col("weekly"), F.col("__low")).otherwise(F.col("__bar_low")).alias("bar_low"),
+        "bar_close", "n_bars", "upcoming", *(extra or []),
     )
-    return keyed.join(signal_bars(bars, rules, extra), ["symbol", "weekly", "key_date"], "left").drop("key_date")
 
 
 def mark_duplicates(states: DataFrame) -> DataFrame:

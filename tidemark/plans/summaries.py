@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators.keys import pick_per_key
-from ..operators.ordering import median
 
 
 def share(condition: Column) -> Column:
@@ -16,6 +15,11 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
+def mean(value: Column) -> Column:
+    """Mean of values with two decimals, summed as whole hundredths: the same whatever the row order."""
+    return F.sum(F.round(value * 100).cast("long")).cast("double") / F.count(value) / 100
+
+
 def status_counts(outcomes: DataFrame) -> DataFrame:
     """Signals per scanner by what became of them."""
     names = {"touched": "bought", "no breakout": "not_triggered", "no bar": "no_price_data", "waiting": "pending"}
@@ -25,16 +29,18 @@ def status_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def horizon_stats(holds: DataFrame) -> DataFrame:
-    """Per scanner and horizon: how many rose, mean, exact median, best and worst, and against the index."""
+    """Per scanner and horizon: how many rose, mean, exact median, best and worst, and against the index.
+
+    Returns are whole hundredths, so the exact median counts distinct hundredths, not rows.
+    """
     rows = holds.where(F.col("horizon").isNotNull())
     ret, idx = F.col("ret"), F.col("index_ret")
-    stats = rows.groupBy("scanner", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), share(ret > 0).alias("up"), F.avg(ret).alias("mean"),
-        F.avg("best").alias("best"), F.avg("worst").alias("worst"), F.avg(idx).alias("index_mean"),
+    return rows.groupBy("scanner", "horizon").agg(
+        F.count(F.lit(1)).alias("n"), share(ret > 0).alias("up"), mean(ret).alias("mean"),
+        F.median(ret).alias("median"), mean(F.col("best")).alias("best"), mean(F.col("worst")).alias("worst"), mean(idx).alias("index_mean"),
         F.when(F.count(idx) > 0, share(F.coalesce(ret > idx, F.lit(False)))).alias("beat"),
-        F.avg(ret - idx).alias("excess"),
+        mean(ret - idx).alias("excess"),
     )
-    return stats.join(median(rows, ["scanner", "horizon"], "ret"), ["scanner", "horizon"])
 
 
 def group_cells(holds: DataFrame, min_n: int = 10, min_sector: int = 20) -> DataFrame:
@@ -53,7 +59,7 @@ def group_cells(holds: DataFrame, min_n: int = 10, min_sector: int = 20) -> Data
     rows = holds.where(F.col("horizon").isNotNull()).select("scanner", "horizon", "ret", "index_ret", label)
     cells = rows.groupBy("scanner", "horizon", "g.dimension", "g.grp").agg(
         F.count(F.lit(1)).alias("n"), F.max("g.least").alias("least"), share(F.col("ret") > 0).alias("up"),
-        F.avg("ret").alias("mean"), F.avg(F.col("ret") - F.col("index_ret")).alias("excess"),
+        mean(F.col("ret")).alias("mean"), mean(F.col("ret") - F.col("index_ret")).alias("excess"),
     )
     shown = F.col("n") >= F.col("least")
     return cells.select(
@@ -70,7 +76,7 @@ def symbol_summary(holds: DataFrame) -> DataFrame:
     stats = []
     for key, _ in config.HORIZONS:
         ret = F.when(F.col("horizon") == key, F.col("ret"))
-        stats += [F.avg(ret).alias(f"avg_{key}"), (F.avg((ret > 0).cast("double")) * 100).alias(f"up_{key}")]
+        stats += [mean(ret).alias(f"avg_{key}"), (F.avg((ret > 0).cast("double")) * 100).alias(f"up_{key}")]
     return bought.groupBy("scanner", "symbol").agg(
         F.count_if(once).alias("signals"), F.min("entry_date").alias("first"), F.max("entry_date").alias("last"),
         F.max_by("tier", F.when(F.col("tier").isNotNull(), F.col("hit_date"))).alias("tier"),
@@ -96,21 +102,21 @@ def scanner_glance(holds: DataFrame) -> DataFrame:
     first = config.HORIZONS[0][0]
     once = F.col("horizon").isNull() | (F.col("horizon") == first)
 
-    def mean(key: str) -> Column:
-        return F.avg(F.when(F.col("horizon") == key, F.col("ret")))
+    def after(key: str) -> Column:
+        return mean(F.when(F.col("horizon") == key, F.col("ret")))
 
     return holds.groupBy("scanner").agg(
         F.count_if(once).alias("signals"), F.count_if(once & (F.col("status") == "bought")).alias("bought"),
-        mean("1m").alias("avg_1m"), mean("6m").alias("avg_6m"), mean("1y").alias("avg_1y"), mean("2y").alias("avg_2y"),
-        F.avg(F.when(F.col("horizon") == "1y", F.col("ret") - F.col("index_ret"))).alias("excess_1y"),
+        *[after(key).alias(f"avg_{key}") for key in ("1m", "6m", "1y", "2y")],
+        mean(F.when(F.col("horizon") == "1y", F.col("ret") - F.col("index_ret"))).alias("excess_1y"),
     )
 
 
 def _trade_stats() -> list[Column]:
     ret = F.col("ret")
     return [
-        F.count(F.lit(1)).alias("trades"), share(ret > 0).alias("win"), F.avg(ret).alias("mean"),
-        F.avg(F.when(ret > 0, ret)).alias("mean_win"), F.avg(F.when(ret <= 0, ret)).alias("mean_loss"),
+        F.count(F.lit(1)).alias("trades"), share(ret > 0).alias("win"), mean(ret).alias("mean"),
+        mean(F.when(ret > 0, ret)).alias("mean_win"), mean(F.when(ret <= 0, ret)).alias("mean_loss"),
         F.avg("days").alias("days"),
     ]
 

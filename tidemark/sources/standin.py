@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Rule
 from ..functions.rules import RuleBook
 from ..operators import bars as bar_ops
+from ..session import scratch_path
 
 # Rules of the five stand-in scanners.
 RULES = RuleBook(
@@ -51,6 +52,24 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar_ops.from_ticks(ticks(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_partkey", "px"])
 
 
+_BAR_TABLES: dict[tuple[str, str], str] = {}
+
+
+def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars as a stored table in the shared folder, built once per application and sample folder.
+
+    Outcome queries read bars along several branches that need different columns, which
+    would repeat the tick join and aggregation per branch. Prices are a stored table in
+    practice, far smaller than the ticks behind them.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BAR_TABLES:
+        path = scratch_path(spark, "bars")
+        bars(spark, sf_dir).write.parquet(path)
+        _BAR_TABLES[key] = path
+    return spark.read.parquet(_BAR_TABLES[key])
+
+
 def index_bars(bar_rows: DataFrame) -> DataFrame:
     """Mean close per date, summed in whole thousandths so that the order of rows does not matter."""
     total = F.sum(F.round(F.col("close") * 1000).cast("long")).cast("double")
