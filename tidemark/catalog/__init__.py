@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["market", "outcomes"]
+MODULES = ["market", "outcomes", "snapshots"]
 
 
 def load() -> tuple[dict, dict]:
