@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["market", "outcomes", "snapshots"]
+MODULES = ["market", "outcomes", "snapshots", "views"]
 
 
 def load() -> tuple[dict, dict]:

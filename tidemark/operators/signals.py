@@ -74,12 +74,14 @@ def upcoming(longest: int) -> Column:
     )
 
 
-def locate(signals: DataFrame, bars: DataFrame, rules: RuleBook, extra: list[str] | None = None) -> DataFrame:
+def locate(
+    signals: DataFrame, bars: DataFrame, rules: RuleBook, extra: list[str] | None = None, day: str = "hit_date"
+) -> DataFrame:
     """Signals with their signal bar: the hit's day, or for weekly scanners the whole closed week.
 
     Bar columns are NULL where no bar (or no closed week) exists. A week is known at its last
     session, so both kinds of signal read close, later sessions and `extra` from one bar by
-    (symbol, date).
+    (symbol, date). `day` names the session of a daily hit.
     """
     weeks = bars.groupBy("symbol", dates.week_start(F.col("date")).alias("__week")).agg(
         F.min("pos").alias("__first"), F.max("pos").alias("end_pos"), F.max("date").alias("end_date"),
@@ -92,7 +94,7 @@ def locate(signals: DataFrame, bars: DataFrame, rules: RuleBook, extra: list[str
         "*", rules.weekly(F.col("scanner")).alias("weekly"), dates.week_start(F.col("hit_date")).alias("__week")
     )
     dated = keyed.join(closed, ["symbol", "__week", "weekly"], "left").withColumn(
-        "__date", F.when(F.col("weekly"), F.col("__date")).otherwise(F.col("hit_date"))
+        "__date", F.when(F.col("weekly"), F.col("__date")).otherwise(F.col(day))
     )
     ends = bars.select(
         "symbol", F.col("date").alias("__date"), F.col("pos").alias("end_pos"), F.col("high").alias("__bar_high"),
