@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["market", "outcomes", "snapshots", "views"]
+MODULES = ["market", "outcomes", "snapshots", "views", "books", "fundamentals"]
 
 
 def load() -> tuple[dict, dict]:

@@ -208,8 +208,8 @@ HOLD_VIEWS = {
     "holds": (["touches", "reached"], """
         SELECT t.scanner, t.symbol, t.hit_date, t.tier, t.sector,
                CASE t.status WHEN 'touched' THEN 'bought' WHEN 'waiting' THEN 'pending' WHEN 'no bar' THEN 'no_price_data' ELSE 'not_triggered' END AS status,
-               t.entry_date, r.horizon, round((r.close / t.entry - 1) * 100, 2) AS ret, round((r.top / t.entry - 1) * 100, 2) AS best,
-               round((r.low / t.entry - 1) * 100, 2) AS worst, round((r.idx / r.idx0 - 1) * 100, 2) AS index_ret
+               t.entry_date, r.horizon, round_even((r.close / t.entry - 1) * 100 * 100, 0) / 100 AS ret, round_even((r.top / t.entry - 1) * 100 * 100, 0) / 100 AS best,
+               round_even((r.low / t.entry - 1) * 100 * 100, 0) / 100 AS worst, round_even((r.idx / r.idx0 - 1) * 100 * 100, 0) / 100 AS index_ret
         FROM touches t LEFT JOIN reached r ON r.scanner = t.scanner AND r.symbol = t.symbol AND r.hit_date = t.hit_date"""),
 }
 

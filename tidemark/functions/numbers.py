@@ -42,10 +42,11 @@ def round_binary(c: Column, digits: int) -> Column:
     """Round the stored binary value, exact ties to even, as Python's `round` and C's `printf` do.
 
     `F.round` and `F.bround` look at the shortest decimal text of a double instead, so 6.35
-    counts as a tie there although the stored value is below it.
+    counts as a tie there although the stored value is below it. A small negative keeps its sign.
     """
     scale = float(10**digits)
-    down = F.floor(c * scale).cast("double")
+    size = F.abs(c)
+    down = F.floor(size * scale).cast("double")
     middle = down * 2 + 1
     tie = middle / (2 * scale)
     # Sign of tie - middle / (2 * scale), from the exact product of tie and 2 * scale.
@@ -54,8 +55,15 @@ def round_binary(c: Column, digits: int) -> Column:
     error = ((th * sh - product) + th * sl + tl * sh) + tl * sl
     off = (product - middle) + error
     even = F.pmod(down, F.lit(2.0)) == 0
-    up = F.when(c > tie, True).when(c < tie, False).when(off > 0, True).when(off < 0, False).otherwise(~even)
-    return F.when(up, (down + 1) / scale).otherwise(down / scale)
+    up = F.when(size > tie, True).when(size < tie, False).when(off > 0, True).when(off < 0, False).otherwise(~even)
+    rounded = F.when(up, (down + 1) / scale).otherwise(down / scale)
+    return F.when(c < 0, -rounded).when(c == 0, c).otherwise(rounded)
+
+
+def round_scaled(c: Column, digits: int) -> Column:
+    """Round the scaled value to the nearest whole number, ties to even, as NumPy does."""
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
 
 
 def net_return(entry: Column, exit_: Column, cost: float) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import dates
-from ..functions.numbers import net_return
+from ..functions.numbers import net_return, round_scaled
 from ..functions.rules import RuleBook
 from .bars import by_pos, by_pos_back
 from .indicators import exit_line
@@ -230,9 +230,8 @@ def hold_outcomes(signals: DataFrame, bars: DataFrame, calendar: DataFrame, rule
         *KEY,
         *[c for c in ("tier", "sector", "source") if c in signals.columns],
         "status", "trigger", "entry_date", "entry", F.col("h.horizon").alias("horizon"),
-        F.round(move("close"), 2).alias("ret"), F.round(move("best"), 2).alias("best"),
-        F.round(move("worst"), 2).alias("worst"),
-        F.round((F.col("h.idx") / F.col("index_start") - 1) * 100, 2).alias("index_ret"),
+        *[round_scaled(move(c), 2).alias(n) for c, n in (("close", "ret"), ("best", "best"), ("worst", "worst"))],
+        round_scaled((F.col("h.idx") / F.col("index_start") - 1) * 100, 2).alias("index_ret"),
     )
 
 
