@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["market", "outcomes", "snapshots", "views", "books", "fundamentals"]
+MODULES = ["market", "outcomes", "snapshots", "views", "books", "fundamentals", "pages", "ranker"]
 
 
 def load() -> tuple[dict, dict]:

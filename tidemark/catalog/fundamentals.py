@@ -93,7 +93,7 @@ COMPANY = {
         FROM (SELECT *, CASE WHEN score0 IS NULL THEN '' WHEN v_promoter < 30 THEN 'Reject: low promoter' WHEN score0 >= 65 THEN CASE WHEN flags = '' THEN 'Shortlist' ELSE 'Shortlist - check flags' END WHEN score0 >= 50 THEN 'Maybe' ELSE 'Skip' END AS v FROM flagged)"""),
     "screens": (["base"], """
         SELECT code, bank, CAST(len(list_filter(r, lambda x: x.p)) AS INTEGER) AS passed, CAST(len(list_filter(r, lambda x: x.p IS NOT NULL)) AS INTEGER) AS checked,
-               array_to_string(list_transform(list_filter(r, lambda x: NOT x.p), lambda x: x.l), ',') AS fails, array_to_string(list_transform(list_filter(r, lambda x: x.p IS NULL), lambda x: x.l), ',') AS unknown
+               array_to_string(list_transform(list_filter(r, lambda x: NOT x.p), lambda x: x.l), ',') AS fails, replace(array_to_string(list_transform(list_filter(r, lambda x: x.p IS NULL), lambda x: x.l), ','), 'ROE', 'ROCE') AS unknown
         FROM (SELECT code, bank, [{{'l': 'Near 52w high', 'p': CASE WHEN price <> 0 AND high <> 0 THEN price / high * 100 > 80 END}}, {{'l': 'Market cap', 'p': mcap > 100 AND mcap < 5000}},
                {{'l': CASE WHEN {roe} AND bank THEN 'ROE' ELSE 'ROCE' END, 'p': CASE WHEN {roe} AND bank THEN roe > 15 ELSE roce > 15 END}}, {{'l': 'OPM', 'p': CASE WHEN {roe} AND bank THEN NULL ELSE opm > 5 END}}, {{'l': 'Debt/equity', 'p': CASE WHEN {roe} AND bank THEN NULL ELSE de < 1.1 END}},
                {{'l': 'Pledge', 'p': pledge = 0}}, {{'l': 'Promoter', 'p': promoter > 55}},
@@ -218,13 +218,13 @@ RATIOS = {
 
 
 @query("ratio_derive", "M1 M2 M3 S12 R1", with_views("arrays", """
-SELECT code, CASE WHEN assets[1] - liabilities[1] > 0 THEN round(ebit[1] / (assets[1] - liabilities[1]) * 100, 1) END AS roce,
-       CASE WHEN revenue[1] > 0 AND revenue[4] > 0 THEN round((pow(revenue[1] / revenue[4], 1.0 / 3) - 1) * 100, 1) END AS sales3y,
-       CASE WHEN net_income[1] > 0 AND net_income[4] > 0 THEN round((pow(net_income[1] / net_income[4], 1.0 / 3) - 1) * 100, 1) END AS profit3y,
-       CASE WHEN revenue[2] > 0 THEN round((revenue[1] / revenue[2] - 1) * 100, 1) END AS sales1y, CASE WHEN net_income[2] > 0 THEN round((net_income[1] / net_income[2] - 1) * 100, 1) END AS profit1y,
-       CASE WHEN net_income[5] > 0 THEN round((net_income[1] / net_income[5] - 1) * 100, 1) END AS profit_q, round(net_income[1] / 1e7, 1) AS pat, round(cash_flow[1] / 1e7, 1) AS cfo, round(debt[1] / 1e7, 1) AS debt,
-       round((debt[1] - debt[2]) / 1e7, 1) AS debt_change, round(receivables[1] / revenue[1] * 365, 1) AS debtor_days,
-       round(round(receivables[1] / revenue[1] * 365, 1) - round(receivables[2] / revenue[2] * 365, 1), 1) AS debtor_days_ch, round(ebit[1] / revenue[1] * 100, 1) AS opm FROM arrays""", RATIOS))
+SELECT code, CASE WHEN assets[1] - liabilities[1] > 0 THEN CAST(printf('%.1f', ebit[1] / (assets[1] - liabilities[1]) * 100) AS DOUBLE) END AS roce,
+       CASE WHEN revenue[1] > 0 AND revenue[4] > 0 THEN CAST(printf('%.1f', (pow(revenue[1] / revenue[4], 1.0 / 3) - 1) * 100) AS DOUBLE) END AS sales3y,
+       CASE WHEN net_income[1] > 0 AND net_income[4] > 0 THEN CAST(printf('%.1f', (pow(net_income[1] / net_income[4], 1.0 / 3) - 1) * 100) AS DOUBLE) END AS profit3y,
+       CASE WHEN revenue[2] > 0 THEN CAST(printf('%.1f', (revenue[1] / revenue[2] - 1) * 100) AS DOUBLE) END AS sales1y, CASE WHEN net_income[2] > 0 THEN CAST(printf('%.1f', (net_income[1] / net_income[2] - 1) * 100) AS DOUBLE) END AS profit1y,
+       CASE WHEN net_income[5] > 0 THEN CAST(printf('%.1f', (net_income[1] / net_income[5] - 1) * 100) AS DOUBLE) END AS profit_q, CAST(printf('%.1f', net_income[1] / 1e7) AS DOUBLE) AS pat, CAST(printf('%.1f', cash_flow[1] / 1e7) AS DOUBLE) AS cfo, CAST(printf('%.1f', debt[1] / 1e7) AS DOUBLE) AS debt,
+       CAST(printf('%.1f', (debt[1] - debt[2]) / 1e7) AS DOUBLE) AS debt_change, CAST(printf('%.1f', receivables[1] / revenue[1] * 365) AS DOUBLE) AS debtor_days,
+       CAST(printf('%.1f', CAST(printf('%.1f', receivables[1] / revenue[1] * 365) AS DOUBLE) - CAST(printf('%.1f', receivables[2] / revenue[2] * 365) AS DOUBLE)) AS DOUBLE) AS debtor_days_ch, CAST(printf('%.1f', ebit[1] / revenue[1] * 100) AS DOUBLE) AS opm FROM arrays""", RATIOS))
 def ratio_derive(spark, sf):
     yearly = standin.company(spark, sf)
     lines = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -67,19 +67,24 @@ def round_scaled(c: Column, digits: int) -> Column:
 
 
 def net_return(entry: Column, exit_: Column, cost: float) -> Column:
-    """Percent return after a fixed round-trip cost."""
-    return round_binary((exit_ / entry - 1) * 100 - F.lit(cost), 2)
+    """Percent return after a fixed round-trip cost, not rounded."""
+    return (exit_ / entry - 1) * 100 - F.lit(cost)
+
+
+def with_rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Round existing columns by `round_binary`; the inputs are columns of the step before."""
+    return df.withColumns({c: round_binary(F.col(c), d) for c, d in digits.items()})
 
 
 def growth(new: Column, old: Column) -> Column:
     """Percent growth, defined for a positive base only."""
-    return F.round(F.when(old > 0, (new / old - 1) * 100), 1)
+    return F.when(old > 0, (new / old - 1) * 100)
 
 
 def cagr(values: Column, years: int = 3) -> Column:
     """Yearly growth over `years` of a newest-first array; both ends must be positive."""
     new, old = F.get(values, F.lit(0)), F.get(values, F.lit(years))
-    return F.round(F.when((new > 0) & (old > 0), (F.pow(new / old, F.lit(1.0 / years)) - 1) * 100), 1)
+    return F.when((new > 0) & (old > 0), (F.pow(new / old, F.lit(1.0 / years)) - 1) * 100)
 
 
 def band(value: Column, direction: str, thresholds: Sequence[float]) -> Column:

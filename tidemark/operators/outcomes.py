@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import dates
-from ..functions.numbers import net_return, round_scaled
+from ..functions.numbers import net_return, round_scaled, with_rounded
 from ..functions.rules import RuleBook
 from .bars import by_pos, by_pos_back
 from .indicators import exit_line
@@ -170,7 +170,7 @@ def barrier_exit(touched: DataFrame, bars: DataFrame, rules: RuleBook) -> DataFr
     )
     ret = net_return(F.col("entry"), F.coalesce("exit", "now"), config.COST_PCT)
     scratch = ["__kind", "__cap", "__until", "stopped", "below", "end", *[f"cap_{h}" for h in rules.holds()]]
-    return out.withColumn("ret", ret).drop(*scratch)
+    return with_rounded(out.withColumn("ret", ret), {"ret": 2}).drop(*scratch)
 
 
 def closed_trades(signals: DataFrame, bars: DataFrame, rules: RuleBook, extra: list[str] | None = None) -> DataFrame:

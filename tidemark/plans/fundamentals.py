@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text
-from ..functions.numbers import band, cagr, growth, round_binary, to_number
+from ..functions.numbers import band, cagr, growth, round_binary, to_number, with_rounded
 from ..operators.ordering import global_row_number
 
 
@@ -221,8 +221,8 @@ def ranked_universe(rows: DataFrame, key: str = "code") -> DataFrame:
         {"debtor_days": F.col("__debtor_days"), "promoter": F.col("__promoter"), "pe": F.coalesce("pe", round_binary(F.col("pe_used"), 1))}
     )
     full = screened(joined.drop("bank", "__debtor_days", "__promoter"))
-    order = [F.desc_nulls_last(round_binary(F.col("score"), 1)), F.col(key)]
-    return global_row_number(full, order, "rank")
+    shown = full.withColumn("__shown", round_binary(F.col("score"), 1))
+    return global_row_number(shown, [F.desc_nulls_last("__shown"), F.col(key)], "rank").drop("__shown")
 
 
 def shortlist(ranked: DataFrame, clean: int = 8, flagged: int = 5) -> DataFrame:
@@ -246,17 +246,17 @@ def statement_ratios(wide: DataFrame) -> DataFrame:
     days1 = at("receivables", 1) / F.nullif(at("revenue", 1), F.lit(0.0)) * 365
     margin = F.coalesce("op_margin", at("ebit", 0) / F.nullif(at("revenue", 0), F.lit(0.0)))
     crore = 1e7
-    return wide.select(
+    raw = wide.select(
         "code",
-        F.when(employed > 0, F.round(at("ebit", 0) / employed * 100, 1)).alias("roce"),
+        F.when(employed > 0, at("ebit", 0) / employed * 100).alias("roce"),
         cagr(F.col("revenue")).alias("sales3y"), cagr(F.col("net_income")).alias("profit3y"),
         growth(at("revenue", 0), at("revenue", 1)).alias("sales1y"),
         growth(at("net_income", 0), at("net_income", 1)).alias("profit1y"),
         growth(at("quarterly_income", 0), at("quarterly_income", 4)).alias("profit_q"),
-        F.round(at("net_income", 0) / crore, 1).alias("pat"), F.round(at("cash_flow", 0) / crore, 1).alias("cfo"),
-        F.round(at("debt", 0) / crore, 1).alias("debt"),
-        F.round((at("debt", 0) - at("debt", 1)) / crore, 1).alias("debt_change"),
-        F.round(days0, 1).alias("debtor_days"),
-        F.round(F.round(days0, 1) - F.round(days1, 1), 1).alias("debtor_days_ch"),
-        F.round(margin * 100, 1).alias("opm"),
+        (at("net_income", 0) / crore).alias("pat"), (at("cash_flow", 0) / crore).alias("cfo"),
+        (at("debt", 0) / crore).alias("debt"), ((at("debt", 0) - at("debt", 1)) / crore).alias("debt_change"),
+        days0.alias("debtor_days"), days1.alias("__days1"), (margin * 100).alias("opm"),
     )
+    once = with_rounded(raw, {c: 1 for c in raw.columns if c != "code"})
+    changed = once.withColumn("debtor_days_ch", F.col("debtor_days") - F.col("__days1")).drop("__days1")
+    return with_rounded(changed, {"debtor_days_ch": 1})
