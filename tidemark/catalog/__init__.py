@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["market", "outcomes", "snapshots", "views", "books", "fundamentals", "pages", "ranker"]
+MODULES = ["market", "outcomes", "snapshots", "views", "books", "fundamentals", "pages", "ranker", "maintenance", "streams"]
 
 
 def load() -> tuple[dict, dict]:
