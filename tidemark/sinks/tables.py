@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.numbers import finite
 from ..operators.keys import earliest_values, mirror_changes, upsert_latest
+from ..session import cut
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -28,8 +29,6 @@ def append_new(rows: DataFrame, path: str, key: list[str], order: list[str]) ->
     fresh = earliest_values(rows, key, order, values)
     if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    from ..session import cut
-
     fixed = cut(fresh)
     fixed.write.mode("append").parquet(path)
     return fixed
@@ -38,13 +37,12 @@ def append_new(rows: DataFrame, path: str, key: list[str], order: list[str]) ->
 def mirror(wanted: DataFrame, path: str, key: list[str], partition: str) -> DataFrame:
     """Make the partitions of `wanted` equal to it; other partitions stay. Returns counts of changes."""
     spark = wanted.sparkSession
-    from ..session import cut
-
     fixed = cut(wanted)
     if exists(spark, path):
         parts = fixed.select(partition).distinct()
         old = spark.read.parquet(path).join(parts, partition, "left_semi")
-        changes = cut(mirror_changes(old, fixed, key).groupBy(partition, "change").agg(F.count(F.lit(1)).alias("n")))
+        full = [partition, *[k for k in key if k != partition]]
+        changes = cut(mirror_changes(old, fixed, full).groupBy(partition, "change").agg(F.count(F.lit(1)).alias("n")))
     else:
         changes = fixed.groupBy(partition).agg(F.count(F.lit(1)).alias("n")).select(partition, F.lit("insert").alias("change"), "n")
     fixed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
