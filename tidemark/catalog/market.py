@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.keys import beside
 from ..operators import asof, indicators
 from ..operators import bars as bar_ops
 from ..plans import pulse as pulse_plan
@@ -30,7 +31,7 @@ def bars_since(spark, sf):
     bars = standin.bar_table(spark, sf)
     newest = standin.table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("newest"))
     # One row: the newest day.
-    dated = bars.crossJoin(F.broadcast(newest))
+    dated = bars.transform(beside, newest)
     return rounded(bar_ops.since(dated, F.date_sub("newest", 400), ["close"]), 4, "close")
 
 

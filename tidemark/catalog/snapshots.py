@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.keys import beside
 from ..functions import dates, text
 from ..functions.numbers import to_number
 from ..operators import keys, membership
@@ -103,7 +104,7 @@ def on_scan_now(spark, sf):
     members = standin.members(spark, sf)
     newest = standin.table(spark, sf, "events").agg(F.floor(F.unix_timestamp(F.max("ts")) / 21600).cast("long").alias("newest"))
     # One row: the latest run.
-    flagged = members.crossJoin(F.broadcast(newest))
+    flagged = members.transform(beside, newest)
     return flagged.groupBy("scanner", "symbol").agg(F.bool_or(F.col("run") == F.col("newest")).alias("on_scan"))
 
 
@@ -120,7 +121,7 @@ SELECT scanner, symbol, kind, run_at AS detected_at, value, json_extract_string(
 WHERE run_at >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY"""))
 def recent_breakouts(spark, sf):
     newest = standin.table(spark, sf, "events").agg(F.max("ts").alias("newest"))
-    found = membership.entries(standin.members(spark, sf)).crossJoin(F.broadcast(newest))
+    found = membership.entries(standin.members(spark, sf)).transform(beside, newest)
     recent = found.where(F.col("run_at") >= F.expr("newest - INTERVAL 10 DAYS"))
     return recent.select(
         "scanner", "symbol", "kind", F.col("run_at").alias("detected_at"), "value",
@@ -223,11 +224,11 @@ def tracked_symbols(spark, sf):
     newest = standin.table(spark, sf, "events").agg(F.max("ts").alias("newest"))
     hits = standin.hits(spark, sf).select("symbol", "hit_date")
     last = standin.table(spark, sf, "lineitem").where("l_linenumber = 1").agg(F.to_date(F.max("l_shipdate")).alias("last"))
-    fresh = membership.entries(members).crossJoin(F.broadcast(newest)).where("run_at >= newest - INTERVAL 5 DAYS")
-    current = members.crossJoin(F.broadcast(newest)).where(
+    fresh = membership.entries(members).transform(beside, newest).where("run_at >= newest - INTERVAL 5 DAYS")
+    current = members.transform(beside, newest).where(
         F.col("run") == F.floor(F.unix_timestamp("newest") / 21600)
     )
-    picked = hits.crossJoin(F.broadcast(last)).where(F.col("hit_date") >= F.date_sub("last", 120))
+    picked = hits.transform(beside, last).where(F.col("hit_date") >= F.date_sub("last", 120))
     return fresh.select("symbol").union(current.select("symbol")).union(picked.select("symbol")).distinct()
 
 
@@ -239,7 +240,7 @@ def history_start(spark, sf):
     first = found.agg(F.min("run_at").alias("first"), F.max("run_at").alias("last"), F.count(F.lit(1)).alias("entries"))
     picked = standin.hits(spark, sf).agg(F.date_sub(F.max("hit_date"), 120).alias("since"))
     # Two single-row tables.
-    both = first.crossJoin(picked)
+    both = first.transform(beside, picked)
     start = F.least(F.date_sub(F.to_date("first"), standin.SHIFT_DAYS), F.col("since"))
     return both.select(
         F.date_sub(start, 407).alias("start"), "entries", F.round(dates.age_hours(F.col("last"), F.col("first")), 6).alias("span_hours")

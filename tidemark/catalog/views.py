@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.keys import beside
 from ..functions import dates
 from ..operators import indicators, keys, membership
 from ..plans import live, quality
@@ -48,7 +49,7 @@ def scan_prices(spark, sf):
 
 def current_members(spark, sf):
     newest = standin.table(spark, sf, "events").agg(F.floor(F.unix_timestamp(F.max("ts")) / 21600).alias("newest"))
-    rows = scan_prices(spark, sf).crossJoin(F.broadcast(newest))
+    rows = scan_prices(spark, sf).transform(beside, newest)
     return rows.where(F.col("run") == F.col("newest")).drop("newest")
 
 

@@ -7,6 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Put the values of a one-row table, such as a whole-table maximum, beside every row.
+
+    The limit proves the broadcast holds one row; no rows are multiplied.
+    """
+    return df.crossJoin(F.broadcast(row.limit(1)))
+
+
 def pick_per_key(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """First n rows per key in `order`.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keys import beside
 from ..session import scratch_path
 
 _ROW_BITS = 33
@@ -116,4 +117,4 @@ def fifths(df: DataFrame, score: str, key: list[str], bins: int = 5) -> DataFram
     total = ranked.agg(F.count(F.lit(1)).alias("__n"))
     x = (F.col("__rank") - 1) * bins / F.nullif(F.col("__n") - 1, F.lit(0))
     cut = F.greatest(F.ceil(x).cast("int") - 1, F.lit(0))
-    return ranked.crossJoin(F.broadcast(total)).withColumn("bin", F.coalesce(cut, F.lit(0))).drop("__rank", "__n")
+    return ranked.transform(beside, total).withColumn("bin", F.coalesce(cut, F.lit(0))).drop("__rank", "__n")

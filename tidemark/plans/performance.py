@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keys import beside
 from ..operators.books import Book, period_returns
 
 
@@ -12,7 +13,7 @@ def same_days(index: DataFrame, curve: DataFrame) -> DataFrame:
     """Index rows (date, value) between the curves' first and last day."""
     span = curve.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     # One row: the span.
-    return index.crossJoin(F.broadcast(span)).where(F.col("date").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return index.transform(beside, span).where(F.col("date").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def years(curve: DataFrame, index: DataFrame, books: list[Book]) -> DataFrame:
@@ -37,7 +38,7 @@ def months(curve: DataFrame, index: DataFrame, books: list[Book]) -> DataFrame:
     own = curve.groupBy("book", month).agg(F.max_by("value", "date").alias("value"))
     bench = same_days(index, curve)
     first = bench.agg(F.min_by("value", "date").alias("first"))
-    theirs = bench.groupBy(month).agg(F.max_by("value", "date").alias("v")).crossJoin(F.broadcast(first))
+    theirs = bench.groupBy(month).agg(F.max_by("value", "date").alias("v")).transform(beside, first)
     capital = F.lit(None).cast("double")
     for book in books:
         capital = F.when(F.col("book") == book.name, F.lit(book.capital)).otherwise(capital)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.keys import beside
 from ..operators.bars import numbered
 
 
@@ -51,7 +52,7 @@ def index_pulse(index: DataFrame) -> DataFrame:
 def breadth(bars: DataFrame, fresh_days: int = 5, history_days: int = 110) -> DataFrame:
     """Share of fresh symbols, indexes left out, that close above their own 50-session mean."""
     newest = bars.agg(F.max("date").alias("newest"))
-    dated = bars.where(~F.col("symbol").startswith("^")).crossJoin(F.broadcast(newest))
+    dated = bars.where(~F.col("symbol").startswith("^")).transform(beside, newest)
     recent = numbered(dated.where(F.col("date") >= F.date_sub("newest", history_days)))
     mean = F.avg("close").over(W.partitionBy("symbol").orderBy("pos").rowsBetween(-49, 0))
     last = recent.withColumn("mean", mean).where(

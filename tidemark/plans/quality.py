@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keys import beside
 from .. import config
 from ..functions import dates
 
@@ -48,7 +49,7 @@ def checks(
     )
     held = states.where(F.col("status") == "holding").groupBy("symbol").agg(F.max("last_date").alias("last_date"))
     newest = held.agg(F.max("last_date").alias("newest"))
-    late = held.crossJoin(F.broadcast(newest)).agg(
+    late = held.transform(beside, newest).agg(
         F.count_if(F.col("last_date") != F.col("newest")).alias("late"), F.count(F.lit(1)).alias("held")
     )
     stale = check(late, "prices", F.col("late") == 0, F.concat(F.col("late"), F.lit(" of "), F.col("held"), F.lit(" behind")))

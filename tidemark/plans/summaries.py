@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators.keys import pick_per_key
+from ..operators.keys import beside, pick_per_key
 
 
 def share(condition: Column) -> Column:
@@ -138,7 +138,7 @@ def from_common_start(trades: DataFrame) -> DataFrame:
     """Trades from the first day on which every scanner has had one."""
     starts = trades.groupBy("scanner").agg(F.min("entry_date").alias("m")).agg(F.max("m").alias("start"))
     # One row: the common start.
-    return trades.crossJoin(F.broadcast(starts)).where(F.col("entry_date") >= F.col("start")).drop("start")
+    return trades.transform(beside, starts).where(F.col("entry_date") >= F.col("start")).drop("start")
 
 
 def trade_rollup(trades: DataFrame) -> DataFrame:

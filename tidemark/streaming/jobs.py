@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.keys import beside
 from ..operators import membership
 from ..sinks.tables import read_version, upsert_version
 
@@ -80,7 +81,7 @@ def settled_entries(members: DataFrame, max_gap_hours: float) -> DataFrame:
     partial = membership.partial_reads(members, max_gap_hours)
     clean = membership.repaired(members, partial)
     newest = members.agg(F.max("run_at").alias("newest"))
-    found = membership.entries(clean).crossJoin(F.broadcast(newest))
+    found = membership.entries(clean).transform(beside, newest)
     age = (F.unix_timestamp("newest") - F.unix_timestamp("run_at")) / 3600
     return found.where(age >= max_gap_hours).drop("newest")
 
