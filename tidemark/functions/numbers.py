@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Digits and exponent are short enough that the value cannot overflow to infinity.
+NUMERIC_TEXT = r"^[+-]?(\d{1,180}\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
 
 
 def finite(c: Column) -> Column:
@@ -17,8 +18,8 @@ def finite(c: Column) -> Column:
 
 def to_number(c: Column, strip: str = r"[,%\s]") -> Column:
     """Number from text after removing separators; NULL when it is not a finite number."""
-    text = F.regexp_replace(c.cast("string"), strip, "")
-    return finite(F.when(text.rlike(NUMERIC_TEXT), text.cast("double")))
+    bare = F.regexp_replace(c.cast("string"), strip, "")
+    return F.regexp_extract(bare, NUMERIC_TEXT, 0).try_cast("double")
 
 
 def currency_to_number(c: Column) -> Column:
