@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import keys
+from ..session import scratch_path
 from ..sinks import tables
 from ..sources import standin
 from .base import query, with_views
@@ -63,3 +64,28 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'fresh' ELSE event_type END AS
 def late_columns(spark, sf):
     rows = standin.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 1, F.col("event_type")).alias("kind"))
     return tables.with_defaults(rows, {"kind": F.lit("fresh"), "volume": F.lit(None).cast("double")})
+
+
+@query("csv_export", "K7", """
+SELECT user_id, count(*) AS n, min(CAST(ts AS DATE)) AS first, max(value) AS best FROM events GROUP BY user_id""")
+def csv_export(spark, sf):
+    """Per-user summary written as CSV and read back."""
+    path = scratch_path(spark, "csv")
+    rows = standin.table(spark, sf, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.to_date("ts")).alias("first"), F.max("value").alias("best")
+    )
+    tables.export_csv(rows, path)
+    return spark.read.schema("user_id bigint, n bigint, first date, best double").option("header", True).csv(path)
+
+
+@query("calendar_replace", "K5", f"""
+SELECT user_id, max(ts) AS fetched_at FROM events WHERE ts >= TIMESTAMP '{CUT}' GROUP BY user_id""")
+def calendar_replace(spark, sf):
+    """A stored calendar is replaced once it is old enough; an empty or an early refresh changes nothing."""
+    path = scratch_path(spark, "calendar")
+    old, new = (h.groupBy("user_id").agg(F.max("ts").alias("fetched_at")) for h in halves(spark, sf))
+    tables.replace_if_filled(old, path, F.lit(CUT).cast("timestamp"))
+    tables.replace_if_filled(new, path, F.lit(CUT).cast("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    tables.replace_if_filled(new.where("user_id < 0"), path, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    tables.replace_if_filled(new, path, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return spark.read.parquet(path)
