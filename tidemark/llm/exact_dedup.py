@@ -26,6 +26,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else every partition's store sets 4 MB of disk aside for its manifest alone.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -69,7 +71,7 @@ def absorb(spark: SparkSession, feed: str, checkpoint: str, schema, batches: int
 
 
 def dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 4, digest: Callable[[Column], Column] = sha256
+    docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2, digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept, digest, `__file`, `__row`.
 
