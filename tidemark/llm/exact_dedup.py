@@ -96,7 +96,8 @@ def dedup(
     texts = stored(placed.select("__file", "__row", normalised(text).alias("bytes")).join(shared, ["__file", "__row"]), "dedup-shared")
     kept = texts.where("first").select("digest", F.col("bytes").alias("kept_bytes"))
     other = texts.where("not first").join(kept, "digest").where(F.col("bytes") != F.col("kept_bytes")).select("digest")
-    clash = stored(other.groupBy("digest").agg(F.count(F.lit(1)).alias("differ")), "dedup-clash")
+    # Written as it comes: an aggregation here would keep the join from splitting a digest that many rows share.
+    clash = stored(other, "dedup-clash").distinct()
     if clash.isEmpty():
         return decided
     apart = texts.join(clash, "digest", "left_semi").join(rows.drop("digest"), ["__file", "__row"])
