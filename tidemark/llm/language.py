@@ -22,14 +22,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blank_if_null
-
 SAMPLE = 24_000  # letters a language, and TOTAL over all of them
 TOTAL = 400_000
 ROWS = 400
 LETTERS = 250
+LANGS = 200
 STRETCH = 512
-_END = np.int32(1 << 30)
+_MARK = 30  # bits of a table entry below the number of phrases that end with the step
 _TABLES: dict[tuple, tuple] = {}
 
 
@@ -80,15 +79,17 @@ def _tables(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarra
         parts, starts, base = [], [], 0
         for _, text in samples:
             steps = suffix_automaton(code[[ord(c) for c in text]].tolist())
-            full = np.full((len(steps), n), -1, dtype=np.int32)
+            full = np.full((len(steps), n), -1, dtype=np.int64)
             for i, row in enumerate(steps):
                 for c, to in row.items():
                     full[i, c] = to
-            # No transition: the phrase ends and the letter starts the next one, from the empty state.
-            restart = np.where(full[0] >= 0, full[0], 0) | _END
-            full = np.where(full >= 0, full, restart)
-            full[0] = np.where(full[0] & _END, _END, full[0])
-            parts.append((full & ~_END) * n + base | (full & _END))
+            # No transition: the phrase ends and the letter starts the next one, from the empty state. A letter the
+            # sample lacks is a phrase of its own.
+            lacks = full[0] < 0
+            ends = np.where(full >= 0, 0, 1 + lacks)
+            ends[0] = lacks
+            to = np.where(full >= 0, full, np.where(lacks, 0, full[0]))
+            parts.append(((to * n + base) | (ends << _MARK)).astype(np.uint32))
             starts.append(base)
             base += full.size
         _TABLES.clear()
@@ -99,7 +100,7 @@ def _tables(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarra
 def phrases(texts: list[str], samples: tuple[tuple[str, str], ...]) -> np.ndarray:
     """Phrases of each text (rows) against each language (columns); texts as `letters` gives them."""
     table, code, _, starts = _tables(samples)
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
     at = np.concatenate([[0], np.cumsum(lengths)])
     codes = code[np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")]
     lanes = -(-lengths // STRETCH)
@@ -110,14 +111,14 @@ def phrases(texts: list[str], samples: tuple[tuple[str, str], ...]) -> np.ndarra
     order = np.argsort(-size, kind="stable")
     begin, size, owner = begin[order], size[order], owner[order]
     active = np.searchsorted(-size, -np.arange(STRETCH), side="left") if len(size) else np.zeros(STRETCH, int)
-    state = np.repeat(starts.astype(np.int32)[:, None], len(owner), axis=1)
+    state = np.repeat(starts.astype(np.uint32)[:, None], len(owner), axis=1)
     ended = np.zeros(state.shape, dtype=np.int32)
     for t, n in enumerate(active):
         if not n:
             break
         got = table[state[:, :n] + codes[begin[:n] + t]]
-        ended[:, :n] += got >= _END
-        state[:, :n] = got & ~_END
+        ended[:, :n] += (got >> np.uint32(_MARK)).astype(np.int32)
+        state[:, :n] = got & np.uint32((1 << _MARK) - 1)
     # The phrase that the end of a stretch cuts off counts too, unless it is empty.
     ended += state != starts[:, None]
     out = np.zeros((len(texts), len(starts)))
@@ -129,16 +130,21 @@ def phrases(texts: list[str], samples: tuple[tuple[str, str], ...]) -> np.ndarra
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
     """Sample letters per language, in order of language: rows where `learn` holds and the language is known.
 
-    At most `ROWS` rows a language in the order of a hash of their id (limited on each task before the shuffle), and of
-    those whole texts as long as they fit in `SAMPLE` letters; only a first text that is longer by itself is cut.
+    The rows are those with the least hashes among the known ones, some `ROWS` a language (a share that follows from the
+    language's count, so no more than a few times that leave their tasks), texts of moderate length first. Whole texts
+    are taken as long as they fit in `SAMPLE` letters; only a first text that is longer by itself is cut. At most the
+    `LANGS` most frequent languages are learned.
     """
-    known = docs.where(learn & F.col(lang).isNotNull() & (F.length(F.trim(blank_if_null(text))) > 0))
-    place = F.row_number().over(W.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key), F.length(text)))
-    short = known.where(F.length(text) <= SAMPLE // 4).select(key, lang, text)
-    rows = short.withColumn("__n", place).where(F.col("__n") <= ROWS).select(lang, text, "__n")
-    langs = known.select(lang).distinct().join(rows.select(lang).distinct(), lang, "left_anti")
-    longer = known.join(langs, lang).select(key, lang, text).withColumn("__n", place).where("__n = 1").select(lang, text, "__n")
-    found = sorted(rows.unionByName(longer).collect(), key=lambda r: (r[0], r[2]))
+    known = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(key, lang, text)
+    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGS).collect()
+    if not counts:
+        return ()
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 4 * ROWS / r[1]))])
+    place = F.xxhash64(F.col(key).cast("string"), text)
+    near = known.where(F.pmod(place, F.lit(1 << 20)) < F.try_element_at(share, lang) * (1 << 20))
+    first = F.row_number().over(W.partitionBy(lang).orderBy(F.length(text) > SAMPLE // 4, place))
+    rows = near.withColumn("__n", first).where(F.col("__n") <= ROWS).select(lang, F.substring(text, 1, SAMPLE), "__n").collect()
+    found = sorted(rows, key=lambda r: (r[0], r[2]))
     most = min(SAMPLE, TOTAL // max(1, len({r[0] for r in found})))
     taken: dict[str, str] = {}
     for row in found:
