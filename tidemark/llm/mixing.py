@@ -70,8 +70,8 @@ def mix(
         docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), seeded(seed, F.col(key)).alias("h")), "mix-rows"
     )
     goals = water_fill(stored(weigh(rows, weights), "mix-weights"), max_epochs)
-    whole = F.least(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(max_epochs))
-    goals = goals.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long")).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0)
+    goals = goals.withColumn("whole", whole.cast("long")).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
     goals = stored(goals.select("source", "source_size", "target", "whole", "goal"), "mix-goals")
     same = lambda other: F.col("r.source").eqNullSafe(other["source"])
 
@@ -105,7 +105,7 @@ def mix(
     )
     bounds = stored(bounds, "mix-bounds")
     placed = r.join(bounds.alias("b"), same(bounds)).select("r.*", "source_size", "target", "whole", "goal", "cut")
-    placed = placed.withColumn("extra", F.when(F.col("h") <= F.col("cut"), 1).otherwise(0))
+    placed = placed.withColumn("extra", F.when((F.col("h") <= F.col("cut")) & (F.col("whole") < max_epochs), 1).otherwise(0))
     gap = bounds.select("source", (F.col("goal") - F.col("got")).alias("gap"))
     rest = placed.where((F.col("extra") == 0) & (F.col("size") > 0))
     picks = None

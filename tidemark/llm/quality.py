@@ -74,8 +74,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     """id, content_score, metadata_score, score (0 to 1), keep (score >= 0.5) per row of `docs` (text, source, lang, n_chars).
 
     NULL values count as empty, unknown or 0. Labels that are NULL are ignored; of repeated labels for an id the
-    greatest counts. If the labels don't hold both classes, nothing can be learned: scores are the share of
-    positive labels, or 0.5 without any. Repeated rows are scored alike; an empty table gives an empty result.
+    greatest counts. If the labelled documents don't hold both classes, nothing can be learned: scores are the
+    share of positive labels, or 0.5 without any. Repeated rows are scored alike; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("id"), "text", "source", "lang", "n_chars")
@@ -84,16 +84,18 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     columns = [F.col("id"), *[v.alias(k) for view in named for k, v in view.items()]]
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label)).cast("double").alias("y"))
     known = stored(_first(known, LABELLED), "quality-labels")
-    classes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    if len(classes) < 2:
-        flat = F.lit(float(next(iter(classes), 0.5)))
-        return base.select("id", flat.alias("content_score"), flat.alias("metadata_score"), flat.alias("score"), (flat >= 0.5).alias("keep"))
     seen = stored(base.join(known, "id").dropDuplicates(["id"]).select(*columns, "y"), "quality-known")
+    held = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(5)) == 0
+    both_in = lambda rows: rows.select("y").distinct().count() == 2
+    if not both_in(seen):
+        share = known.agg(F.avg("y")).first()[0]
+        flat = F.lit(0.5 if share is None else float(share))
+        return base.select("id", flat.alias("content_score"), flat.alias("metadata_score"), flat.alias("score"), (flat >= 0.5).alias("keep"))
+    train = seen.where(~held) if both_in(seen.where(~held)) else seen
     pool = _first(base.select("id").where("id is not null").distinct().join(known, "id", "left_anti"), POOL)
     pool = stored(base.join(stored(pool, "quality-pool"), "id").dropDuplicates(["id"]).select(*columns), "quality-unlabelled")
-    held = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(5)) == 0
     views = [{k: F.col(k) for k in view} for view in named]
-    rows = [seen.where(~held), seen.where(~held)]
+    rows = [train, train]
     fits = [_fit(r, list(v)) for r, v in zip(rows, views)]
     taken: DataFrame | None = None
     for _ in range(ROUNDS):
@@ -109,9 +111,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         both = handed[0].select("id").unionByName(handed[1].select("id"))
         taken = stored((both if taken is None else both.unionByName(taken)).distinct(), "quality-taken")
         fits = [_fit(r, list(v)) for r, v in zip(rows, views)]
-    apart = seen.where(held)
-    if apart.select("y").distinct().count() < 2:
-        apart = seen
+    apart = seen.where(held) if both_in(seen.where(held)) else seen
     stacked = apart.select("y", *[_odds(v, f).alias(n) for v, f, n in zip(views, fits, ("c", "m"))])
     (wc, wm), mid = _fit(stored(stacked, "quality-calibration"), ["c", "m"])
     single = [_fit(stacked.select("y", n), [n]) for n in ("c", "m")]
