@@ -39,3 +39,11 @@ def located(df: DataFrame) -> DataFrame:
 def blank_if_null(text: str | Column) -> Column:
     col = F.col(text) if isinstance(text, str) else text
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def in_small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """`df`, whose Python tasks get at most so many rows at a time: batches of long texts stay small."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+    return df

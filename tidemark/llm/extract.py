@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 # A tag, comment, declaration or a raw-text element with its content.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -291,4 +293,4 @@ def extract(pages: DataFrame, html_column: str = "html", out: str = "text") -> D
             texts = pa.array([main_text(p) for p in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return in_small_batches(rows).mapInArrow(run, rows.schema)

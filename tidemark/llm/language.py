@@ -22,6 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import in_small_batches
+
 SAMPLE = 24_000  # letters a language, and TOTAL over all of them
 TOTAL = 400_000
 ROWS = 400
@@ -187,14 +189,14 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "
             for body in texts:
                 some.append(body)
                 held += len(body)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     judge()
                     some, held = [], 0
             judge()
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())]))
+    return in_small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())]))
 
 
 def held_out(key: str = "doc_id") -> Column:

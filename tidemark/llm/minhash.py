@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located, stored
+from .common import in_small_batches, located, stored
 from .shingles import mixed, multisets, occurrences
 
 BANDS, ROWS = 25, 5
@@ -70,11 +71,11 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int
     return mixed(best.view(np.uint64)).reshape(n, m)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Row runs of bounded text size (a longer text alone)."""
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
-        sizes = np.cumsum([len(t) if t else 0 for t in text.to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < batch.num_rows:
             before = sizes[begin - 1] if begin else 0
@@ -119,7 +120,7 @@ def sketch(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, *columns], [*part.schema.names[:-1], "bag", "n", "sig", "bands"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, bag binary, n long, sig binary, bands array<long>")
+    return in_small_batches(rows).mapInArrow(run, f"{fields}, bag binary, n long, sig binary, bands array<long>")
 
 
 def bags(rows: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def bags(rows: DataFrame) -> DataFrame:
             items = pa.ListArray.from_arrays(cuts, pa.array(item.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), items, fine], ["bag", "items", "fine"])
 
-    return rows.mapInArrow(run, "bag binary, items array<long>, fine binary")
+    return in_small_batches(rows).mapInArrow(run, "bag binary, items array<long>, fine binary")
 
 
 def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:

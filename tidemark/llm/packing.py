@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 _PIECES = "doc_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict[tuple[str, str], object] = {}
 
@@ -185,4 +187,4 @@ def pack(
             yield batch()
 
     pair = docs.select(key, docs[text].cast("string").alias("__text"))
-    return pair.mapInArrow(run, _PIECES.format(key=pair.schema[0].dataType.simpleString()))
+    return in_small_batches(pair).mapInArrow(run, _PIECES.format(key=pair.schema[0].dataType.simpleString()))
