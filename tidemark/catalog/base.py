@@ -60,7 +60,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                first(p_type ORDER BY l_orderkey, l_partkey) AS sector
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
              JOIN part ON l_partkey = p_partkey
-        WHERE l_linenumber = 1 GROUP BY ALL"""),
+        GROUP BY ALL"""),
     "rules": ([], """
         SELECT * FROM (VALUES
             ('1-URGENT', true, 5, 15.0, NULL, 6.0, 250), ('2-HIGH', false, 3, 15.0, 10.0, NULL, 250),

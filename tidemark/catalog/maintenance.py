@@ -46,7 +46,7 @@ SELECT scanner, change, count(*) AS n FROM (
 def mirror_sync(spark, sf):
     key = ["scanner", "symbol", "hit_date"]
     now = standin.hits(spark, sf)
-    wanted = now.where("symbol % 5 <> 0").select(*key).union(standin.hits(spark, sf, 2, "o_orderdate").select(*key))
+    wanted = now.where("symbol % 5 <> 0").select(*key).union(standin.hits(spark, sf, "o_orderdate").select(*key))
     return keys.mirror_changes(now, wanted, key).groupBy("scanner", "change").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -44,12 +44,12 @@ def weekly_bars(spark, sf):
 
 
 @query("completed_bars", "F4 T6", with_views("bars", """
-SELECT symbol, count(*) AS bars, max(date) AS last_day
-FROM bars WHERE NOT (date = DATE '2001-10-15' AND pos = n_bars - 1) AND date <= DATE '2001-10-15' GROUP BY symbol"""))
+SELECT symbol, count(*) AS bars, max(date) AS last_day FROM bars WHERE date < DATE '2001-10-15' GROUP BY symbol"""))
 def completed_bars(spark, sf):
-    # 06:00 UTC is 11:30 local, so that day's bar is still forming.
+    # 06:00 UTC is 11:30 local, so that day's bar is still forming and the day before is the last complete one.
     day = standin.bar_table(spark, sf).where(F.col("date") <= F.lit("2001-10-15").cast("date"))
-    done = bar_ops.completed(day, F.lit("2001-10-15 06:00:00").cast("timestamp"), "15:30")
+    seen = bar_ops.numbered(day.drop("pos", "n_bars"))
+    done = bar_ops.completed(seen, F.lit("2001-10-15 06:00:00").cast("timestamp"), "15:30")
     return done.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max("date").alias("last_day"))
 
 

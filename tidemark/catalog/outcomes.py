@@ -20,8 +20,8 @@ RULES = standin.RULES
 
 def sources_of(spark, sf):
     """Two hit sources: exports first, then hits dated by order day."""
-    exported = standin.hits(spark, sf, 1).withColumn("source", F.lit("backtest"))
-    live = standin.hits(spark, sf, 2, "o_orderdate").withColumn("source", F.lit("live"))
+    exported = standin.hits(spark, sf).withColumn("source", F.lit("backtest"))
+    live = standin.hits(spark, sf, "o_orderdate").withColumn("source", F.lit("live"))
     return [exported, live]
 
 
@@ -45,7 +45,7 @@ HITS2 = {
                first(p_type ORDER BY l_orderkey, l_partkey) AS sector
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
              JOIN part ON l_partkey = p_partkey
-        WHERE l_linenumber = 2 GROUP BY ALL"""),
+        GROUP BY ALL"""),
 }
 
 
@@ -185,9 +185,7 @@ FROM (SELECT *, 5 * (d // 7) + least(d % 7, 4) + entry_window AS total,
       FROM (SELECT *, date_diff('day', DATE '1970-01-05', signal_date) AS d FROM touches))"""))
 def order_deadlines(spark, sf):
     at = sig.locate(standin.signals(spark, sf), standin.bar_table(spark, sf), RULES)
-    end = F.when(RULES.weekly(F.col("scanner")), dates.add_workdays(F.col("signal_date"), config.WEEKLY_WINDOW)).otherwise(
-        dates.add_workdays(F.col("signal_date"), config.DAILY_WINDOW)
-    )
+    end = dates.add_workdays(F.col("signal_date"), RULES.value(F.col("scanner"), "window"))
     return at.select(
         "scanner", "symbol", "hit_date", "signal_date", tier_priority(F.col("tier")).alias("priority"), end.alias("valid_until")
     )
@@ -243,9 +241,9 @@ def horizon_stats(spark, sf):
 
 
 @query("group_cells", "A3", with_views("holds", """
-SELECT scanner, horizon, dimension, coalesce(nullif(grp, ''), 'Unknown') AS grp, n, CASE WHEN n >= min_n THEN up END AS up,
+SELECT scanner, horizon, dimension, grp, n, CASE WHEN n >= min_n THEN up END AS up,
        CASE WHEN n >= min_n THEN mean END AS mean, CASE WHEN n >= min_n THEN excess END AS excess
-FROM (SELECT scanner, horizon, dimension, grp, count(*) AS n, max(min_n) AS min_n,
+FROM (SELECT scanner, horizon, dimension, coalesce(nullif(grp, ''), 'Unknown') AS grp, count(*) AS n, max(min_n) AS min_n,
              round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 7) AS up, (CAST(sum(CAST(round((ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret) / 100) AS mean, (CAST(sum(CAST(round((ret - index_ret) * 100) AS BIGINT)) AS DOUBLE) / count(ret - index_ret) / 100) AS excess
       FROM (SELECT *, 'tier' AS dimension, tier AS grp, 10 AS min_n FROM holds
             UNION ALL SELECT *, 'year', CAST(year(entry_date) AS VARCHAR), 10 FROM holds

@@ -23,8 +23,7 @@ NESTED = {
     "sets": (["folded"], """
         SELECT *, row_number() OVER (PARTITION BY scanner ORDER BY run) AS idx, lead(run) OVER (PARTITION BY scanner ORDER BY run) AS next_run,
                lead(s) OVER (PARTITION BY scanner ORDER BY run) AS next_s
-        FROM (SELECT *, row_number() OVER (PARTITION BY scanner ORDER BY run DESC) AS back FROM
-                (SELECT scanner, run, list(symbol) AS s FROM folded GROUP BY scanner, run)) WHERE back <= 60"""),
+        FROM (SELECT scanner, run, list(symbol) AS s FROM folded GROUP BY scanner, run)"""),
     "walk": (["sets"], """
         SELECT scanner, idx, run, run AS base_run, s AS base_s, next_run, false AS half FROM sets WHERE idx = 1
         UNION ALL
@@ -223,7 +222,7 @@ def tracked_symbols(spark, sf):
     members = standin.members(spark, sf)
     newest = standin.table(spark, sf, "events").agg(F.max("ts").alias("newest"))
     hits = standin.hits(spark, sf).select("symbol", "hit_date")
-    last = standin.table(spark, sf, "lineitem").where("l_linenumber = 1").agg(F.to_date(F.max("l_shipdate")).alias("last"))
+    last = standin.table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("last"))
     fresh = membership.entries(members).transform(beside, newest).where("run_at >= newest - INTERVAL 5 DAYS")
     current = members.transform(beside, newest).where(
         F.col("run") == F.floor(F.unix_timestamp("newest") / 21600)

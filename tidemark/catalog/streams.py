@@ -1,15 +1,40 @@
-"""Streaming jobs run to the end of the event files; checks are their batch results."""
+"""Streaming jobs over events that arrive in several landings; checks are their batch results.
+
+Events land in time order, cut at points that no run or week ends at, and every thirteenth one only in the last
+landing, late by up to the whole span. A job is stopped after each landing and goes on from its checkpoint.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..operators.keys import beside
 from ..session import scratch_path
 from ..sources import standin
 from ..streaming import jobs
 from .base import query, with_views
 
+LANDINGS = 6
+
+
+def over_landings(spark, sf, name: str, job: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Run `job(stream, work)` after each landing; its last result."""
+    work = scratch_path(spark, name)
+    events = standin.table(spark, sf, "events")
+    span = events.agg(F.min(F.unix_timestamp("ts")).alias("lo"), F.max(F.unix_timestamp("ts")).alias("hi"))
+    at = (F.unix_timestamp("ts") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
+    landing = F.when(F.col("event_id") % 13 == 0, LANDINGS).otherwise(F.floor(at * (LANDINGS - 0.3))).cast("int")
+    placed = events.transform(beside, span).withColumn("landing", landing).drop("lo", "hi")
+    out = None
+    for k in range(LANDINGS + 1):
+        placed.where(F.col("landing") == k).drop("landing").write.mode("append").parquet(f"{work}/landed")
+        out = job(jobs.event_stream(spark, f"{work}/landed", "*.parquet", 1000), f"{work}/job")
+    return out
+
 
 def to_members(rows):
     return rows.select(
@@ -20,7 +45,7 @@ def to_members(rows):
 
 @query("stream_new_members", "T1 T2", with_views("entries", "SELECT scanner, symbol, run, prev_run, kind FROM entries"))
 def stream_new_members(spark, sf):
-    return jobs.membership_diff(jobs.event_stream(spark, sf), to_members, scratch_path(spark, "diff"))
+    return over_landings(spark, sf, "diff", lambda stream, work: jobs.membership_diff(stream, to_members, work))
 
 
 @query("settled_entries", "T3 J27")
@@ -31,41 +56,28 @@ def settled_entries(spark, sf):
 @query("stream_latest_bars", "T4 K1", """
 SELECT user_id, CAST(ts AS DATE) AS day, arg_max(value, ROW(ts, event_id)) AS value, max(ts) AS ts, arg_max(event_id, ROW(ts, event_id)) AS event_id FROM events GROUP BY user_id, CAST(ts AS DATE)""")
 def stream_latest_bars(spark, sf):
-    rows = jobs.event_stream(spark, sf).select("user_id", F.to_date("ts").alias("day"), "value", "ts", "event_id")
-    return jobs.latest_bars(rows, scratch_path(spark, "bars"), ["user_id", "day"], ["ts", "event_id"])
+    def job(stream, work):
+        rows = stream.select("user_id", F.to_date("ts").alias("day"), "value", "ts", "event_id")
+        return jobs.latest_bars(rows, work, ["user_id", "day"], ["ts", "event_id"])
+
+    return over_landings(spark, sf, "bars", job)
 
 
 @query("stream_closed_weeks", "T5", """
-SELECT user_id, date_trunc('week', ts)::TIMESTAMP AS week, max(value) AS high, min(value) AS low, count(*) AS n FROM events
-GROUP BY user_id, date_trunc('week', ts)::TIMESTAMP HAVING date_trunc('week', ts)::TIMESTAMP + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+SELECT user_id, week, high, low, n FROM (
+    SELECT *, lead(week) OVER (PARTITION BY user_id ORDER BY week) IS NOT NULL AS later FROM (
+        SELECT user_id, date_trunc('week', ts)::TIMESTAMP AS week, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY ALL))
+WHERE later OR (SELECT max(ts) FROM events) >= week + INTERVAL 5 DAY""")
 def stream_closed_weeks(spark, sf):
-    work = scratch_path(spark, "weeks")
-    weeks = jobs.closed_weeks(jobs.event_stream(spark, sf))
-    jobs.run_to_end(weeks, work, "weeks", out=f"{work}/out")
-    return spark.read.parquet(f"{work}/out")
+    return over_landings(spark, sf, "weeks", jobs.closed_weeks)
 
 
 @query("stream_slots_once", "T7 T8", """
 SELECT slot FROM (SELECT DISTINCT CASE WHEN isodow(l) < 6 AND hm >= '10:00' AND hm < '20:00' THEN strftime(l, '%Y-%m-%d') || ' ' || CASE WHEN hm < '13:00' THEN '10:00' WHEN hm < '15:00' THEN '13:00' ELSE '15:00' END END AS slot
     FROM (SELECT *, strftime(l, '%H:%M') AS hm FROM (SELECT *, ts + INTERVAL 330 MINUTE AS l FROM events))) WHERE slot IS NOT NULL""")
 def stream_slots_once(spark, sf):
-    work = scratch_path(spark, "slots")
-    slotted = jobs.event_stream(spark, sf).select("ts", dates.slot_of(dates.local_time(F.col("ts"))).alias("slot"))
-    once = jobs.once_only(slotted.where(F.col("slot").isNotNull()), ["slot"])
-    jobs.run_to_end(once, work, "slots", out=f"{work}/out")
-    return spark.read.parquet(f"{work}/out").select("slot")
-
+    def job(stream, work):
+        slotted = stream.select(dates.slot_of(dates.local_time(F.col("ts"))).alias("slot"))
+        return jobs.once_only(slotted.where(F.col("slot").isNotNull()), work, ["slot"])
 
-@query("stream_resting_orders", "T9")
-def stream_resting_orders(spark, sf):
-    """Daily bars per user are stored first, then streamed; a sign-up day is the signal."""
-    work = scratch_path(spark, "orders")
-    events = standin.table(spark, sf, "events")
-    daily = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
-        F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max("value").alias("high"),
-        F.bool_or(F.col("event_type") == "signup").alias("signal"),
-    )
-    daily.write.parquet(f"{work}/days")
-    days = spark.readStream.schema("user_id bigint, day date, open double, high double, signal boolean").parquet(f"{work}/days")
-    jobs.run_to_end(jobs.resting_orders(days), work, "orders", out=f"{work}/out")
-    return spark.read.parquet(f"{work}/out")
+    return over_landings(spark, sf, "slots", job)

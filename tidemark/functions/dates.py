@@ -54,10 +54,10 @@ def workdays_held(start: Column, end: Column) -> Column:
     return (_workdays_before(end) - _workdays_before(start) + 1).cast("int")
 
 
-def add_workdays(c: Column, n: int) -> Column:
+def add_workdays(c: Column, n: int | Column) -> Column:
     """n Monday-to-Friday days later; a weekend counts from its Friday."""
     days = F.datediff(c, F.lit(_FIRST_MONDAY).cast("date"))
-    total = F.floor(days / 7).cast("int") * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(4)) + F.lit(n)
+    total = F.floor(days / 7).cast("int") * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(4)) + (n if isinstance(n, Column) else F.lit(n))
     offset = F.floor(total / 5).cast("int") * 7 + F.pmod(total, F.lit(5))
     return F.date_add(F.lit(_FIRST_MONDAY).cast("date"), offset)
 

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Digits and exponent are short enough that the value cannot overflow to infinity.
-NUMERIC_TEXT = r"^[+-]?(\d{1,180}\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
+NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def finite(c: Column) -> Column:
@@ -19,7 +18,9 @@ def finite(c: Column) -> Column:
 def to_number(c: Column, strip: str = r"[,%\s]") -> Column:
     """Number from text after removing separators; NULL when it is not a finite number."""
     bare = F.regexp_replace(c.cast("string"), strip, "")
-    return F.regexp_extract(bare, NUMERIC_TEXT, 0).try_cast("double")
+    number = F.regexp_extract(bare, NUMERIC_TEXT, 0).try_cast("double")
+    # In a one-element array, so that the parsed value is named three times but computed and compiled once.
+    return F.get(F.transform(F.array(number), finite), F.lit(0))
 
 
 def currency_to_number(c: Column) -> Column:

@@ -44,15 +44,16 @@ def entries(members: DataFrame) -> DataFrame:
     return joined.where(F.col("prev_run").isNotNull() & absent).withColumn("kind", kind)
 
 
-def partial_reads(members: DataFrame, max_gap_hours: float = 2.0, tail: int = 60) -> DataFrame:
-    """Half-read runs among a scanner's last `tail`: (scanner, run, base_run, next_run).
+def partial_reads(members: DataFrame, max_gap_hours: float = 2.0) -> DataFrame:
+    """Half-read runs of each scanner: (scanner, run, base_run, next_run).
 
     Run i is half-read when it is a strict part of its base, the next run has all that was
     missing, and follows soon. The base is the run before, or that run's own base when it
     was half-read itself. Rounds repeat only for runs whose base moved, and end after the
     longest chain; the table of decisions has one row per scanner and run.
     """
-    runs = scanner_runs(members).where(F.col("from_end") <= tail)
+    members = cut(members.select("scanner", "run", "run_at", "symbol"))
+    runs = scanner_runs(members)
     gap = (F.unix_timestamp(F.lead("run_at").over(of_scanner())) - F.unix_timestamp("run_at")) / 3600.0
     state = cut(
         runs.select(
@@ -60,7 +61,7 @@ def partial_reads(members: DataFrame, max_gap_hours: float = 2.0, tail: int = 60
             F.lag("run").over(of_scanner()).alias("base_run"), F.lit(True).alias("open"), F.lit(False).alias("half"),
         )
     )
-    for _ in range(tail):
+    while True:
         asked = state.where(
             F.col("open") & F.col("base_run").isNotNull() & F.col("next_run").isNotNull() & (F.col("gap") <= max_gap_hours)
         )

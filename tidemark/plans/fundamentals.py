@@ -214,13 +214,12 @@ def checked(rows: DataFrame) -> DataFrame:
 
 def ranked_universe(rows: DataFrame, key: str = "code") -> DataFrame:
     """Every company scored, screened with a derived P/E filled in, and ranked by score, unknown last."""
-    scored_rows = scored(bank_adjusted(rows, for_score=True))
     # The screen reads the fields as exported; only an absent P/E is filled from the score.
-    original = rows.select(key, *[F.col(c).alias(f"__{c}") for c in ("debtor_days", "promoter")])
-    joined = scored_rows.join(original, key).withColumns(
+    kept = rows.withColumns({f"__{c}": F.col(c) for c in ("debtor_days", "promoter")})
+    restored = scored(bank_adjusted(kept, for_score=True)).withColumns(
         {"debtor_days": F.col("__debtor_days"), "promoter": F.col("__promoter"), "pe": F.coalesce("pe", round_binary(F.col("pe_used"), 1))}
     )
-    full = screened(joined.drop("bank", "__debtor_days", "__promoter"))
+    full = screened(restored.drop("bank", "__debtor_days", "__promoter"))
     shown = full.withColumn("__shown", round_binary(F.col("score"), 1))
     return global_row_number(shown, [F.desc_nulls_last("__shown"), F.col(key)], "rank").drop("__shown")
 

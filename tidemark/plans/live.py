@@ -48,9 +48,7 @@ def signal_states(signals: DataFrame, measured: DataFrame, hits: DataFrame, rule
             "sessions_left": F.when(passed, F.coalesce("__left", "sessions_left")),
             "valid_until": F.when(
                 status == "waiting",
-                F.when(window == config.WEEKLY_WINDOW, dates.add_workdays(F.col("signal_date"), config.WEEKLY_WINDOW)).otherwise(
-                    dates.add_workdays(F.col("signal_date"), config.DAILY_WINDOW)
-                ),
+                dates.add_workdays(F.col("signal_date"), window),
             ),
         }
     ).drop("__result", "__left", "session_date")

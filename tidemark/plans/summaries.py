@@ -57,13 +57,15 @@ def group_cells(holds: DataFrame, min_n: int = 10, min_sector: int = 20) -> Data
         )
     ).alias("g")
     rows = holds.where(F.col("horizon").isNotNull()).select("scanner", "horizon", "ret", "index_ret", label)
-    cells = rows.groupBy("scanner", "horizon", "g.dimension", "g.grp").agg(
+    # Blank and NULL are one group, so they share one count.
+    group = F.coalesce(F.nullif("g.grp", F.lit("")), F.lit("Unknown")).alias("grp")
+    cells = rows.groupBy("scanner", "horizon", "g.dimension", group).agg(
         F.count(F.lit(1)).alias("n"), F.max("g.least").alias("least"), share(F.col("ret") > 0).alias("up"),
         mean(F.col("ret")).alias("mean"), mean(F.col("ret") - F.col("index_ret")).alias("excess"),
     )
     shown = F.col("n") >= F.col("least")
     return cells.select(
-        "scanner", "horizon", "dimension", F.coalesce(F.nullif("grp", F.lit("")), F.lit("Unknown")).alias("grp"), "n",
+        "scanner", "horizon", "dimension", "grp", "n",
         *[F.when(shown, F.col(c)).alias(c) for c in ("up", "mean", "excess")],
     )
 

@@ -83,9 +83,9 @@ def tier_of_segment(segment: Column) -> Column:
     return out
 
 
-def hits(spark: SparkSession, sf_dir: str, line: int = 1, day: str = "l_shipdate") -> DataFrame:
-    """Hits of order lines with one line number: scanner, symbol, hit_date, tier, sector."""
-    items = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == line)
+def hits(spark: SparkSession, sf_dir: str, day: str = "l_shipdate") -> DataFrame:
+    """Hits of all order lines by a day of theirs: scanner, symbol, hit_date, tier, sector."""
+    items = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
     parts = table(spark, sf_dir, "part")

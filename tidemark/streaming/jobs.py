@@ -7,13 +7,9 @@ after a lost executor or driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.keys import beside
 from ..operators import membership
@@ -35,44 +31,15 @@ def run_to_end(stream: DataFrame, work: str, name: str, handler=None, out: str |
     writer.start().awaitTermination()
 
 
-def snapshot_entries(batch: DataFrame, seen: DataFrame | None, runs: DataFrame | None) -> DataFrame:
-    """Entries of a batch of runs, given when each member and each scanner was last seen."""
-    marked = batch.select("scanner", "symbol", "run", F.lit(True).alias("now"))
-    if seen is not None:
-        marked = marked.unionByName(seen.select("scanner", "symbol", "run", F.lit(False).alias("now")))
-    all_runs = batch.select("scanner", "run").distinct()
-    if runs is not None:
-        all_runs = all_runs.unionByName(runs.select("scanner", "run")).distinct()
-    previous = all_runs.withColumn("prev_run", F.lag("run").over(membership.of_scanner()))
-    last = F.lag("run").over(W.partitionBy("scanner", "symbol").orderBy("run"))
-    joined = marked.withColumn("last_seen", last).where("now").join(previous, ["scanner", "run"])
-    absent = F.col("last_seen").isNull() | (F.col("last_seen") < F.col("prev_run"))
-    kind = F.when(F.col("last_seen").isNull(), "fresh").otherwise("retest")
-    return joined.where(F.col("prev_run").isNotNull() & absent).select("scanner", "symbol", "run", "prev_run", kind.alias("kind"))
-
-
 def membership_diff(stream: DataFrame, to_members, work: str) -> DataFrame:
-    """New members of every run of a stream of snapshots, in run order.
+    """New members of every run of a stream of snapshots, however runs are cut into batches and whenever files come.
 
-    State is one row per (scanner, symbol) and one per scanner, so a crowded scanner
-    is spread over its symbols.
+    The first sighting of each (scanner, symbol, run) is appended to a table, per batch and so safe to replay. A late
+    row can change what later runs mean - a run may gain a predecessor, an entry may turn out seen before - so entries
+    are derived from all sightings, not from a last-run state that a late run would not fit.
     """
-    spark = stream.sparkSession
-
-    def step(rows: DataFrame, batch: int) -> None:
-        members = to_members(rows).select("scanner", "symbol", "run").distinct().persist()
-        try:
-            seen = read_version(spark, f"{work}/seen", batch)
-            runs = read_version(spark, f"{work}/runs", batch)
-            found = snapshot_entries(members, seen, runs)
-            found.write.mode("overwrite").parquet(f"{work}/entries/batch={batch}")
-            upsert_version(members, f"{work}/seen", batch, ["scanner", "symbol"], ["run"])
-            upsert_version(members.select("scanner", "run").distinct(), f"{work}/runs", batch, ["scanner"], ["run"])
-        finally:
-            members.unpersist()
-
-    run_to_end(stream, work, "diff", step)
-    return spark.read.parquet(f"{work}/entries").drop("batch")
+    members = once_only(to_members(stream), work, ["scanner", "symbol", "run"]).withColumn("run_at", F.col("run"))
+    return membership.entries(members).select("scanner", "symbol", "run", "prev_run", "kind")
 
 
 def settled_entries(members: DataFrame, max_gap_hours: float) -> DataFrame:
@@ -99,59 +66,45 @@ def latest_bars(stream: DataFrame, work: str, key: list[str], order: list[str])
     return read_version(spark, f"{work}/bars", last["batch"] + 1)
 
 
-def closed_weeks(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Monday-based weekly bars per user, emitted once the week is over."""
-    week = F.window("ts", "7 days", "7 days", "4 days")
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("user_id", week.alias("w"))
-        .agg(F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
-        .select("user_id", F.col("w.start").alias("week"), "high", "low", "n")
-    )
-
-
-def once_only(events: DataFrame, key: list[str], delay: str = "40 days") -> DataFrame:
-    """First event per key within the watermark: exactly-once alerts and slots."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
-
-
-ORDER_OUT = "user_id bigint, day date, level double, status string, filled_on date, fill double"
-ORDER_STATE = "level double, placed date, left int"
-
-
-def _rest(window: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # One row per day and user, so a key's rows in a batch are bounded by its days.
-        rows = pd.concat(list(frames)).sort_values("day")
-        level, placed, left = state.get if state.exists else (None, None, 0)
-        out = []
-        for r in rows.itertuples(index=False):
-            if placed is not None:
-                if r.high > level:
-                    out.append((key[0], placed, level, "filled", r.day, max(r.open, level)))
-                    placed = None
-                else:
-                    left -= 1
-                    if left == 0:
-                        out.append((key[0], placed, level, "expired", None, None))
-                        placed = None
-            if placed is None and r.signal:
-                level, placed, left = float(r.high), r.day, window
-        if placed is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((level, placed, int(left)))
-        yield pd.DataFrame(out, columns=["user_id", "day", "level", "status", "filled_on", "fill"])
-
-    return step
-
-
-def resting_orders(days: DataFrame, window: int = 3) -> DataFrame:
-    """Orders that rest above a signal day's high until filled or for `window` days; one open order per user.
-
-    `days`: user_id, day, open, high, signal, in day order across micro-batches.
+def closed_weeks(stream: DataFrame, work: str) -> DataFrame:
+    """Monday-based weekly bars per user, published once the user's week is over; late rows correct them.
+
+    A week is over after its Friday's end on the stream's clock (the newest event) or once the user has an event of a
+    later week. Each batch appends its own partial week rows (mergeable extremes, counts, last times), so a late file
+    adds to its week instead of being dropped.
+    """
+    spark = stream.sparkSession
+    week = F.date_trunc("week", "ts")
+
+    def step(rows: DataFrame, batch: int) -> None:
+        part = rows.groupBy("user_id", week.alias("week")).agg(
+            F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")
+        )
+        part.write.mode("overwrite").parquet(f"{work}/parts/{batch}")
+
+    run_to_end(stream, work, "weeks", step)
+    shape = "user_id bigint, week timestamp, high double, low double, n bigint, last timestamp"
+    parts = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{work}/parts")
+    weeks = parts.groupBy("user_id", "week").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n").alias("n"))
+    later = F.lead("week").over(W.partitionBy("user_id").orderBy("week")).isNotNull()
+    told = weeks.withColumn("later", later).transform(beside, parts.agg(F.max("last").alias("newest")))
+    return told.where("later OR newest >= week + INTERVAL 5 DAYS").select("user_id", "week", "high", "low", "n")
+
+
+def once_only(stream: DataFrame, work: str, key: list[str]) -> DataFrame:
+    """Each key once ever, however late or far apart its events come: exactly-once alerts and slots.
+
+    The keys a batch is first to bring are its own part of a ledger; a replayed batch reads the same earlier parts
+    and writes the same keys.
     """
-    return days.groupBy("user_id").applyInPandasWithState(
-        _rest(window), ORDER_OUT, ORDER_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    spark, shape = stream.sparkSession, stream.select(*key).schema
+
+    def step(rows: DataFrame, batch: int) -> None:
+        fresh = rows.select(*key).distinct()
+        if batch:
+            earlier = spark.read.schema(shape).parquet(*[f"{work}/ledger/{b}" for b in range(batch)])
+            fresh = fresh.join(earlier, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{work}/ledger/{batch}")
+
+    run_to_end(stream, work, "ledger", step)
+    return spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{work}/ledger")
