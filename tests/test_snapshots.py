@@ -60,20 +60,6 @@ def test_stream_of_several_files_equals_batch(spark, tmp_path):
     assert {r.user_id: r.value for r in latest.collect()} == {u: max(float(i) for i in range(120) if i * 7 % 11 == u) for u in range(11)}
 
 
-def test_resting_orders_fill_and_expire(spark, tmp_path):
-    d = [dt.date(2024, 1, k) for k in range(1, 8)]
-    rows = [(1, d[0], 9.0, 10.0, True), (1, d[1], 9.0, 10.0, False), (1, d[2], 11.0, 12.0, False)]
-    rows += [(2, d[0], 9.0, 10.0, True)] + [(2, x, 9.0, 9.5, False) for x in d[1:5]]
-    schema = "user_id bigint, day date, open double, high double, signal boolean"
-    table = spark.createDataFrame(rows, schema)
-    for part in ("day <= '2024-01-02'", "day > '2024-01-02'"):
-        table.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    jobs.run_to_end(jobs.resting_orders(stream), str(tmp_path), "o", out=str(tmp_path / "out"))
-    got = {r.user_id: (r.status, r.fill) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: ("filled", 11.0), 2: ("expired", None)}
-
-
 def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([("x", 1, "p"), ("x", 2, "q"), ("y", 3, "p")], "k string, n int, part string")
     path = str(tmp_path / "t")
