@@ -165,3 +165,19 @@ def test_price_outside_the_day_is_named(spark):
 
 def test_fixed_rules():
     assert config.LIVE_RULES["Wkly_upswing"].weekly and config.LIVE_RULES["63_30_daily"].near_high == 10.0
+
+
+def test_exports_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "A+B.csv").write_text("Symbol,Date,Marketcapname\nabc,03-04-2021,Midcap\n")
+    (tmp_path / "Z.csv").write_text('﻿Sector,Date,Symbol,More\n"Oil, gas",04-04-2021,xyz,1\n', encoding="utf-8")
+    got = {r.scanner: (r.symbol, str(r.hit_date), r.tier, r.sector) for r in files.hit_exports(spark, str(tmp_path)).collect()}
+    assert got == {"A+B": ("ABC", "2021-04-03", "Midcap", ""), "Z": ("XYZ", "2021-04-04", "", "Oil, gas")}
+    newest = files.newest_file_rows(spark, str(tmp_path)).collect()
+    assert [(r.Sector, r.Symbol) for r in newest] == [("Oil, gas", "xyz")]
+
+
+def test_announced_dates(spark):
+    texts = ["on 12th of November, 2026, then Dec 3, 2025 or 01-02-2024", "31/02/2024, 4 April 1999", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [[str(d) for d in r.d] if r.d is not None else None for r in df.select(pages.announced_dates(F.col("t")).alias("d")).collect()]
+    assert got == [["2026-11-12", "2025-12-03", "2024-02-01"], [], [], None]

@@ -17,25 +17,41 @@ def _without_bom(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lstrip(BOM).strip('"') for c in df.columns])
 
 
-def _column(df: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+def _own_headers(spark: SparkSession, files: str, known: str) -> DataFrame:
+    """Cells of CSV files that have headers of their own: `__file` (its name), `names`, `cells`.
+
+    A header is a line that holds the column name `known`; the number of columns of the widest one is read first.
+    """
+    is_name = rf'(?:^|,)\x{{FEFF}}?"?{known}"?(?:,|$)'
+    lines = spark.read.text(files).where(F.rtrim("value").rlike(is_name))
+    width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    raw = spark.read.schema(schema).csv(files)
+    cells = F.transform(F.array(*raw.columns), lambda c: F.regexp_replace(c, r"^\x{FEFF}", ""))
+    rows = raw.select(F.col("_metadata.file_name").alias("__file"), cells.alias("cells"))
+    is_header = F.exists("cells", lambda c: F.trim(c) == known)
+    heads = rows.where(is_header).groupBy("__file").agg(F.max(F.transform("cells", F.trim)).alias("names"))
+    return rows.where(~F.coalesce(is_header, F.lit(False))).join(heads, "__file")
 
 
-def _stem() -> Column:
-    return F.regexp_extract("_metadata.file_name", r"(.*)\.[^.]*$", 1)
+def _column(df: DataFrame, name: str) -> Column:
+    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
 
 
 def hit_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits of every CSV in a folder; the scanner is the file's stem, missing columns are blank."""
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(f"{folder}/*.csv")
-    named = raw.withColumn("__file", F.url_decode(F.regexp_replace(_stem(), r"\+", "%2B")))
-    named = _without_bom(named)
-    return named.select(
-        F.col("__file").alias("scanner"),
-        text.clean_code(F.col("Symbol")).alias("symbol"),
-        dates.day_month_year(F.col("Date")).alias("hit_date"),
-        text.text_or_blank(_column(named, "Marketcapname")).alias("tier"),
-        text.text_or_blank(_column(named, "Sector")).alias("sector"),
+    """Hits of every CSV in a folder; the scanner is the file's stem. Each file has its own header, missing columns are blank."""
+    rows = _own_headers(spark, f"{folder}/*.csv", "Symbol")
+    stem = F.regexp_extract("__file", r"(.*)\.[^.]*$", 1)
+
+    def cell(name: str) -> Column:
+        return F.get("cells", F.nullif(F.array_position("names", F.lit(name)), F.lit(0)).cast("int") - 1)
+
+    return rows.select(
+        F.url_decode(F.regexp_replace(stem, r"\+", "%2B")).alias("scanner"),
+        text.clean_code(cell("Symbol")).alias("symbol"),
+        dates.day_month_year(cell("Date")).alias("hit_date"),
+        text.text_or_blank(cell("Marketcapname")).alias("tier"),
+        text.text_or_blank(cell("Sector")).alias("sector"),
         F.lit("backtest").alias("source"),
     )
 
@@ -43,20 +59,18 @@ def hit_exports(spark: SparkSession, folder: str) -> DataFrame:
 def newest_file_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the lexicographically last CSV in a folder, with `__file`, `__asof` and arrival place `__row`.
 
-    The file's place is found from file names alone; rows of older files are filtered at the scan.
+    The file is found from the listing alone; older files are not opened.
     """
-    raw = spark.read.option("header", True).csv(f"{folder}/*.csv")
-    newest = raw.select(F.max("_metadata.file_name").alias("newest"))
-    rows = raw.withColumns(
+    listed = spark.read.format("binaryFile").load(f"{folder}/*.csv")
+    newest = listed.agg(F.max("path")).first()[0]
+    rows = spark.read.option("header", True).csv(newest).withColumns(
         {
             "__file": F.col("_metadata.file_name"),
             "__asof": asof_of(F.col("_metadata.file_name"), F.col("_metadata.file_modification_time")),
             "__row": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")),
         }
     )
-    # One row holds the name of the newest file.
-    kept = rows.join(F.broadcast(newest), F.col("__file") == F.col("newest")).drop("newest")
-    return _without_bom(kept)
+    return _without_bom(rows)
 
 
 def asof_of(file_name: Column, modified: Column) -> Column:
@@ -78,10 +92,10 @@ def bar_table(spark: SparkSession, path: str) -> DataFrame:
     return bar_ops.numbered(bar_ops.clean(spark.read.parquet(path)))
 
 
-def event_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """Event calendar from JSON objects; rows whose date does not parse are dropped."""
+def event_calendar(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """Event calendar from JSON arrays, one document a file or one array a line; rows whose date does not parse are dropped."""
     schema = "scrip_Code string, short_name string, Long_Name string, meeting_date string"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", one_document).json(path)
     return raw.select(
         F.trim("scrip_Code").alias("code"), text.clean_code(F.col("short_name")).alias("short_name"),
         F.col("Long_Name").alias("name"), dates.long_date(F.col("meeting_date")).alias("meeting_date"),
