@@ -1,13 +1,8 @@
-"""Admission and equity against plain loops and hand-made ledgers."""
+"""Day order and value curves against small hand-made tables."""
 
 import datetime as dt
-import random
-
-import pandas as pd
-import pytest
 
 from tidemark.operators import books
-from tidemark.operators.books import Book
 
 SCHEMA = (
     "scanner string, symbol string, hit_date date, tier string, score double, entry_date date, exit_date date, ret double"
@@ -22,74 +17,29 @@ def trade(symbol, start, end, ret, scanner="D", tier="Largecap", score=None):
     return (scanner, symbol, day(start), tier, score, day(start), day(end), ret)
 
 
-def test_slots_and_profit(spark):
-    rows = [trade("A", "2024-01-01", "2024-01-10", 8.0), trade("B", "2024-01-02", "2024-01-05", -12.0), trade("C", "2024-01-03", "2024-01-08", 8.0)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    book = [Book("b", slots=2, capital=200_000.0)]
-    out = books.admit(df, book, with_cash=True)
-    assert {r.symbol: r.taken for r in out.collect()} == {"A": True, "B": True, "C": False}
-    last = books.equity_curve(df, out, book).orderBy("date").collect()[-1]
-    assert round(last.value) == 196_000
-
-
-def test_one_position_per_stock(spark):
-    rows = [trade("A", "2024-01-01", "2024-01-10", 8.0), trade("A", "2024-01-02", "2024-01-09", 8.0, "E")]
-    out = books.admit(spark.createDataFrame(rows, SCHEMA), [Book("b")]).collect()
-    refused = [r for r in out if not r.taken]
-    assert len(refused) == 1 and refused[0].why == "already holding this stock"
+def test_curve_spreads_the_capital(spark):
+    # The second exit is a Saturday and counts on Monday.
+    rows = [trade("A", "2024-01-01", "2024-01-03", 8.0), trade("B", "2024-01-02", "2024-01-06", -12.0), trade("C", "2024-01-02", "2024-01-05", 1.0, "E")]
+    curve = books.spread_curve(spark.createDataFrame(rows, SCHEMA), ["scanner"], 200_000.0)
+    got = {(r.scanner, r.date.isoformat()): round(r.value, 6) for r in curve.collect()}
+    assert got == {
+        ("D", "2024-01-01"): 200_000, ("D", "2024-01-02"): 200_000, ("D", "2024-01-03"): 208_000, ("D", "2024-01-04"): 208_000,
+        ("D", "2024-01-05"): 208_000, ("D", "2024-01-08"): 196_000, ("E", "2024-01-02"): 200_000, ("E", "2024-01-03"): 200_000,
+        ("E", "2024-01-04"): 200_000, ("E", "2024-01-05"): 202_000,
+    }
+    assert books.spread_curve(spark.createDataFrame([], SCHEMA), ["scanner"]).count() == 0
 
 
 def test_mid_caps_first_and_score_first(spark):
     a = trade("S1", "2024-01-01", "2024-01-10", 8.0, tier="Smallcap", score=0.7)
     b = trade("M1", "2024-01-01", "2024-01-10", 8.0, tier="Midcap", score=0.4)
-    df = spark.createDataFrame([a, b], SCHEMA)
-    both = [Book("tier", slots=1, policy="tier"), Book("score", slots=1, policy="score")]
-    taken = {r.book: r.symbol for r in books.admit(df, both, with_cash=True).where("taken").collect()}
-    assert taken == {"tier": "M1", "score": "S1"}
-
-
-def brute(rows, slots, cash_mode, capital=1_000_000.0):
-    order = {"Midcap": 0, "Largecap": 1, "Smallcap": 2}
-    key = (lambda r: (r[5], order.get(r[3], 3), r[0], r[1], r[2])) if cash_mode else (lambda r: (r[5], order.get(r[3], 3), r[2], r[0], r[1]))
-    queue, out = sorted(rows, key=key), {}
-    if not cash_mode:
-        held = []
-        for r in queue:
-            held = [h for h in held if h[6] is None or h[6] > r[5]]
-            ok = len(held) < slots and all(h[1] != r[1] for h in held)
-            out[r[:3]] = ok
-            if ok:
-                held.append(r)
-        return out
-    cash, held = capital, []
-    for d in pd.bdate_range(min(r[5] for r in rows), max(r[6] for r in rows)):
-        d = d.date()
-        for h in [h for h in held if h[0][6] <= d]:
-            cash += h[1] * (1 + h[0][7] / 100)
-            held.remove(h)
-        for r in [q for q in queue if q[5] == d]:
-            amount = (cash + sum(h[1] for h in held)) / slots
-            ok = not (len(held) >= slots or cash < amount * 0.999 or any(h[0][1] == r[1] for h in held))
-            out[r[:3]] = ok
-            if ok:
-                held.append((r, amount))
-                cash -= amount
-    return out
+    again = trade("S1", "2024-01-01", "2024-01-10", 8.0, "E", tier="Smallcap", score=0.7)
+    df = spark.createDataFrame([a, b, again], SCHEMA)
+    assert {r.book: (r.symbol, r.place) for r in books.day_first(df, slots=1).collect()} == {"tier": ("M1", 1), "score": ("S1", 1)}
+    assert books.day_first(df).groupBy("book").count().collect()[0][1] == 2
 
 
-@pytest.mark.parametrize("cash_mode", [False, True])
-def test_admission_matches_a_loop(spark, cash_mode):
-    rng = random.Random(11 + cash_mode)
-    rows, seen = [], set()
-    while len(rows) < 400:
-        start = dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(60))
-        hit = start - dt.timedelta(days=rng.randrange(4))
-        r = (rng.choice("DEF"), f"S{rng.randrange(15)}", hit, rng.choice(["Midcap", "Largecap", "Smallcap", ""]), None, start,
-             start + dt.timedelta(days=rng.choice([0, 0, 1, 3, 9, 20])), round(rng.uniform(-10, 12), 2))
-        if r[:3] not in seen:
-            seen.add(r[:3])
-            rows.append(r)
-    df = spark.createDataFrame(rows, SCHEMA)
-    for slots in (2, 5):
-        got = {(r.scanner, r.symbol, r.hit_date): r.taken for r in books.admit(df, [Book("b", slots=slots)], with_cash=cash_mode).collect()}
-        assert got == brute(rows, slots, cash_mode)
+def test_growth_and_fall(spark):
+    rows = [("D", day("2024-01-01"), 100.0), ("D", day("2024-07-01"), 150.0), ("D", day("2025-01-01"), 120.0)]
+    row = books.growth_stats(spark.createDataFrame(rows, "scanner string, date date, value double"), ["scanner"]).first()
+    assert (row["first"], row["last"], round(row["max_fall"], 6)) == (100.0, 120.0, -20.0) and 19 < row["cagr"] < 21

@@ -15,7 +15,7 @@ import __spark_entry__ as entry  # noqa: E402
 SF = "/root/testdata/sf0.001"
 SOME = [
     "daily_bars", "weekly_bars", "ind_sma", "ema30", "market_state", "signals_union", "confirmed_by", "first_touch", "barrier_exit",
-    "hold_outcomes", "completed_bars", "group_cells", "ranked_universe", "stream_closed_weeks", "stream_slots_once", "new_members", "partial_runs", "payload_cells", "breakouts_view", "sector_momentum", "admission_cash",
+    "hold_outcomes", "completed_bars", "group_cells", "ranked_universe", "stream_closed_weeks", "stream_slots_once", "new_members", "partial_runs", "payload_cells", "breakouts_view", "sector_momentum", "equity_curve", "landed_hits", "alert_ledger",
     "score_verdict", "screen_ten", "overlay", "page_fields", "auc", "upsert_latest", "stream_new_members",
 ]
 

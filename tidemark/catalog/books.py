@@ -1,11 +1,10 @@
-"""Capacity-limited books over closed trades, their curves and reports."""
+"""Day order of buys, value curves of closed trades and their reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import books
-from ..operators.books import Book
 from ..plans import performance
 from ..session import cut
 from ..sources import standin
@@ -13,127 +12,68 @@ from .base import query, with_views
 from .market import rounded
 from .outcomes import closed
 
-# Scenario grid: capacity, order and shuffle seeds.
-GRID = [
-    Book("tier5", slots=5), Book("tier15", slots=15), Book("score5", slots=5, policy="score"),
-    Book("shuffle5a", slots=5, policy="shuffle", seed=1), Book("shuffle5b", slots=5, policy="shuffle", seed=2),
-]
-CHECKED = GRID[:3]
+VIEWS = {
+    "moved": (["trades"], "SELECT *, exit_date + CASE isodow(exit_date) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS o FROM trades"),
+    "curve": (["moved"], """
+        SELECT scanner, date, 1000000 * (1 + coalesce(CAST(sum(cents) OVER (PARTITION BY scanner ORDER BY date) AS DOUBLE), 0) / 10000::DOUBLE / n) AS value
+        FROM (SELECT scanner, n, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
+              FROM (SELECT scanner, count(*) AS n, min(entry_date) AS lo, max(o) AS hi FROM moved GROUP BY scanner)) d
+        LEFT JOIN (SELECT scanner, o AS date, sum(CAST(round(ret * 100) AS BIGINT)) AS cents FROM moved GROUP BY ALL) p USING (scanner, date)
+        WHERE isodow(date) < 6"""),
+}
 
 
-def scored(spark, sf):
+def trades(spark, sf):
     """Closed trades with a stand-in score for every third symbol."""
-    trades = closed(spark, sf).select(
-        "scanner", "symbol", "hit_date", "tier", "entry_date", "exit_date", "ret", "status", "days",
-    )
-    score = F.when(F.col("symbol") % 3 == 0, (F.col("symbol") * 7 % 11) / 10.0)
-    return cut(trades.withColumn("score", score))
-
-
-FOLD = {
-    "grid": ([], "SELECT * FROM (VALUES ('tier5', 5, false), ('tier15', 15, false), ('score5', 5, true)) AS g(book, slots, by_score)"),
-    "queue": (["trades", "grid"], """
-        SELECT g.book, g.slots, t.scanner, t.symbol, t.hit_date, t.entry_date, t.exit_date, t.ret,
-               row_number() OVER (PARTITION BY g.book ORDER BY t.entry_date, CASE WHEN g.by_score AND t.symbol % 3 = 0 THEN 0 ELSE 1 END,
-                   CASE WHEN g.by_score AND t.symbol % 3 = 0 THEN -((t.symbol * 7 % 11) / 10.0) WHEN t.tier = 'Midcap' THEN 0 WHEN t.tier = 'Largecap' THEN 1 WHEN t.tier = 'Smallcap' THEN 2 ELSE 3 END,
-                   {ties}) AS k
-        FROM trades t CROSS JOIN grid g {where}"""),
-}
+    rows = closed(spark, sf).select("scanner", "symbol", "hit_date", "tier", "entry_date", "exit_date", "ret", "status", "days")
+    return rows.withColumn("score", F.when(F.col("symbol") % 3 == 0, (F.col("symbol") * 7 % 11) / 10.0))
+
+
+def curve(spark, sf):
+    return books.spread_curve(closed(spark, sf).select("scanner", "entry_date", "exit_date", "ret"), ["scanner"])
+
+
+@query("day_order", "W15", with_views("trades", """
+SELECT book, scanner, symbol, hit_date, CAST(place AS INTEGER) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY book, entry_date ORDER BY g, p, scanner, symbol, hit_date) AS place FROM (
+        SELECT *, CASE WHEN scored THEN 0 ELSE 1 END AS g, CASE WHEN scored THEN -((symbol * 7 % 11) / 10.0)
+                      WHEN tier = 'Midcap' THEN 0 WHEN tier = 'Largecap' THEN 1 WHEN tier = 'Smallcap' THEN 2 ELSE 3 END AS p
+        FROM (SELECT t.*, b.book, b.book = 'score' AND t.symbol % 3 = 0 AS scored FROM trades t, (VALUES ('tier'), ('score')) b(book))
+        QUALIFY row_number() OVER (PARTITION BY book, entry_date, symbol ORDER BY g, p, scanner, symbol, hit_date) = 1)) WHERE place <= 15"""))
+def day_order(spark, sf):
+    return books.day_first(trades(spark, sf)).select("book", "scanner", "symbol", "hit_date", "place")
 
 
-def fold_views(cash):
-    """A row-by-row walk through each book's queue."""
-    queue = FOLD["queue"][1]
-    views = {
-        "grid": FOLD["grid"],
-        "queue": (["trades", "grid"], queue.format(
-            ties="t.scanner, t.symbol, t.hit_date" if cash else "t.hit_date, t.scanner, t.symbol",
-            where="WHERE isodow(t.entry_date) < 6" if cash else "")),
-    }
-    free = "CASE WHEN q.entry_date > w.entry_date THEN list_filter(w.held, lambda x: x.until > q.entry_date) ELSE w.held END" if cash else "list_filter(w.held, lambda x: x.until > q.entry_date)"
-    back = "list_sum(list_transform(list_filter(w.held, lambda x: x.until <= q.entry_date), lambda x: x.amount * (1 + x.ret / 100)))"
-    cash_now = f"w.cash + CASE WHEN q.entry_date > w.entry_date THEN coalesce({back}, 0) ELSE 0 END"
-    ok = "len(held) < slots AND NOT list_contains(list_transform(held, lambda x: x.symbol), symbol)"
-    if cash:
-        ok += " AND cash >= amount * 0.999"
-    views["walk"] = (["queue"], f"""
-        SELECT book, 0::BIGINT AS k, DATE '1900-01-01' AS entry_date, []::STRUCT(symbol BIGINT, until DATE, amount DOUBLE, ret DOUBLE)[] AS held, 1000000.0::DOUBLE AS cash,
-               NULL::VARCHAR AS scanner, NULL::BIGINT AS symbol, NULL::DATE AS hit_date, false AS taken, NULL::VARCHAR AS why, NULL::DOUBLE AS amount, NULL::DATE AS exit_date, NULL::DOUBLE AS ret FROM grid
-        UNION ALL
-        SELECT book, k, entry_date, CASE WHEN ok THEN list_append(held, {{'symbol': symbol, 'until': exit_date, 'amount': amount, 'ret': ret}}) ELSE held END,
-               CASE WHEN ok THEN cash - amount ELSE cash END, scanner, symbol, hit_date, ok,
-               CASE WHEN ok THEN NULL WHEN list_contains(list_transform(held, lambda x: x.symbol), symbol) THEN 'already holding this stock' ELSE 'all ' || slots || ' slots were full' END,
-               CASE WHEN ok THEN amount END, exit_date, ret
-        FROM (SELECT *, {ok} AS ok FROM (
-            SELECT *, (cash + coalesce(list_sum(list_transform(held, lambda x: x.amount)), 0)) / slots AS amount FROM (
-                SELECT q.book, q.slots, q.k, q.entry_date, q.exit_date, q.ret, q.scanner, q.symbol, q.hit_date, {free} AS held, {cash_now if cash else 'w.cash'} AS cash
-                FROM walk w JOIN queue q ON q.book = w.book AND q.k = w.k + 1)))""")
-    if cash:
-        views["curve"] = (["walk", "trades", "grid"], """
-            SELECT book, date, 1000000 + sum(coalesce(pnl, 0)) OVER (PARTITION BY book ORDER BY date) AS value FROM (
-                SELECT book, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM grid, (SELECT min(entry_date) AS lo, max(exit_date) AS hi FROM trades)) d
-            LEFT JOIN (SELECT book, date, sum(amount * ret / 100) AS pnl FROM (
-                SELECT *, CASE WHEN isodow(o) = 6 THEN o + 2 WHEN isodow(o) = 7 THEN o + 1 ELSE o END AS date FROM (SELECT *, greatest(exit_date, entry_date + 1) AS o FROM walk WHERE taken)) GROUP BY ALL) p USING (book, date)
-            WHERE isodow(date) < 6""")
-    return views
-
-
-@query("admission_slots", "E9 E8 J29 W15 X3", with_views("walk", "SELECT book, scanner, symbol, hit_date, taken, why FROM walk WHERE k > 0", fold_views(False)))
-def admission_slots(spark, sf):
-    return books.admit(scored(spark, sf), CHECKED).select("book", "scanner", "symbol", "hit_date", "taken", "why")
-
-
-@query("admission_cash", "E9 E10 J29 W15 X3", with_views("walk", """
-SELECT book, scanner, symbol, hit_date, taken, round(amount, 3) AS amount FROM walk WHERE k > 0""", fold_views(True)))
-def admission_cash(spark, sf):
-    out = books.admit(scored(spark, sf), CHECKED, with_cash=True)
-    return rounded(out, 3, "amount").select("book", "scanner", "symbol", "hit_date", "taken", "amount")
-
-
-@query("admission_grid", "E9 J29")
-def admission_grid(spark, sf):
-    out = books.admit(scored(spark, sf), GRID, with_cash=True)
-    return out.groupBy("book").agg(F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("skipped"))
-
-
-@query("equity_curve", "E10", with_views("curve", "SELECT book, date, round(value, 3) AS value FROM curve", fold_views(True)))
+@query("equity_curve", "E10", with_views("curve", "SELECT scanner, date, round(value, 3) AS value FROM curve", VIEWS))
 def equity_curve(spark, sf):
-    trades = scored(spark, sf)
-    taken = books.admit(trades, CHECKED, with_cash=True)
-    return rounded(books.equity_curve(trades, taken, CHECKED), 3, "value")
+    return rounded(curve(spark, sf), 3, "value")
 
 
 @query("equity_stats", "E11 W10", with_views("curve", """
-SELECT book, min(date) AS start, max(date) AS end, round(arg_min(value, date), 3) AS first, round(arg_max(value, date), 3) AS last,
+SELECT scanner, min(date) AS start, max(date) AS end, round(arg_min(value, date), 3) AS first, round(arg_max(value, date), 3) AS last,
        round(min(value / peak - 1) * 100, 6) AS max_fall, round((pow(arg_max(value, date) / arg_min(value, date), 1 / (date_diff('day', min(date), max(date)) / 365.25)) - 1) * 100, 6) AS cagr
-FROM (SELECT *, max(value) OVER (PARTITION BY book ORDER BY date) AS peak FROM curve) GROUP BY book""", fold_views(True)))
+FROM (SELECT *, max(value) OVER (PARTITION BY scanner ORDER BY date) AS peak FROM curve) GROUP BY scanner""", VIEWS))
 def equity_stats(spark, sf):
-    trades = scored(spark, sf)
-    curve = books.equity_curve(trades, books.admit(trades, CHECKED, with_cash=True), CHECKED)
-    return rounded(rounded(books.growth_stats(curve, ["book"]), 3, "first", "last"), 6, "max_fall", "cagr")
+    return rounded(rounded(books.growth_stats(curve(spark, sf), ["scanner"]), 3, "first", "last"), 6, "max_fall", "cagr")
 
 
 @query("yearly_against_index", "E12 W11 W17 J23", with_views("curve index_bars", """
-SELECT b.book, b.year, round(b.ret, 6) AS ret, round(i.ret, 6) AS index_ret
-FROM (SELECT book, year, (v / coalesce(lag(v) OVER (PARTITION BY book ORDER BY year), 1000000) - 1) * 100 AS ret
-      FROM (SELECT book, year(date) AS year, arg_max(value, date) AS v FROM curve GROUP BY ALL)) b
+SELECT b.scanner, b.year, round(b.ret, 6) AS ret, round(i.ret, 6) AS index_ret
+FROM (SELECT scanner, year, (v / coalesce(lag(v) OVER (PARTITION BY scanner ORDER BY year), 1000000) - 1) * 100 AS ret
+      FROM (SELECT scanner, year(date) AS year, arg_max(value, date) AS v FROM curve GROUP BY ALL)) b
 LEFT JOIN (SELECT year, (v / coalesce(lag(v) OVER (ORDER BY year), f) - 1) * 100 AS ret
            FROM (SELECT year(date) AS year, arg_max(close, date) AS v, (SELECT arg_min(close, date) FROM index_bars WHERE date BETWEEN (SELECT min(date) FROM curve) AND (SELECT max(date) FROM curve)) AS f
-                 FROM index_bars WHERE date BETWEEN (SELECT min(date) FROM curve) AND (SELECT max(date) FROM curve) GROUP BY ALL)) i USING (year)""", fold_views(True)))
+                 FROM index_bars WHERE date BETWEEN (SELECT min(date) FROM curve) AND (SELECT max(date) FROM curve) GROUP BY ALL)) i USING (year)""", VIEWS))
 def yearly_against_index(spark, sf):
-    trades = scored(spark, sf)
-    curve = cut(books.equity_curve(trades, books.admit(trades, CHECKED, with_cash=True), CHECKED))
     index = standin.index_bars(standin.bar_table(spark, sf)).withColumnRenamed("close", "value")
-    return rounded(performance.years(curve, index, CHECKED), 6, "ret", "index_ret")
+    return rounded(performance.years(cut(curve(spark, sf)), index), 6, "ret", "index_ret")
 
 
 @query("monthly_against_index", "E12 W17 J23", with_views("curve index_bars", """
-SELECT b.book, b.month, round(b.v, 3) AS value, round(i.v, 3) AS index_value
-FROM (SELECT book, strftime(date, '%Y-%m') AS month, arg_max(value, date) AS v FROM curve GROUP BY ALL) b
+SELECT b.scanner, b.month, round(b.v, 3) AS value, round(i.v, 3) AS index_value
+FROM (SELECT scanner, strftime(date, '%Y-%m') AS month, arg_max(value, date) AS v FROM curve GROUP BY ALL) b
 LEFT JOIN (SELECT strftime(date, '%Y-%m') AS month, arg_max(close, date) / (SELECT arg_min(close, date) FROM index_bars WHERE date BETWEEN (SELECT min(date) FROM curve) AND (SELECT max(date) FROM curve)) * 1000000 AS v
-           FROM index_bars WHERE date BETWEEN (SELECT min(date) FROM curve) AND (SELECT max(date) FROM curve) GROUP BY ALL) i USING (month)""", fold_views(True)))
+           FROM index_bars WHERE date BETWEEN (SELECT min(date) FROM curve) AND (SELECT max(date) FROM curve) GROUP BY ALL) i USING (month)""", VIEWS))
 def monthly_against_index(spark, sf):
-    trades = scored(spark, sf)
-    curve = cut(books.equity_curve(trades, books.admit(trades, CHECKED, with_cash=True), CHECKED))
     index = standin.index_bars(standin.bar_table(spark, sf)).withColumnRenamed("close", "value")
-    return rounded(performance.months(curve, index, CHECKED), 3, "value", "index_value")
+    return rounded(performance.months(cut(curve(spark, sf)), index), 3, "value", "index_value")

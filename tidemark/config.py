@@ -18,7 +18,6 @@ CONFIRM_DAYS = 10
 STAKE = 100_000
 SLOTS = 15
 CAPITAL = 1_000_000.0
-CASH_TOLERANCE = 0.999
 ALERT_DAYS = 4
 
 

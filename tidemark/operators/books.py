@@ -1,18 +1,7 @@
-"""Capacity-limited admission of trades into many books at once, and their equity curves.
-
-Admission is sequential inside one book, so books run in parallel and each book's
-input is cut down first, exactly: on a day with h of its slots in use, the first
-`slots` candidates with different symbols either are held already (at most h of them)
-or fill the remaining slots. Later candidates are refused whatever the state. A book
-therefore folds at most slots x days rows, however many trades there are; everyone
-else reads the outcome from the day log.
-"""
+"""Day order of buys, and value curves of closed trades, as sets: no book is walked row by row."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,131 +9,22 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import dates
 from ..functions.rules import tier_priority
+from .keys import pick_per_key
 
 
-@dataclass(frozen=True)
-class Book:
-    """One scenario: its capacity and who goes first on a day with too many buys."""
-
-    name: str
-    slots: int = config.SLOTS
-    policy: str = "tier"  # tier | score | shuffle
-    seed: int = 0
-    capital: float = config.CAPITAL
-
-
-def _order_fields(with_cash: bool) -> list[str]:
-    """Tie order after the policy's own value: by name, or by signal day first in the live form."""
-    return ["scanner", "symbol", "hit_date"] if with_cash else ["hit_date", "scanner", "symbol"]
-
-
-def _placed(trades: DataFrame, books: list[Book], ties: list[str]) -> DataFrame:
-    """Trades once per book, with `ord`: the struct that orders a day's buys."""
-    grid = F.array(
-        *[
-            F.struct(
-                F.lit(b.name).alias("book"), F.lit(b.slots).alias("slots"), F.lit(b.policy).alias("policy"),
-                F.lit(b.seed).alias("seed"), F.lit(b.capital).alias("capital"),
-            )
-            for b in books
-        ]
-    )
-    each = trades.withColumn("__b", F.explode(grid)).select("*", "__b.*").drop("__b")
-    scored = (F.col("policy") == "score") & F.col("score").isNotNull()
-    dice = F.pmod(F.xxhash64("seed", "scanner", "symbol", "hit_date"), F.lit(1_000_003)).cast("double")
-    place = (
-        F.when(scored, -F.col("score"))
-        .when(F.col("policy") == "shuffle", dice)
-        .otherwise(tier_priority(F.col("tier")).cast("double"))
-    )
-    return each.withColumn(
-        "ord",
-        F.struct(F.when(scored, 0).otherwise(1).alias("g"), place.alias("p"), *[F.col(c) for c in ties]),
-    )
-
-
-def _candidates(placed: DataFrame, books: list[Book]) -> DataFrame:
-    """The rows that can change a book: first per symbol and day, then the first `slots` of the day."""
-    per_symbol = placed.groupBy("book", "entry_date", "symbol").agg(
-        F.min_by(F.struct("ord", "exit_date", "ret", "slots", "capital"), "ord").alias("t")
-    ).select("book", "entry_date", "symbol", "t.*")
-    place = F.row_number().over(W.partitionBy("book", "entry_date").orderBy("ord"))
-    most = max(b.slots for b in books)
-    # The literal bound lets Spark drop surplus rows before the shuffle, also on a crowded day.
-    return per_symbol.withColumn("__n", place).where((F.col("__n") <= most) & (F.col("__n") <= F.col("slots")))
-
-
-def _fold(with_cash: bool):
-    """Walk one book's candidate days in order; yields the day log."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["entry_date", "__n"])
-        slots, capital = int(rows["slots"].iloc[0]), float(rows["capital"].iloc[0])
-        held: dict = {}
-        cash = capital
-        log = []
-        for day, group in rows.groupby("entry_date", sort=True):
-            for symbol in [s for s, h in held.items() if h[0] is not None and h[0] <= day]:
-                _, amount, ret = held.pop(symbol)
-                cash += amount * (1 + ret / 100)
-            start = list(held)
-            # Positions count at cost, so a day's buys leave the book's value, and the amount, unchanged.
-            amount = (cash + sum(h[1] for h in held.values())) / slots
-            takes = []
-            for row in group[group["ord"].notna()].itertuples(index=False):
-                full = len(held) >= slots or (with_cash and cash < amount * config.CASH_TOLERANCE)
-                if full or row.symbol in held:
-                    continue
-                until = None if pd.isna(row.exit_date) else row.exit_date
-                held[row.symbol] = (until, amount, 0.0 if pd.isna(row.ret) else float(row.ret))
-                cash -= amount
-                takes.append(row.ord)
-            log.append((rows["book"].iloc[0], day, start, takes, amount))
-        return pd.DataFrame(log, columns=["book", "entry_date", "held", "takes", "amount"])
-
-    return run
-
+def day_first(trades: DataFrame, orders: tuple[str, ...] = ("tier", "score"), slots: int = config.SLOTS) -> DataFrame:
+    """The first `slots` buys of each day, one per symbol, once per order (`book`), with their `place`.
 
-def admit(trades: DataFrame, books: list[Book], with_cash: bool = False) -> DataFrame:
-    """Trades per book with `taken` and, where refused, `why`.
-
-    `trades`: scanner, symbol, hit_date, tier, score, entry_date, exit_date (NULL while open), ret.
-    With cash, a buy costs 1/slots of the book's value, days are Monday to Friday, and a
-    position is freed on the first such day at or after its exit; other days are not visited.
-    Without cash a position is freed as soon as its exit day is reached, so a trade that
-    closes on its entry day never blocks another.
+    By `score`, scored trades come first, the best one first; all others stand by tier, then by name. Both limits
+    cut rows before their shuffles, so a crowded day sends few rows per task.
     """
-    ties = _order_fields(with_cash)
-    placed = _placed(trades, books, ties)
-    if with_cash:
-        placed = placed.where(dates.weekday(F.col("entry_date")) < 5)
-        stateful = placed
-    else:
-        stateful = placed.where(F.col("exit_date").isNull() | (F.col("exit_date") > F.col("entry_date")))
-    types = {f.name: f.dataType.simpleString() for f in trades.schema.fields}
-    ord_type = "struct<g:int,p:double," + ",".join(f"{c}:{types[c]}" for c in ties) + ">"
-    schema = f"book string, entry_date date, held array<{types['symbol']}>, takes array<{ord_type}>, amount double"
-    steps = _candidates(stateful, books)
-    if not with_cash:
-        # A day on which every trade closes at once still needs the state it starts from.
-        days = placed.select("book", "entry_date", "slots", "capital").distinct()
-        steps = steps.unionByName(days, allowMissingColumns=True)
-    log = steps.groupBy("book").applyInPandas(_fold(with_cash), schema)
-    joined = placed.join(log, ["book", "entry_date"])
-    mine = F.col("ord")
-    before = F.filter("takes", lambda t: t < mine)
-    blocked = F.array_contains("held", F.col("symbol")) | F.exists(before, lambda t: t["symbol"] == F.col("symbol"))
-    full = F.size("held") + F.size(before) >= F.col("slots")
-    same_day = F.lit(False) if with_cash else F.coalesce(F.col("exit_date") <= F.col("entry_date"), F.lit(False))
-    taken = F.when(same_day, ~blocked & ~full).otherwise(F.exists("takes", lambda t: t == mine))
-    why = F.when(blocked, "already holding this stock").otherwise(
-        F.concat(F.lit("all "), F.col("slots").cast("string"), F.lit(" slots were full"))
-    )
-    return (
-        joined.withColumn("taken", taken)
-        .withColumns({"why": F.when(~F.col("taken"), why), "amount": F.when(F.col("taken"), F.col("amount"))})
-        .drop("ord", "held", "takes", "policy", "seed")
-    )
+    each = trades.withColumn("book", F.explode(F.array(*[F.lit(o) for o in orders])))
+    scored = (F.col("book") == "score") & F.col("score").isNotNull()
+    place = F.when(scored, -F.col("score")).otherwise(tier_priority(F.col("tier")).cast("double"))
+    each = each.withColumn("ord", F.struct(F.when(scored, 0).otherwise(1).alias("g"), place.alias("p"), "scanner", "symbol", "hit_date"))
+    per_symbol = pick_per_key(each, ["book", "entry_date", "symbol"], [F.col("ord")])
+    nth = F.row_number().over(W.partitionBy("book", "entry_date").orderBy("ord"))
+    return per_symbol.withColumn("place", nth).where(F.col("place") <= slots).drop("ord")
 
 
 def next_workday(day: Column) -> Column:
@@ -153,27 +33,20 @@ def next_workday(day: Column) -> Column:
     return F.when(weekday >= 5, F.date_add(day, 7 - weekday)).otherwise(day)
 
 
-def equity_curve(trades: DataFrame, admitted: DataFrame, books: list[Book]) -> DataFrame:
-    """Book value on every Monday-to-Friday day from the first entry to the last exit, open trades at cost.
+def spread_curve(trades: DataFrame, by: list[str], capital: float = config.CAPITAL) -> DataFrame:
+    """Value on every Monday-to-Friday day of a capital dealt evenly over all closed trades of a group.
 
-    A curve has one row per day, so its running window is bounded by the calendar.
+    Each trade gains its return on the day it closes (or the next workday). Returns carry two decimals and are summed as whole
+    hundredths, so the order of rows never shows. A group's curve has one row per day, so its window is bounded by the calendar.
     """
-    span = trades.agg(F.min("entry_date").alias("lo"), F.max("exit_date").alias("hi"))
-    grid = F.array(*[F.struct(F.lit(b.name).alias("book"), F.lit(b.capital).alias("capital")) for b in books])
-    days = (
-        span.select(F.explode(F.sequence("lo", "hi")).alias("date"))
-        .where(dates.weekday(F.col("date")) < 5)
-        .select("date", F.explode(grid).alias("b"))
-        .select("b.*", "date")
-    )
-    booked = (
-        admitted.where("taken")
-        .groupBy("book", next_workday(F.greatest("exit_date", F.date_add("entry_date", 1))).alias("date"))
-        .agg(F.sum(F.col("amount") * F.col("ret") / 100).alias("pnl"))
-    )
-    so_far = W.partitionBy("book").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    gained = F.coalesce(F.sum("pnl").over(so_far), F.lit(0.0))
-    return days.join(booked, ["book", "date"], "left").select("book", "date", (F.col("capital") + gained).alias("value"))
+    done = trades.withColumn("date", next_workday(F.col("exit_date")))
+    cents = F.sum(F.round(F.col("ret") * 100).cast("long")).alias("cents")
+    booked = done.groupBy(*by, "date").agg(cents, F.count(F.lit(1)).alias("closed"), F.min("entry_date").alias("entered"))
+    spans = booked.groupBy(*by).agg(F.sum("closed").alias("n"), F.min("entered").alias("lo"), F.max("date").alias("hi"))
+    days = spans.select(*by, "n", F.explode(F.sequence("lo", "hi")).alias("date")).where(dates.weekday(F.col("date")) < 5)
+    so_far = F.sum("cents").over(W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0))
+    gained = F.coalesce(so_far, F.lit(0)).cast("double") / F.lit(10000.0) / F.col("n")
+    return days.join(booked, [*by, "date"], "left").select(*by, "date", (F.lit(capital) * (1 + gained)).alias("value"))
 
 
 def growth_stats(curve: DataFrame, by: list[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from ..functions.numbers import round_binary, truncated
 from ..functions.rules import RuleBook
 from ..operators import asof, outcomes
 from ..operators import signals as sig
-from ..operators.books import Book, admit
 from ..operators.keys import latest_values, pick_per_key
 
 TRADE_FIELDS = [
@@ -65,25 +64,6 @@ def signal_states(signals: DataFrame, measured: DataFrame, hits: DataFrame, rule
     ).drop("duplicate", "weekly", "start_pos")
 
 
-def apply_slots(states: DataFrame, slots: int = config.SLOTS) -> DataFrame:
-    """Give bought signals a slot in one paper book; refused ones become `no slot` without trade fields."""
-    book = Book("paper", slots=slots, policy="score")
-    bought = states.where(F.col("entry_date").isNotNull())
-    score = F.col("score") if "score" in states.columns else F.lit(None).cast("double")
-    given = admit(
-        bought.select(*sig.KEY, "tier", "entry_date", "exit_date", "ret", score.alias("score")), [book]
-    ).select(*sig.KEY, "taken", F.col("why").alias("__why"))
-    joined = states.join(given, sig.KEY, "left")
-    refused = F.col("taken").isNotNull() & ~F.col("taken")
-    return joined.withColumns(
-        {c: F.when(~refused, F.col(c)) for c in TRADE_FIELDS}
-        | {
-            "status": F.when(refused, "no slot").otherwise(F.col("status")),
-            "why": F.when(refused, F.col("__why")).otherwise(F.col("why")),
-        }
-    ).drop("taken", "__why")
-
-
 def is_closed() -> Column:
     return F.col("status").isin(config.CLOSED_STATUSES)
 

@@ -1,12 +1,13 @@
-"""Performance of books against an index over the same days."""
+"""Performance of value curves against an index over the same days."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
 from ..operators.keys import beside
-from ..operators.books import Book, period_returns
+from ..operators.books import period_returns
 
 
 def same_days(index: DataFrame, curve: DataFrame) -> DataFrame:
@@ -16,31 +17,24 @@ def same_days(index: DataFrame, curve: DataFrame) -> DataFrame:
     return index.transform(beside, span).where(F.col("date").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
-def years(curve: DataFrame, index: DataFrame, books: list[Book]) -> DataFrame:
-    """Yearly return of each book and of the index; the first year starts from the capital."""
-    start = None
-    for book in books:
-        hit = F.col("book") == book.name
-        start = F.when(hit, F.lit(book.capital)) if start is None else start.when(hit, F.lit(book.capital))
-    own = period_returns(curve, ["book"], "year", start)
+def years(curve: DataFrame, index: DataFrame, by: str = "scanner", capital: float = config.CAPITAL) -> DataFrame:
+    """Yearly return of each curve and of the index; the first year starts from the capital."""
+    own = period_returns(curve, [by], "year", F.lit(capital))
     bench = same_days(index, curve).withColumn("one", F.lit(1))
     # The index's first year starts from its first value.
     first = bench.groupBy("one").agg(F.min_by("value", "date").alias("first"))
     theirs = period_returns(bench.join(F.broadcast(first), "one"), ["one", "first"], "year", F.col("first"))
     return own.alias("o").join(theirs.alias("i"), "period", "left").select(
-        "o.book", F.year("period").alias("year"), F.col("o.ret"), F.col("i.ret").alias("index_ret")
+        f"o.{by}", F.year("period").alias("year"), F.col("o.ret"), F.col("i.ret").alias("index_ret")
     )
 
 
-def months(curve: DataFrame, index: DataFrame, books: list[Book]) -> DataFrame:
-    """Month-end value of each book, and of its capital put into the index on the first day."""
+def months(curve: DataFrame, index: DataFrame, by: str = "scanner", capital: float = config.CAPITAL) -> DataFrame:
+    """Month-end value of each curve, and of the capital put into the index on the first day."""
     month = F.date_format("date", "yyyy-MM").alias("month")
-    own = curve.groupBy("book", month).agg(F.max_by("value", "date").alias("value"))
+    own = curve.groupBy(by, month).agg(F.max_by("value", "date").alias("value"))
     bench = same_days(index, curve)
     first = bench.agg(F.min_by("value", "date").alias("first"))
     theirs = bench.groupBy(month).agg(F.max_by("value", "date").alias("v")).transform(beside, first)
-    capital = F.lit(None).cast("double")
-    for book in books:
-        capital = F.when(F.col("book") == book.name, F.lit(book.capital)).otherwise(capital)
     joined = own.join(theirs, "month", "left")
-    return joined.select("book", "month", "value", (F.col("v") / F.col("first") * capital).alias("index_value"))
+    return joined.select(by, "month", "value", (F.col("v") / F.col("first") * capital).alias("index_value"))
