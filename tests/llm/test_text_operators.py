@@ -47,6 +47,31 @@ def test_broken_and_long_pages():
     assert extract.main_text("<div>" * 3000 + "<article><p>Deep words, but words of an article.</p></article>") != ""
 
 
+ICONS = "<article><p>First words {} more.</p><p>Second paragraph, with words of its own.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "icon",
+    [
+        "<svg/>", '<svg class="i"/>', "<svg-icon></svg-icon>", "<svg-icon>", "<title-bar>", "<select-menu>", "<object-view>", "<template-x>", "<style-guide/>",
+        "<svg><path d='M0 0'/><g><path d='M1'></path></g></svg>", "<svg><title>Icon</title><style/></svg>", "<svg><title/><a><text>No</text></a></svg>",
+        "<svg><foreignObject><p>No</p></foreignObject></svg>", "<object data=x>No", "<object data=x><p>No</p></object>", "<select><option>No</select>",
+        "<SELECT><option>No</option></SELECT >", "<template><div><p>No</template>", "<noscript><img src=x><p>No</p></noscript>", "<script>'<svg>'</script>",
+    ],
+)
+def test_icons_and_custom_elements_keep_the_text(icon):
+    want = "First words No more." if icon == "<object data=x>No" else "First words more."
+    # A custom element is a box of its own, so it may begin a line.
+    assert extract.main_text(ICONS.format(icon)).split() == f"{want} Second paragraph, with words of its own.".split()
+
+
+def test_elements_left_open():
+    page = "<article><p>First words of it. {}<p>Second paragraph, with words of its own.</p><p>Third one, and more words.</article>"
+    for left in ("<svg><path>", "<select><option>No", "<select><option>No<select><option>No", "<object data=x>"):
+        assert extract.main_text(page.format(left)).split("\n") == ["First words of it.", "Second paragraph, with words of its own.", "Third one, and more words."]
+    assert extract.main_text("<article><p>Words before it, and not few.</p><textarea>not text<p>not text") == "Words before it, and not few."
+
+
 def test_pages_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     out = extract.extract(pages)

@@ -22,10 +22,9 @@ from pyspark.sql import DataFrame
 
 from .common import in_small_batches
 
-# A tag, comment, declaration or a raw-text element with its content.
+# A tag, comment or declaration.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -40,6 +39,13 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements whose content is text up to their end tag, or to the end of the page without one.
+RAW = frozenset("script style textarea title iframe".split())
+# Elements whose content isn't shown as text; they stand in a line and end no block.
+UNSHOWN = frozenset("svg object select template noscript".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW | UNSHOWN}
+# Block-level elements that stand in no select and no svg: one left open ends where they begin.
+BREAKS_OUT = frozenset("p h1 h2 h3 h4 h5 h6 article main section header footer nav aside ul ol dl table blockquote pre form body".split())
 CLOSED_BY_SELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead tfoot menu section article div".split())
 
@@ -92,8 +98,9 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     """Blocks in page order, and the parent of each container (container 0 is the page)."""
     out: list[Block] = []
     parents = [-1]
-    # Open elements: tag, summed cost, container, inside an article or main, hidden.
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    # Open elements: tag, summed cost, container, inside an article or main, hidden (2: in an element of UNSHOWN, 3: in svg markup).
+    stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
+    ahead: dict[str, int] = {}
     block: Block | None = None
     links = 0
     at = 0
@@ -115,21 +122,46 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
 
     def pop(n: int) -> None:
         nonlocal block, links
-        for tag, *_ in stack[n:]:
+        for tag, *_, hidden in stack[n:]:
             if tag == "a":
                 links -= 1
-            if tag not in INLINE:
+            if tag not in INLINE and hidden < 2:
                 block = None
         del stack[n:]
 
-    for m in _TOKEN.finditer(page):
+    def ends_at(tag: str) -> int:
+        """Where the next end tag of `tag` stops; -1 without one."""
+        if 0 <= ahead.get(tag, 0) <= at:
+            end = _END[tag].search(page, at)
+            ahead[tag] = end.end() if end else -1
+        return ahead[tag]
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[2]:
+        # In svg markup no text is raw.
+        if tag in RAW and not m[1] and stack[-1][4] < 3:
+            at = ends_at(tag)
+            if at < 0:
+                at = len(page)
+            continue
+        if not m[1] and stack[-1][4] > 1 and (tag == "select" or tag in BREAKS_OUT):
+            # What is still open of svg markup and of a select ends here.
+            n = len(stack)
+            while stack[n - 1][4] == 3:
+                n -= 1
+            pop(next((i for i in range(1, n) if stack[i][0] == "select" and stack[i][4] > 1), n))
+        if not m[1] and stack[-1][4] > 1:
+            state = 3 if tag == "svg" else 2 if tag == "foreignobject" else stack[-1][4]
+            if tag not in VOID and not (m[3].endswith("/") and 3 in (state, stack[-1][4])):
+                links += tag == "a"
+                stack.append((tag, *stack[-1][1:4], state))
+            continue
+        if m[1]:
             if tag == "br" or tag == "p" and not any(s[0] == "p" for s in stack):
                 block = None if tag == "p" else block
                 continue
@@ -144,6 +176,11 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             if block is not None:
                 block.pieces.append(" ")
             continue
+        if tag in UNSHOWN:
+            # One that is never closed says nothing about what follows it, but svg and select end by other tags.
+            if not (tag == "svg" and m[3].endswith("/")) and (tag in ("svg", "select") or ends_at(tag) >= 0):
+                stack.append((tag, *stack[-1][1:4], 3 if tag == "svg" else 2))
+            continue
         if tag not in INLINE:
             block = None
             # An open paragraph ends where a block-level element begins; list items and cells end at their like.
@@ -165,7 +202,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                 own = 0
             if tag in ("article", "main") and any(s[0] == "form" for s in stack):
                 own -= ELEMENTS["form"]  # a form around the whole page
-            names = _named(m[4]) if m[4] else 0
+            names = _named(m[3]) if m[3] else 0
             if names is None:
                 hidden = True
             else:
@@ -176,7 +213,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             inside = inside or tag in ("article", "main") and own > 0
             parents.append(container)
             container = len(parents) - 1
-        elif m[4] and _named(m[4]) is None:
+        elif m[3] and _named(m[3]) is None:
             hidden = True
         if tag == "a":
             links += 1
