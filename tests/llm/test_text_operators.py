@@ -72,6 +72,28 @@ def test_elements_left_open():
     assert extract.main_text("<article><p>Words before it, and not few.</p><textarea>not text<p>not text") == "Words before it, and not few."
 
 
+SENTENCE = "A sentence of an article that goes on for a while, with commas and with words that tell something of it all."
+AROUND = '<nav><a href="/">Home</a></nav>{}<div class="sidebar"><p>Other stories that you may like to read today.</p></div><footer>About us.</footer>'
+
+
+@pytest.mark.parametrize("names", ["single right-sidebar", "sidebar-left", "search-results", "page has_sidebar comments-open", "footer-widgets top"])
+@pytest.mark.parametrize("inner", ["<article><p>{0}</p><p>{0}</p></article>", "<h1>Title</h1><p>{0}</p><p>{0}</p>"])
+@pytest.mark.parametrize("outer", ['<html><body class="{}">{}</body></html>', '<html id="top" class="{}"><body>{}</body></html>', '<body><div id="{}">{}</div></body>',
+                                   '<body id="top"><header><p>Just a page.</p></header><div class="social"><div class="{}">{}</div></div></body>'])
+def test_names_of_the_whole_page(names, inner, outer):
+    text = extract.main_text(outer.format(names, AROUND.format(inner.format(SENTENCE)))).split("\n")
+    assert [line for line in text if line != "Title"] == [SENTENCE, SENTENCE]
+
+
+def test_names_of_large_parts():
+    part = '<div class="comments">' + f"<p>{SENTENCE}</p>" * 30 + "</div>"
+    for own in (f"<article><p>{SENTENCE[::-1]}.</p></article>", f"<p>{SENTENCE[::-1]}.</p>" * 2):
+        text = extract.main_text(f'<body class="sidebar-left">{own}{part}</body>')
+        assert SENTENCE not in text and SENTENCE[::-1] in text
+    deep = '<div class="sidebar">' * 20_000 + f"<p>{SENTENCE}</p>"
+    assert extract.main_text(deep) == SENTENCE
+
+
 def test_pages_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     out = extract.extract(pages)

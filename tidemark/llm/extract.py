@@ -67,17 +67,28 @@ NAMES = {
     for w in words.split()
 }
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+REST = 20
 ADJACENT, ACROSS, SHARED, NESTED = 60, 25, 50, 30
 
 
 class Block:
-    __slots__ = ("pieces", "text", "linked", "cost", "parent", "heading", "inside")
+    __slots__ = ("pieces", "text", "linked", "cost", "parent", "heading")
 
-    def __init__(self, cost: int, parent: int, heading: bool, inside: bool):
+    def __init__(self, parent: int, heading: bool):
         self.pieces: list[str] = []
         self.text = ""
-        self.linked = 0
-        self.cost, self.parent, self.heading, self.inside = cost, parent, heading, inside
+        self.linked = self.cost = 0
+        self.parent, self.heading = parent, heading
+
+
+class Box:
+    """A container: its element, what the names cost, and whether a form is around it."""
+
+    __slots__ = ("tag", "names", "parent", "form", "cost", "inside")
+
+    def __init__(self, tag: str, names: int, parent: int, form: bool):
+        self.tag, self.names, self.parent, self.form = tag, names, parent, form
+        self.cost, self.inside = 0, False
 
 
 def _named(attributes: str) -> int | None:
@@ -97,9 +108,9 @@ def _named(attributes: str) -> int | None:
 def blocks(page: str) -> tuple[list[Block], list[int]]:
     """Blocks in page order, and the parent of each container (container 0 is the page)."""
     out: list[Block] = []
-    parents = [-1]
-    # Open elements: tag, summed cost, container, inside an article or main, hidden (2: in an element of UNSHOWN, 3: in svg markup).
-    stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
+    boxes = [Box("", 0, -1, False)]
+    # Open elements: tag, container, hidden (2: in an element of UNSHOWN, 3: in svg markup).
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]
     ahead: dict[str, int] = {}
     block: Block | None = None
     links = 0
@@ -107,14 +118,13 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
 
     def text(piece: str) -> None:
         nonlocal block
-        if stack[-1][4]:
+        if stack[-1][2]:
             return
         words = piece.split()
         if block is None:
             if not words:
                 return
-            _, cost, container, inside, _ = stack[-1]
-            block = Block(cost, container, any(s[0] in _HEADINGS for s in stack[-3:]), inside)
+            block = Block(stack[-1][1], any(s[0] in _HEADINGS for s in stack[-3:]))
             out.append(block)
         block.pieces.append(piece)
         if links:
@@ -144,22 +154,22 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if not tag:
             continue
         # In svg markup no text is raw.
-        if tag in RAW and not m[1] and stack[-1][4] < 3:
+        if tag in RAW and not m[1] and stack[-1][2] < 3:
             at = ends_at(tag)
             if at < 0:
                 at = len(page)
             continue
-        if not m[1] and stack[-1][4] > 1 and (tag == "select" or tag in BREAKS_OUT):
+        if not m[1] and stack[-1][2] > 1 and (tag == "select" or tag in BREAKS_OUT):
             # What is still open of svg markup and of a select ends here.
             n = len(stack)
-            while stack[n - 1][4] == 3:
+            while stack[n - 1][2] == 3:
                 n -= 1
-            pop(next((i for i in range(1, n) if stack[i][0] == "select" and stack[i][4] > 1), n))
-        if not m[1] and stack[-1][4] > 1:
-            state = 3 if tag == "svg" else 2 if tag == "foreignobject" else stack[-1][4]
-            if tag not in VOID and not (m[3].endswith("/") and 3 in (state, stack[-1][4])):
+            pop(next((i for i in range(1, n) if stack[i][0] == "select" and stack[i][2] > 1), n))
+        if not m[1] and stack[-1][2] > 1:
+            state = 3 if tag == "svg" else 2 if tag == "foreignobject" else stack[-1][2]
+            if tag not in VOID and not (m[3].endswith("/") and 3 in (state, stack[-1][2])):
                 links += tag == "a"
-                stack.append((tag, *stack[-1][1:4], state))
+                stack.append((tag, stack[-1][1], state))
             continue
         if m[1]:
             if tag == "br" or tag == "p" and not any(s[0] == "p" for s in stack):
@@ -179,7 +189,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if tag in UNSHOWN:
             # One that is never closed says nothing about what follows it, but svg and select end by other tags.
             if not (tag == "svg" and m[3].endswith("/")) and (tag in ("svg", "select") or ends_at(tag) >= 0):
-                stack.append((tag, *stack[-1][1:4], 3 if tag == "svg" else 2))
+                stack.append((tag, stack[-1][1], 3 if tag == "svg" else 2))
             continue
         if tag not in INLINE:
             block = None
@@ -195,34 +205,72 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         if tag in VOID:
             continue
-        _, cost, container, inside, hidden = stack[-1]
+        _, container, hidden = stack[-1]
         if tag not in INLINE:
-            own = ELEMENTS.get(tag, 0)
-            if tag == "header" and inside:
-                own = 0
-            if tag in ("article", "main") and any(s[0] == "form" for s in stack):
-                own -= ELEMENTS["form"]  # a form around the whole page
             names = _named(m[3]) if m[3] else 0
             if names is None:
                 hidden = True
-            else:
-                # The heading part of an article is not the page's.
-                own += 0 if names == -350 and inside else names
-            # Nested boxes of one kind say it once.
-            cost = max(min(cost + own, 600), -1200)
-            inside = inside or tag in ("article", "main") and own > 0
-            parents.append(container)
-            container = len(parents) - 1
+            boxes.append(Box(tag, names or 0, container, any(s[0] == "form" for s in stack) if tag in ("article", "main") else False))
+            container = len(boxes) - 1
         elif m[3] and _named(m[3]) is None:
             hidden = True
         if tag == "a":
             links += 1
-        stack.append((tag, cost, container, inside, hidden))
+        stack.append((tag, container, hidden))
     if at < len(page):
         text(page[at:])
     for b in out:
         b.text = " ".join(html.unescape("".join(b.pieces)).split())
-    return [b for b in out if b.text], parents
+    out = [b for b in out if b.text]
+    weigh(out, boxes)
+    return out, [x.parent for x in boxes]
+
+
+def weigh(found: list[Block], boxes: list[Box]) -> None:
+    """Put the costs of boxes and blocks: elements and names, summed from the page inwards.
+
+    Names that speak against content say it of a part of the page. On html and body they are layout, and so they are on
+    a box with most of the page's text beside which nothing is content: no text that counts as content by its marks,
+    and no more of other text than 1 in REST letters. Such boxes hold each other, so each is judged once those around it are.
+    """
+    held = [0] * len(boxes)
+    for b in found:
+        held[b.parent] += len(b.text)
+    for i in range(len(boxes) - 1, 0, -1):
+        held[boxes[i].parent] += held[i]
+    # Wide boxes in order, and for each box how many of them are around it, itself included.
+    wide = [i for i, x in enumerate(boxes) if i and x.names < 0 and 2 * held[i] > held[0]]
+    place = {i: k + 1 for k, i in enumerate(wide)}
+    level = [0] * len(boxes)
+    groups: list[list[int]] = [[] for _ in range(len(wide) + 1)]
+    for i, x in enumerate(boxes):
+        level[i] = place.get(i, level[x.parent] if i else 0)
+        groups[level[i]].append(i)
+    texts: list[list[Block]] = [[] for _ in groups]
+    for b in found:
+        texts[level[b.parent]].append(b)
+    beside, marked = 0, False
+    for k, group in enumerate(groups):
+        for i in group:
+            x, outer = boxes[i], boxes[boxes[i].parent] if i else boxes[0]
+            names = x.names
+            if names < 0 and (x.tag in ("html", "body") or k and i == wide[k - 1] and not marked and REST * beside <= held[i]):
+                names = 0
+            own = ELEMENTS.get(x.tag, 0)
+            if x.tag == "header" and outer.inside:
+                own = 0
+            if x.form:
+                own -= ELEMENTS["form"]  # a form around the whole page
+            # The heading part of an article is not the page's.
+            own += 0 if names == -350 and outer.inside else names
+            # Nested boxes of one kind say it once.
+            x.cost = max(min(outer.cost + own, 600), -1200)
+            x.inside = outer.inside or x.tag in ("article", "main") and own > 0
+        for b in texts[k]:
+            b.cost = boxes[b.parent].cost
+            if not b.heading and score(b) > 0:
+                beside += len(b.text)
+                marked = marked or b.cost > 0
 
 
 def score(b: Block) -> int:
