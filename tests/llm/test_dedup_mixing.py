@@ -1,5 +1,6 @@
 """Exact copies, near copies and the mix of sources against plain loops, with nulls, ties, repeats and empty tables."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -184,6 +185,25 @@ def test_mix_meets_targets(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_mix_passes_over_a_long_document(spark):
+    """Sources with one document of a third of their words, early, at the cut or behind it in the seeded order; goals of 0.6 of them."""
+    seeded = lambda i: hashlib.md5(f"17:{i}".encode()).hexdigest()
+    rows = [(100_000 + i, "a b c d", "z") for i in range(1800)]
+    for k, low in enumerate(("05", "77", "aa")):
+        rows.append((next(i for i in range(10_000, 20_000) if seeded(i).startswith(low)), "w " * 2000, low))
+        rows += [(1000 * k + i, "w " * 8, low) for i in range(500)]
+    # Rows that share an id are taken together; where they don't all fit, others are.
+    rows += [(20_000 + i, "w " * 40, "y") for i in range(50) for _ in range(2 + 20 * (i % 2))]
+    got = mixing.mix(docs(spark, rows), weights=(1, 1, 1, 4, 4)).collect()
+    for s in ("05", "77", "aa", "y", "z"):
+        mine = [r for r in got if r.source == s]
+        left = mine[0].target - sum(r.size * (r.whole + r.extra) for r in mine)
+        groups = Counter()
+        for r in mine:
+            groups[r.id] += (1 - r.extra) * r.size
+        assert 0 <= left and (mine[0].whole == 3 or not +groups or left < min((+groups).values())), (s, left)
+
+
 def test_mix_repeats_rows(spark):
     rows = [(i, "a b c" * (1 + i % 4), "big" if i % 3 else "small") for i in range(90)] + [(7, "a b c", "other")] * 2
     frame = docs(spark, rows)

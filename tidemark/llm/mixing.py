@@ -8,7 +8,9 @@ A source's target is met by whole repetitions of all its documents and one seede
 For the partial one, documents stand in the order of a seeded hash; their sizes are first summed per
 hash cell (at most 4,096 a source), then per sub-cell of the one cell where the target falls, then by
 document inside that sub-cell, so no source is ever sorted whole. What the cut leaves open is filled by
-the largest documents that still fit, for a few rounds. Only whole documents are repeated.
+the largest documents that still fit, for a few rounds, and then by the seeded order again: documents that do
+not fit are skipped and the cut is made anew over the others, until none of the rest fits. Only whole documents
+are repeated.
 """
 
 from __future__ import annotations
@@ -74,6 +76,7 @@ def mix(
     goals = goals.withColumn("whole", whole.cast("long")).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
     goals = stored(goals.select("source", "source_size", "target", "whole", "goal"), "mix-goals")
     same = lambda other: F.col("r.source").eqNullSafe(other["source"])
+    r = rows.alias("r")
 
     def split(part: DataFrame, at: int, name: str) -> DataFrame:
         """For each source the words before the cell where its goal falls, `before`, and that cell, `name`."""
@@ -83,46 +86,59 @@ def mix(
         placed = sums.withColumn("before", F.col("before") + running).where(F.col("before") + F.col("n") > F.col("goal"))
         return placed.groupBy("source").agg(F.min(F.struct(name, "before")).alias("c")).select("source", f"c.{name}", "c.before")
 
-    r = rows.alias("r")
-    base = r.join(goals.alias("g"), same(goals)).select("r.*", "goal", F.lit(0).cast("long").alias("before"))
-    first = stored(split(base, 1, "cell"), "mix-cells")
-    inside = r.join(first.alias("f"), same(first) & (F.substring("h", 1, CELL) == F.col("cell"))).select("r.*", "cell", "before")
-    inside = inside.alias("r").join(goals.alias("g"), same(goals)).select("r.*", "goal")
-    second = stored(split(inside, 1 + CELL, "sub"), "mix-subcells")
-    last = inside.drop("before").alias("r").join(second.alias("s"), same(second) & (F.substring("h", 1 + CELL, CELL) == F.col("sub"))).select("r.*", "sub", "before")
-    # Ties count as one step: the range frame takes rows of one hash together.
-    reached = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("h").rangeBetween(W.unboundedPreceding, 0))
-    fits = last.withColumn("sum", reached).where(F.col("sum") <= F.col("goal"))
-    cut = fits.groupBy("source").agg(F.max("h").alias("cut_h"), F.max("sum").alias("sum"))
-    bounds = goals.alias("r").join(second.alias("s"), same(second), "left").join(first.alias("f"), same(first), "left").select(
-        "r.*", "cell", "sub", F.col("s.before").alias("before")
-    )
-    bounds = bounds.alias("r").join(cut.alias("c"), same(cut), "left").select("r.*", "cut_h", F.coalesce("sum", "before").alias("got"))
-    # Rows below the sub-cell are in; inside it up to the cut. A source whose goal is never passed takes all.
-    bounds = bounds.select(
-        "source", "source_size", "target", "whole", "goal", F.coalesce(F.col("cut_h"), F.concat("cell", "sub"), F.lit("g")).alias("cut"),
-        F.coalesce(F.col("got"), F.col("source_size")).alias("got"),
-    )
-    bounds = stored(bounds, "mix-bounds")
+    def seeded_cut(part: DataFrame, goals: DataFrame) -> DataFrame:
+        """`goals` with the last hash of the seeded order whose words, from the start of `part`, stay within the goal, and these words."""
+        r = part.alias("r")
+        base = r.join(goals.alias("g"), same(goals)).select("r.*", "goal", F.lit(0).cast("long").alias("before"))
+        first = stored(split(base, 1, "cell"), "mix-cells")
+        inside = r.join(first.alias("f"), same(first) & (F.substring("h", 1, CELL) == F.col("cell"))).select("r.*", "cell", "before")
+        inside = inside.alias("r").join(goals.alias("g"), same(goals)).select("r.*", "goal")
+        second = stored(split(inside, 1 + CELL, "sub"), "mix-subcells")
+        last = inside.drop("before").alias("r").join(second.alias("s"), same(second) & (F.substring("h", 1 + CELL, CELL) == F.col("sub"))).select("r.*", "sub", "before")
+        # Ties count as one step: the range frame takes rows of one hash together.
+        reached = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("h").rangeBetween(W.unboundedPreceding, 0))
+        fits = last.withColumn("sum", reached).where(F.col("sum") <= F.col("goal"))
+        cut = fits.groupBy("source").agg(F.max("h").alias("cut_h"), F.max("sum").alias("sum"))
+        bounds = goals.alias("r").join(second.alias("s"), same(second), "left").join(first.alias("f"), same(first), "left").select(
+            "r.*", "cell", "sub", F.col("s.before").alias("before")
+        )
+        bounds = bounds.alias("r").join(cut.alias("c"), same(cut), "left").select("r.*", "cell", "sub", "cut_h", F.coalesce("sum", "before").alias("got"))
+        # Rows below the sub-cell are in; inside it up to the cut. A source whose goal is never passed takes all.
+        bounds = bounds.withColumn("cut", F.coalesce(F.col("cut_h"), F.concat("cell", "sub"), F.lit("g"))).withColumn("got", F.coalesce("got", "source_size"))
+        return stored(bounds.select(*goals.columns, "cut", "got"), "mix-bounds")
+
+    bounds = seeded_cut(rows, goals)
     placed = r.join(bounds.alias("b"), same(bounds)).select("r.*", "source_size", "target", "whole", "goal", "cut")
     placed = placed.withColumn("extra", F.when((F.col("h") <= F.col("cut")) & (F.col("whole") < max_epochs), 1).otherwise(0))
-    gap = bounds.select("source", (F.col("goal") - F.col("got")).alias("gap"))
-    rest = placed.where((F.col("extra") == 0) & (F.col("size") > 0))
-    picks = None
+    gap = stored(bounds.select("source", (F.col("goal") - F.col("got")).alias("gap")), "mix-gap")
+    # Rows of one hash are taken together, so all of them must fit.
+    rest = placed.where(F.col("extra") == 0).groupBy("source", "h").agg(F.sum("size").alias("size")).where("size > 0")
+
+    def fitting(rest: DataFrame, gap: DataFrame) -> DataFrame:
+        return rest.alias("r").join(gap.alias("g"), same(gap)).where(F.col("size") <= F.col("gap")).select("r.source", "r.h", "r.size", "gap")
+
+    def less(gap: DataFrame, got: DataFrame) -> DataFrame:
+        now = gap.alias("r").join(got.alias("a"), same(got), "left").select("r.source", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap"))
+        return stored(now, "mix-gap")
+
+    rest = stored(fitting(rest, gap).drop("gap"), "mix-rest")
+    picks = rows.sparkSession.createDataFrame([], rows.select("source", "h").schema)
     for _ in range(fill_rounds):
-        open_ = rest.alias("r").join(gap.alias("g"), same(gap)).where(F.col("size") <= F.col("gap")).select("r.*", "gap")
-        if picks is not None:
-            open_ = open_.alias("r").join(picks.alias("p"), same(picks) & (F.col("r.h") == F.col("p.h")), "left_anti").select("r.*")
-        best = open_.groupBy("source").agg(F.max(F.struct("size", "h")).alias("m"), F.first("gap").alias("gap")).select("source", "m.h", "m.size", "gap")
-        # Rows repeated in full share a hash: all of them would be taken, so all must fit.
-        alike = open_.alias("r").join(best.alias("b"), same(best) & (F.col("r.h") == F.col("b.h"))).groupBy("r.source", "r.h").agg(F.sum("r.size").alias("size"))
-        alike = stored(alike, "mix-fill")
-        gap = gap.alias("r").join(alike.alias("a"), same(alike), "left").select("r.source", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap"))
-        gap = stored(gap.where("gap >= 0"), "mix-gap")
-        alike = stored(alike.alias("r").join(gap.alias("g"), same(gap), "left_semi"), "mix-picked")
-        picks = alike.select("source", "h") if picks is None else picks.unionByName(alike.select("source", "h"))
-    if picks is None:
-        return placed.drop("h", "goal", "cut")
+        best = fitting(rest, gap).groupBy("source").agg(F.max(F.struct("size", "h")).alias("m"))
+        best = stored(best.select("source", "m.h", F.col("m.size").alias("got")), "mix-picked")
+        picks = picks.unionByName(best.select("source", "h"))
+        gap = less(gap, best)
+        rest = rest.alias("r").join(best.alias("p"), same(best) & (F.col("r.h") == F.col("p.h")), "left_anti")
+    while True:
+        # The first of what fits is always taken, so the rounds end.
+        rest = stored(fitting(rest, gap), "mix-rest")
+        if rest.isEmpty():
+            break
+        bounds = seeded_cut(rest.drop("gap"), rest.groupBy("source").agg(F.max("gap").alias("goal"), F.sum("size").alias("source_size")))
+        judged = rest.alias("r").join(bounds.alias("b"), same(bounds)).select("r.source", "r.h", "r.size", "cut")
+        picks = picks.unionByName(judged.where("h <= cut").select("source", "h"))
+        gap = less(gap, bounds.select("source", "got"))
+        rest = judged.where("h > cut").drop("cut")
     picked = picks.withColumn("picked", F.lit(1))
     done = placed.alias("r").join(picked.alias("p"), same(picked) & (F.col("r.h") == F.col("p.h")), "left").select("r.*", "picked")
     return done.withColumn("extra", F.greatest("extra", F.coalesce("picked", F.lit(0)))).drop("h", "goal", "cut", "picked")
