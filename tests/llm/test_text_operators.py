@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -240,6 +241,30 @@ def test_licences(spark):
     assert licences.scan(frame.limit(0)).count() == 0
 
 
+# What stands behind a sentence in its licence's header or text, where it isn't a full stop.
+BEHIND = {1: ":", 10: ":", 30: ";", 32: " http://www.apache.org/licenses/LICENSE-2.0", 40: ":", 41: ","}
+
+
+def test_every_rule_in_every_form(spark):
+    cases = []
+    for name, rules in licences.RULES.items():
+        for rule in rules:
+            line = " ".join(licences.SENTENCES[i] + BEHIND.get(i, ".") for i in rule)
+            if "SPDX" in line:
+                line = line.rstrip(".")
+            cases += [(line, name), (f"{line}\n", name), (f"/* {line} */", name)]
+            for width in (37, 50, 72):
+                for mark in ("", "# ", " * ", "// "):
+                    cases.append((textwrap.fill(line, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False), name))
+    cases += [(x.replace(" http://", "\n#\n#    http://").replace("http:", "https:"), n) for x, n in cases if " http://www.apache" in x]
+    assert {x for _, x in cases} == set(licences.RULES)
+    tags = {x.removesuffix("-only") for x in licences.SENTENCES.values() if x.startswith("SPDX")}
+    assert tags == {f"SPDX-License-Identifier: {name}" for name in licences.RULES}
+    frame = spark.createDataFrame(list(enumerate(x for x, _ in cases)), "doc_id long, text string")
+    got = {r.id: r.licences for r in licences.scan(frame).collect()}
+    assert [(x, got[i], want) for i, (x, want) in enumerate(cases) if got[i] != want] == []
+
+
 def phrases_loop(text, sample):
     n = 0
     for at in range(0, len(text), language.STRETCH):

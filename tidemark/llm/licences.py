@@ -59,7 +59,10 @@ SENTENCES: dict[int, str] = {
     86: "This work is licensed under CC0 1.0 Universal",
     **{
         90 + i: f"SPDX-License-Identifier: {name}"
-        for i, name in enumerate(("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "Unlicense"))
+        for i, name in enumerate((
+            "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "Unlicense",
+            "GPL-2.0-only", "GPL-3.0-only", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+        ))
     },
 }
 
@@ -68,13 +71,13 @@ RULES: dict[str, list[tuple[int, ...]]] = {
     "Apache-2.0": [(30, 31, 32), (33,), (34,), (91,)],
     "BSD-2-Clause": [(10, 11, 12), (92,)],
     "BSD-3-Clause": [(10, 11, 12, 13), (93,)],
-    "CC-BY-4.0": [(80,), (83,)],
-    "CC-BY-NC-4.0": [(82,), (85,)],
-    "CC-BY-SA-4.0": [(81,), (84,)],
-    "CC0-1.0": [(86,)],
-    "GPL-2.0": [(45,)],
+    "CC-BY-4.0": [(80,), (83,), (102,)],
+    "CC-BY-NC-4.0": [(82,), (85,), (104,)],
+    "CC-BY-SA-4.0": [(81,), (84,), (103,)],
+    "CC0-1.0": [(86,), (101,)],
+    "GPL-2.0": [(45,), (99,)],
     "GPL-2.0-or-later": [(40, 41, 43), (95,)],
-    "GPL-3.0": [(44,)],
+    "GPL-3.0": [(44,), (100,)],
     "GPL-3.0-or-later": [(40, 41, 42), (96,)],
     "ISC": [(20, 21), (94,)],
     "MIT": [(1, 2, 3), (70,), (71,), (72,), (90,)],
@@ -84,8 +87,11 @@ RULES: dict[str, list[tuple[int, ...]]] = {
 # A rule that says more takes the place of one it holds.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
 
-# Marks that don't end a sentence, and a place that does without one: (pattern, replacement), before cutting.
-BEFORE = [("SPDX-License-Identifier:", "SPDX-License-Identifier"), (r"\bv\. ", "v "), (r",(\s+)either version", r".$1either version")]
+# Marks that don't end a sentence, and places that do without one: (pattern, replacement), before cutting. Lines may be wrapped and begin with marks.
+BEFORE = [
+    ("SPDX-License-Identifier:", "SPDX-License-Identifier"), (r"\bv\.(\s)", r"v$1"), (r",(\s[^A-Za-z0-9]*)either[^A-Za-z0-9]+version", r".$1either version"),
+    (r"\bat(\s[^A-Za-z0-9]*(?:https?://)?(?:www\.)?apache\.org)", r"at.$1"),
+]
 FLOWING = r"[.!?;:]+(\s|$)"
 BY_LINE = r"[.!?;:]+(\s|$)|[\r\n]+"
 LINES = r"[\r\n]+"
