@@ -17,8 +17,13 @@ from tidemark.session import configure
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
+    """Documents in which a language is found; those without a letter go.
+
+    Where no language could be learned (no label outside the held-out quarter), the text itself tells which have a letter.
+    """
     samples = language.fit(docs, ~language.held_out())
+    if not samples:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = language.predict(docs, samples, out=("__lang_pred", "__lang_score"))
     return judged.where(F.col("__lang_pred") != "und").select(*docs.columns)
 
