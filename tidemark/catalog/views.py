@@ -82,7 +82,7 @@ STATES = {
     "scan_now": (["members"], "SELECT scanner, symbol, max(run) AS run, arg_max(value, run) + 900 AS price FROM members GROUP BY ALL"),
     "followed": (["shifted", "bars", "scan_now"], """
         SELECT e.*, s.price AS scan_price, s.run = (SELECT max(run) FROM members) AS on_scan,
-               CASE WHEN b.last_date >= e.day THEN round(b.last_close, 2) ELSE s.price END AS now, CASE WHEN b.last_date >= e.day THEN b.last_date END AS now_date,
+               CASE WHEN b.last_date >= e.day THEN CAST(printf('%.2f', b.last_close) AS DOUBLE) ELSE s.price END AS now, CASE WHEN b.last_date >= e.day THEN b.last_date END AS now_date,
                x.best, x.worst, CASE WHEN b.last_date >= e.day THEN coalesce(x.days, 0) END AS days
         FROM shifted e JOIN scan_now s ON s.scanner = e.scanner AND s.symbol = e.symbol
         LEFT JOIN (SELECT symbol, max(date) AS last_date, arg_max(close, date) AS last_close FROM bars GROUP BY symbol) b ON b.symbol = e.symbol
@@ -200,7 +200,7 @@ def breakout_stats(spark, sf):
 
 
 @query("own_triggers", "J28 W12", with_views("followed hits1 bars", f"""
-SELECT f.scanner, f.symbol, f.run, coalesce(round(x.high, 2), round(n.high, 2), f.trigger) AS trigger FROM followed f
+SELECT f.scanner, f.symbol, f.run, coalesce(CAST(printf('%.2f', x.high) AS DOUBLE), CAST(printf('%.2f', n.high) AS DOUBLE), f.trigger) AS trigger FROM followed f
 LEFT JOIN (SELECT h.kind, h.symbol, h.hit_date, b.high FROM own h JOIN bars b ON b.symbol = h.symbol AND b.date = h.hit_date) x ON x.kind = f.scanner AND x.symbol = f.symbol AND x.hit_date = f.day
 LEFT JOIN (SELECT h.kind, h.symbol, arg_max(b.high, h.hit_date) AS high FROM own h JOIN bars b ON b.symbol = h.symbol AND b.date = h.hit_date GROUP BY ALL) n ON n.kind = f.scanner AND n.symbol = f.symbol""".replace("own h", "(SELECT *, CASE scanner WHEN '2-HIGH' THEN 'click' ELSE 'view' END AS kind FROM hits1 WHERE scanner IN ('2-HIGH', '3-MEDIUM')) h"), STATES))
 def own_triggers(spark, sf):

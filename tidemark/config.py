@@ -123,3 +123,9 @@ NUMBER_FIELDS = {
 
 MIN_CHECKED = 7
 UNCLASSIFIED = "Unclassified"
+
+# Month names, of which the first three letters count too, and words that may stand inside a date.
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+]
+DATE_FILLERS = ["of", "st", "nd", "rd", "th"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +15,16 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
 
 
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """`fn` of a value that is computed once, however often `fn` names it, and compiled apart from what stands around it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def to_number(c: Column, strip: str = r"[,%\s]") -> Column:
     """Number from text after removing separators; NULL when it is not a finite number."""
     bare = F.regexp_replace(c.cast("string"), strip, "")
     number = F.regexp_extract(bare, NUMERIC_TEXT, 0).try_cast("double")
-    # In a one-element array, so that the parsed value is named three times but computed and compiled once.
-    return F.get(F.transform(F.array(number), finite), F.lit(0))
+    return bound(number, finite)
 
 
 def currency_to_number(c: Column) -> Column:

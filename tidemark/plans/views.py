@@ -7,10 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.numbers import pct_change, round_binary
+from ..functions.numbers import bound, pct_change, round_binary
 from ..operators.keys import earliest_values, latest_values, pick_per_key
 
 
+def cents(price: Column) -> Column:
+    return round_binary(price, 2)
+
+
 def change(base: Column, value: Column) -> Column:
     return round_binary(pct_change(base, value), 2)
 
@@ -56,7 +60,7 @@ def breakouts(events: DataFrame, bars: DataFrame, latest: DataFrame, on_scan: Da
     flags = on_scan.select("scanner", "symbol", F.lit(True).alias("__on"))
     told = since_event(events, bars)
     joined = told.join(now_rows, ["scanner", "symbol"], "left").join(flags, ["scanner", "symbol"], "left")
-    now = F.when(F.col("last_date").isNotNull(), F.round("last_close", 2)).otherwise(F.col("__scan"))
+    now = F.when(F.col("last_date").isNotNull(), bound(F.col("last_close"), cents)).otherwise(F.col("__scan"))
     chg = change(F.col("trigger"), F.col("now"))
     return joined.withColumn("now", now).select(
         "scanner", "symbol", "run", "kind", "day", "trigger", "now", F.col("last_date").alias("now_date"), chg.alias("chg"),
@@ -71,7 +75,7 @@ def own_triggers(rows: DataFrame, states: DataFrame) -> DataFrame:
     exact = known.select("scanner", "symbol", F.col("hit_date").alias("day"), F.col("trigger").alias("__exact"))
     newest = latest_values(known, ["scanner", "symbol"], ["hit_date"], ["trigger"]).withColumnRenamed("trigger", "__newest")
     joined = rows.join(exact, ["scanner", "symbol", "day"], "left").join(newest, ["scanner", "symbol"], "left")
-    trigger = F.coalesce(F.round("__exact", 2), F.round("__newest", 2), "trigger")
+    trigger = F.coalesce(bound(F.coalesce("__exact", "__newest"), cents), F.col("trigger"))
     chg = change(F.col("trigger"), F.col("now"))
     return joined.withColumn("trigger", trigger).withColumn("chg", chg).withColumn("status", buy_or_hold(chg)).drop(
         "__exact", "__newest"
