@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import exact_dedup, extract, language, licences, minhash, mixing, neighbours, packing, preference, quality
+from . import exact_dedup, extract, language, licences, manifest, minhash, mixing, neighbours, packing, preference, quality
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,3 +210,65 @@ def _licence_sql() -> str:
 
 
 CHECKS["op9_licences"] = _licence_sql()
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its leaf, roots and proof, checked after line ends were taken from half of the texts."""
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit("")))
+    found = manifest.manifest(table(spark, sf_dir, "documents"), list(manifest.FIELDS), "doc_id", "source", tampered, "text")
+    return found.withColumnRenamed("key", "doc_id")
+
+
+def _crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of byte values: eight shifts a byte."""
+    bits = f"flatten(list_transform({codes}, lambda b: [CAST(b AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    shift = "xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))"
+    return f"xor(list_reduce({bits}, lambda a, e: {shift}, CAST(4294967295 AS UBIGINT)), 4294967295)"
+
+
+def _manifest_sql() -> str:
+    def enc(column: str) -> str:
+        return f"coalesce(CAST(octet_length(encode(CAST({column} AS VARCHAR))) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(enc(text if c == 'text' else c) for c in manifest.FIELDS)})"
+
+    even = f"{_crc32_sql('list_transform(string_split(CAST(doc_id AS VARCHAR), chr(0)), lambda s: ord(s))').replace('chr(0)', chr(39) * 2)} % 2 = 0"
+    # A level above a run of a tree of n nodes, for all trees at once; the tree of roots is the one numbered -1.
+    return f"""
+    WITH RECURSIVE d AS MATERIALIZED (
+        SELECT doc_id, {leaf('text')} AS leaf, CASE WHEN {even} AND text IS NOT NULL THEN {leaf("replace(text, chr(10), '')")} END AS changed,
+               dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {leaf('text')}) - 1 AS place
+        FROM documents),
+    low AS (
+        SELECT tree, 0 AS level, place, leaf AS digest, n FROM d
+        UNION ALL
+        SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY ALL),
+    subroots AS MATERIALIZED (SELECT tree, digest FROM low WHERE n = 1),
+    high AS (
+        SELECT 0 AS level, tree AS place, digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+        UNION ALL
+        SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY ALL),
+    runs AS MATERIALIZED (
+        SELECT tree, level, place // 3 AS parent, list(digest ORDER BY place) AS run FROM low WHERE n > 1 GROUP BY ALL
+        UNION ALL
+        SELECT -1, level, place // 3, list(digest ORDER BY place) FROM high WHERE n > 1 GROUP BY ALL),
+    steps AS (
+        SELECT row_number() OVER () AS r, doc_id, leaf, tree, place, tree AS walked, 0 AS level, coalesce(changed, leaf) AS folded, '' AS proof, false AS done FROM d
+        UNION ALL
+        SELECT r, doc_id, leaf, s.tree, CASE WHEN run IS NULL THEN s.tree ELSE place // 3 END, CASE WHEN run IS NULL THEN -1 ELSE walked END,
+               CASE WHEN run IS NULL THEN 0 ELSE s.level + 1 END,
+               CASE WHEN run IS NULL THEN folded
+                    ELSE sha256(array_to_string(run[1 : place % 3] || [folded] || run[place % 3 + 2 :], '')) END,
+               CASE WHEN run IS NULL THEN proof ELSE proof || array_to_string(run[1 : place % 3] || run[place % 3 + 2 :], '') END,
+               run IS NULL AND walked = -1
+        FROM steps s LEFT JOIN runs u ON u.tree = s.walked AND u.level = s.level AND u.parent = s.place // 3
+        WHERE NOT done)
+    SELECT s.doc_id, s.leaf, t.digest AS subroot, h.digest AS root, sha256(s.proof) AS proof_sha256, s.folded AS folded_root, s.folded = h.digest AS verified
+    FROM steps s JOIN subroots t ON t.tree = s.tree, (SELECT digest FROM high WHERE n = 1) h WHERE s.done"""
+
+
+CHECKS["op13_manifest"] = _manifest_sql()
