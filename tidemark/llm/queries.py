@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
-from . import exact_dedup, extract, language, licences, manifest, minhash, mixing, neighbours, packing, preference, quality
+from ..session import configure, scratch_path
+from . import exact_dedup, extract, language, licences, manifest, minhash, mixing, neighbours, packing, preference, quality, variants, warc
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,3 +272,63 @@ def _manifest_sql() -> str:
 
 
 CHECKS["op13_manifest"] = _manifest_sql()
+
+
+@query
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its usual form."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def _variants_sql() -> str:
+    # The SQL's edit distance counts bytes: accented letters become characters of one byte that words don't hold.
+    accented, plain = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(0x21, 0x61))).replace("'", "''")
+    codes = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END))"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, w, count(*) AS n FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[a-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+    hashed AS MATERIALIZED (SELECT w, n, CAST({_crc32_sql(codes)} AS BIGINT) AS h FROM runs),
+    words AS MATERIALIZED (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    coded AS MATERIALIZED (SELECT *, length(word) AS l, translate(word, '{accented}', '{plain}') AS c FROM words),
+    near AS MATERIALIZED (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM coded a JOIN coded b ON b.l = a.l AND levenshtein(a.c, b.c) = 1
+        UNION ALL SELECT a.word, a.n, b.word, b.n FROM coded a JOIN coded b ON b.l = a.l + 1 AND levenshtein(a.c, b.c) = 1
+        UNION ALL SELECT a.word, a.n, b.word, b.n FROM coded a JOIN coded b ON b.l = a.l - 1 AND levenshtein(a.c, b.c) = 1),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+    formed AS MATERIALIZED (
+        SELECT w.word, CASE WHEN other_n >= 5 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+        FROM words w LEFT JOIN best b USING (word)),
+    walk AS (
+        SELECT word, word AS root, form AS next FROM formed
+        UNION ALL
+        SELECT k.word, k.next, f.form FROM walk k JOIN formed f ON f.word = k.next)
+    SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word AND k.next IS NULL"""
+
+
+CHECKS["op12_variants"] = _variants_sql()
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back: responses with their payloads, of revisits the headers alone."""
+    path = scratch_path(spark, "warc")
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
+    kind = table(spark, sf_dir, "pages").schema["page_id"].dataType
+    page = lambda c: warc.page_key(F.col(c)).cast(kind)
+    told = "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string"
+    whole = warc.read(spark, path, "record_id string, record_type string, payload binary", "record_type = 'response'")
+    whole = whole.select("record_id", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"))
+    again = warc.read(spark, path, told, "record_type = 'revisit'")
+    return whole.unionByName(again).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+CHECKS["op11_warc"] = """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    q AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS last FROM p),
+    r AS (SELECT *, payload_bytes >= 1000 AND page_id <> last AS again FROM q)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM r"""
