@@ -85,6 +85,3 @@ def test_sinks(spark, tmp_path):
     assert [r.v for r in spark.read.json(str(tmp_path / "j")).orderBy("i").collect()] == [None, None, 1.5]
     tables.export_csv(a, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
-    tables.upsert_version(a.select("k", "n"), str(tmp_path / "v"), 0, ["k"], ["n"])
-    tables.upsert_version(spark.createDataFrame([("y", 7)], "k string, n int"), str(tmp_path / "v"), 1, ["k"], ["n"])
-    assert {r.k: r.n for r in tables.read_version(spark, str(tmp_path / "v"), 2).collect()} == {"x": 2, "y": 7}

@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["market", "outcomes", "snapshots", "views", "books", "fundamentals", "pages", "ranker", "maintenance", "landed", "streams"]
+MODULES = ["market", "outcomes", "snapshots", "views", "books", "fundamentals", "pages", "ranker", "maintenance", "landed", "streams", "timed"]
 
 
 def load() -> tuple[dict, dict]:

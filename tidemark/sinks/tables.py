@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from ..functions.numbers import finite
-from ..operators.keys import earliest_values, mirror_changes, upsert_latest
+from ..operators.keys import earliest_values, latest_values, mirror_changes
 from ..session import cut
 
 
@@ -17,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of one's own, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Append events, one file set per call."""
     rows.write.mode("append").parquet(path)
@@ -91,19 +97,59 @@ def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     )
 
 
-def read_version(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """The newest version below a number of a versioned table."""
-    for version in range(before - 1, -1, -1):
-        if exists(spark, f"{path}/v={version}/_SUCCESS"):
-            return spark.read.parquet(f"{path}/v={version}")
-    return None
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a bucketed table, oldest first."""
+    if not exists(spark, f"{path}/manifest"):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(int(n) for n in names if exists(spark, f"{path}/manifest/{n}/_SUCCESS"))
+
+
+def bucket_folders(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
+    """Bucket -> version that last wrote it, of the newest version or of the newest up to `version`. One entry per bucket."""
+    known = [v for v in _manifests(spark, path) if version is None or v <= version]
+    if not known:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version int").parquet(f"{path}/manifest/{known[-1]}").collect()}
+
+
+def _folder(path: str, bucket: int, version: int) -> str:
+    return f"{path}/data/version={version}/bucket={bucket}"
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest version of a bucketed table; no rows where nothing was written."""
+    held = [_folder(path, b, v) for b, v in bucket_folders(spark, path).items()]
+    return spark.read.schema(schema).parquet(*held) if held else spark.createDataFrame([], schema)
 
 
-def upsert_version(updates: DataFrame, path: str, version: int, key: list[str], order: list[str]) -> None:
-    """Write the next version of a keyed table: the row with the greatest `order` per key stays.
+def merge_buckets(updates: DataFrame, path: str, version: int, key: list[str], order: list[str], buckets: int = 16) -> None:
+    """Write the next version of a keyed table laid out by hash of its key: per key the row with the greatest `order` stays.
 
-    A repeated version reads the same predecessor and writes the same rows, so replays are safe.
+    Only buckets that `updates` meet are read and written, each into a folder of this version; the manifest, one row per
+    bucket, names every bucket's newest folder and is written last. A repeated version starts from the same predecessor
+    and writes the same folders. Folders that neither this manifest nor the one before names are removed.
     """
-    old = read_version(updates.sparkSession, path, version)
-    merged = upsert_latest(old, updates, key, order) if old is not None else upsert_latest(updates.limit(0), updates, key, order)
-    merged.write.mode("overwrite").parquet(f"{path}/v={version}")
+    spark = updates.sparkSession
+    earlier = bucket_folders(spark, path, version - 1)
+    placed = cut(updates.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+    met = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
+    if met:
+        old = [_folder(path, b, earlier[b]) for b in met if b in earlier]
+        shape = StructType([f for f in placed.schema if f.name != "bucket"])
+        rows = placed
+        if old:
+            stored = spark.read.schema(shape).parquet(*old)
+            rows = rows.unionByName(stored.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+        values = [c for c in updates.columns if c not in key]
+        # Rows of a bucket meet in one task each, so that a bucket is one file, and a key's rows are aggregated there.
+        merged = latest_values(rows.repartition(min(buckets, len(met)), "bucket"), ["bucket", *key], order, values)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={version}")
+    now = earlier | {b: version for b in met}
+    spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{version}")
+    for v in [v for v in _manifests(spark, path) if v < version][:-1]:
+        for bucket, written in bucket_folders(spark, path, v).items():
+            if written not in (earlier.get(bucket), now.get(bucket)):
+                remove(spark, _folder(path, bucket, written))
+        remove(spark, f"{path}/manifest/{v}")

@@ -1,6 +1,6 @@
 """Structured Streaming jobs over event files.
 
-Stateful steps keep their state as keyed tables, written per micro-batch: a replayed
+Keyed state lies in disk-backed stores, or in tables written per micro-batch: a replayed
 batch reads the same predecessor and overwrites the same output, so results are exact
 after a lost executor or driver.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import beside
 from ..operators import membership
-from ..sinks.tables import read_version, upsert_version
+from ..sinks import tables
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -24,11 +24,28 @@ def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet",
     return reader.parquet(folder)
 
 
+# Keyed state on disk with a memory bound, whatever it grows to.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
 def run_to_end(stream: DataFrame, work: str, name: str, handler=None, out: str | None = None) -> None:
-    """Process everything that has arrived, then stop."""
-    writer = stream.writeStream.option("checkpointLocation", f"{work}/{name}-log").trigger(availableNow=True)
-    writer = writer.foreachBatch(handler) if handler else writer.format("parquet").option("path", out).outputMode("append")
-    writer.start().awaitTermination()
+    """Process everything that has arrived, then stop. State lies in disk-backed stores."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in DISK_STATE}
+    for k, v in DISK_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.option("checkpointLocation", f"{work}/{name}-log").trigger(availableNow=True)
+        writer = writer.foreachBatch(handler) if handler else writer.format("parquet").option("path", out).outputMode("append")
+        writer.start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def membership_diff(stream: DataFrame, to_members, work: str) -> DataFrame:
@@ -54,16 +71,10 @@ def settled_entries(members: DataFrame, max_gap_hours: float) -> DataFrame:
 
 
 def latest_bars(stream: DataFrame, work: str, key: list[str], order: list[str]) -> DataFrame:
-    """Stored bars where a later version of a key replaces the earlier one."""
-    spark = stream.sparkSession
-    last = {"batch": -1}
-
-    def step(rows: DataFrame, batch: int) -> None:
-        upsert_version(rows, f"{work}/bars", batch, key, order)
-        last["batch"] = batch
-
-    run_to_end(stream, work, "bars", step)
-    return read_version(spark, f"{work}/bars", last["batch"] + 1)
+    """Stored bars where a later version of a key replaces the earlier one; a batch rewrites the buckets it meets only."""
+    table = f"{work}/bars"
+    run_to_end(stream, work, "bars", lambda rows, batch: tables.merge_buckets(rows, table, batch, key, order))
+    return tables.read_buckets(stream.sparkSession, table, stream.schema)
 
 
 def closed_weeks(stream: DataFrame, work: str) -> DataFrame:
@@ -94,17 +105,9 @@ def closed_weeks(stream: DataFrame, work: str) -> DataFrame:
 def once_only(stream: DataFrame, work: str, key: list[str]) -> DataFrame:
     """Each key once ever, however late or far apart its events come: exactly-once alerts and slots.
 
-    The keys a batch is first to bring are its own part of a ledger; a replayed batch reads the same earlier parts
-    and writes the same keys.
+    A keyed store on disk that never expires knows the keys that were told; a batch looks up its own keys only. The
+    sink counts a batch's files once, so a replayed batch tells nothing twice.
     """
-    spark, shape = stream.sparkSession, stream.select(*key).schema
-
-    def step(rows: DataFrame, batch: int) -> None:
-        fresh = rows.select(*key).distinct()
-        if batch:
-            earlier = spark.read.schema(shape).parquet(*[f"{work}/ledger/{b}" for b in range(batch)])
-            fresh = fresh.join(earlier, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{work}/ledger/{batch}")
-
-    run_to_end(stream, work, "ledger", step)
-    return spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{work}/ledger")
+    keys = stream.select(*key)
+    run_to_end(keys.dropDuplicates(key), work, "keys", out=f"{work}/keys")
+    return stream.sparkSession.read.schema(keys.schema).parquet(f"{work}/keys")
