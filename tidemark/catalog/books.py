@@ -77,3 +77,35 @@ LEFT JOIN (SELECT strftime(date, '%Y-%m') AS month, arg_max(close, date) / (SELE
 def monthly_against_index(spark, sf):
     index = standin.index_bars(standin.bar_table(spark, sf)).withColumnRenamed("close", "value")
     return rounded(performance.months(cut(curve(spark, sf)), index), 3, "value", "index_value")
+
+
+GRID = {"slots": [1, 3], "policies": ["tier", "score", "random"], "seeds": 20}
+
+
+@query("scenario_grid", "J29 W15 E11", with_views("trades", """
+SELECT slots, policy, seed, count(*) AS days, max(n) AS trades, round(arg_max(value, date), 3) AS last, round(min(value / peak - 1) * 100, 6) AS max_fall,
+       round((pow(arg_max(value, date) / arg_min(value, date), 1 / (date_diff('day', min(date), max(date)) / 365.25)) - 1) * 100, 6) AS cagr
+FROM (SELECT *, max(value) OVER (PARTITION BY slots, policy, seed ORDER BY date) AS peak FROM (
+    SELECT slots, policy, seed, n, date, 1000000 * (1 + coalesce(CAST(sum(cents) OVER (PARTITION BY slots, policy, seed ORDER BY date) AS DOUBLE), 0) / 10000::DOUBLE / n) AS value
+    FROM (SELECT slots, policy, seed, n, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
+          FROM (SELECT slots, policy, seed, count(*) AS n, min(entry_date) AS lo, max(o) AS hi FROM taken GROUP BY ALL)) d
+    LEFT JOIN (SELECT slots, policy, seed, o AS date, sum(CAST(round(ret * 100) AS BIGINT)) AS cents FROM taken GROUP BY ALL) p USING (slots, policy, seed, date)
+    WHERE isodow(date) < 6))
+GROUP BY slots, policy, seed""".replace("FROM taken", """FROM (
+    SELECT *, exit_date + CASE isodow(exit_date) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS o FROM (
+        SELECT *, row_number() OVER (PARTITION BY slots, policy, seed, entry_date ORDER BY lead, h, scanner) AS place FROM (
+            SELECT *, row_number() OVER (PARTITION BY slots, policy, seed, entry_date, symbol ORDER BY lead, h, scanner) AS k FROM (
+                SELECT t.*, g.*, md5(seed || '|' || scanner || '|' || symbol || '|' || hit_date) AS h,
+                       CASE policy WHEN 'tier' THEN CASE tier WHEN 'Midcap' THEN 0 WHEN 'Largecap' THEN 1 WHEN 'Smallcap' THEN 2 ELSE 3 END
+                                   WHEN 'score' THEN CASE WHEN symbol % 3 = 0 THEN -((symbol * 7 % 11) / 10.0) ELSE 1e9 END ELSE 0 END AS lead
+                FROM trades t, (SELECT s AS slots, p AS policy, CAST(r AS INTEGER) AS seed FROM (VALUES (1), (3)) a(s), (VALUES ('tier'), ('score'), ('random')) b(p), range(20) c(r)) g))
+        WHERE k = 1) WHERE place <= slots)"""), VIEWS))
+def scenario_grid(spark, sf):
+    """Growth of evenly spread books under 2 x 3 x 20 orders of a day's buys."""
+    by = ["slots", "policy", "seed"]
+    taken = cut(books.scenarios(trades(spark, sf), **GRID).select(*by, "entry_date", "exit_date", "ret"))
+    curves = cut(books.spread_curve(taken, by))
+    sizes = taken.groupBy(*by).agg(F.count(F.lit(1)).alias("trades"))
+    days = curves.groupBy(*by).agg(F.count(F.lit(1)).alias("days"))
+    out = books.growth_stats(curves, by).join(sizes, by).join(days, by).select(*by, "days", "trades", "last", "max_fall", "cagr")
+    return rounded(rounded(out, 3, "last"), 6, "max_fall", "cagr")

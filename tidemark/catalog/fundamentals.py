@@ -185,7 +185,14 @@ def shortlist(spark, sf):
     return fund.shortlist(fund.ranked_universe(companies(spark, sf))).select("code", "verdict")
 
 
-@query("overlay", "J20 J21 S2 S3 S4", """
+@query("clean_ten", "L7", with_views("verdicts", """
+SELECT code, rank FROM (SELECT *, row_number() OVER (ORDER BY CAST(printf('%.1f', score0) AS DOUBLE) DESC NULLS LAST, code) AS rank FROM verdicts)
+WHERE verdict = 'Shortlist' ORDER BY rank LIMIT 10""", views()))
+def clean_ten(spark, sf):
+    return fund.shortlist(fund.ranked_universe(companies(spark, sf)), clean=10, flagged=0).select("code", "rank")
+
+
+@query("overlay", "J20 J21 S3", """
 WITH e AS (SELECT 'P' || (p_partkey % 500) AS code, last(p_name ORDER BY p_partkey) AS name, last(CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE CAST(p_size AS VARCHAR) END ORDER BY p_partkey) AS size FROM part GROUP BY 1
            UNION ALL SELECT 'B' || (p_partkey % 300) AS code, last(p_name ORDER BY p_partkey), last(CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE CAST(p_size AS VARCHAR) END ORDER BY p_partkey) FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
 a AS (SELECT 'P' || (s_suppkey * 9) AS code, s_name AS name, CAST(s_nationkey AS VARCHAR) AS size FROM supplier)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sinks import tables
-from ..sources import files, standin
-from .base import query
+from ..sources import files, scans, standin
+from .base import query, with_views
 
 
 @query("landed_hits", "S1", """
@@ -78,3 +78,47 @@ def json_export(spark, sf):
     rows = standin.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
     tables.export_json(rows, path)
     return spark.read.schema("user_id bigint, n bigint, best double").json(path)
+
+
+@query("newest_export", "S2 S4 S1", """
+SELECT 'P' || p_partkey AS code, p_name AS name, DATE '2024-03-01' AS asof FROM part WHERE p_partkey % 4 <> 0""")
+def newest_export(spark, sf):
+    """Three dated exports with other rows each; the newest one alone is read, with the day in its name."""
+    folder = scratch_path(spark, "dated")
+    rows = standin.table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("Code"), F.col("p_name").alias("Name"), "p_partkey")
+    for day, part in (("2024-03-01", F.col("p_partkey") % 4 != 0), ("2023-12-31", F.lit(True)), ("2024-02-29", F.col("p_partkey") % 2 == 0)):
+        rows.where(part).drop("p_partkey").write.option("header", True).csv(f"{folder}/{day}-export.csv")
+    return files.newest_file_rows(spark, folder).select(F.col("Code").alias("code"), F.col("Name").alias("name"), F.col("__asof").alias("asof"))
+
+
+@query("landed_bars", "S6 F3", with_views("bars", """
+SELECT symbol, date, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS pos, CAST(count(*) OVER (PARTITION BY symbol) AS INTEGER) AS n_bars,
+       round(open, 4) AS open, round(close, 4) AS close
+FROM bars WHERE NOT ((symbol + pos) % 11 = 0 OR (symbol + pos) % 13 = 0 OR (symbol + pos) % 17 = 0 OR (symbol + pos) % 19 = 0)"""))
+def landed_bars(spark, sf):
+    """Bars as a feed lands them: with a time of day, without an open or a close, with a high of zero or a negative low."""
+    path = scratch_path(spark, "feed")
+    at = F.col("symbol") + F.col("pos")
+    landed = standin.bar_table(spark, sf).select(
+        "symbol", (F.col("date").cast("timestamp") + F.expr("INTERVAL 9 HOURS")).alias("date"), F.when(at % 11 != 0, F.col("open")).alias("open"),
+        F.when(at % 13 == 0, 0.0).otherwise(F.col("high")).alias("high"), F.when(at % 17 == 0, -F.col("low")).otherwise(F.col("low")).alias("low"),
+        F.when(at % 19 != 0, F.col("close")).alias("close"), "volume",
+    )
+    landed.write.parquet(path)
+    out = files.bar_table(spark, path)
+    return out.select("symbol", "date", "pos", "n_bars", F.round("open", 4).alias("open"), F.round("close", 4).alias("close"))
+
+
+@query("stock_rows", "F10 S7", """
+SELECT event_id, 'U' || user_id AS symbol FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 OR event_id % 7 = 0""")
+def stock_rows(spark, sf):
+    """Scanned tables whose rows may be a lone notice; rows with fewer than three filled cells go."""
+    k, blank = F.col("event_id"), F.lit("  ")
+    bare = (k % 7 != 0) & ((k % 3 == 0) | (k % 5 == 0))
+    headers = F.array(*[F.lit(h) for h in ("Sr.", "Symbol", "Price", "Note")])
+    cells = F.array(
+        F.when(k % 3 == 0, blank).otherwise(F.lit("1")), F.concat(F.lit("u"), "user_id"),
+        F.when(bare & (k % 5 == 0) | (bare & (k % 3 == 0)), blank).otherwise(F.format_string("%.2f", "value")), F.when(bare, blank).otherwise(F.lit("seen")),
+    )
+    tables_ = standin.table(spark, sf, "events").select("event_id", headers.alias("headers"), cells.alias("cells"))
+    return scans.scan_rows(tables_).select("event_id", "symbol")

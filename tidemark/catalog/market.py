@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.keys import beside
 from ..operators import asof, indicators
 from ..operators import bars as bar_ops
 from ..plans import pulse as pulse_plan
@@ -17,7 +16,7 @@ def rounded(df, digits: int, *columns: str):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query("daily_bars", "F3 S6", with_views("bars", """
+@query("daily_bars", "S5", with_views("bars", """
 SELECT symbol, date, pos, n_bars, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low,
        round(close, 4) AS close, volume FROM bars"""))
 def daily_bars(spark, sf):
@@ -29,10 +28,9 @@ SELECT symbol, date, round(close, 4) AS close FROM bars
 WHERE date >= (SELECT max(date) FROM bars) - INTERVAL 400 DAY"""))
 def bars_since(spark, sf):
     bars = standin.bar_table(spark, sf)
-    newest = standin.table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("newest"))
-    # One row: the newest day.
-    dated = bars.transform(beside, newest)
-    return rounded(bar_ops.since(dated, F.date_sub("newest", 400), ["close"]), 4, "close")
+    # One day, known before the bars are read, so that the bound reaches their scan.
+    newest = standin.table(spark, sf, "lineitem").agg(F.date_sub(F.to_date(F.max("l_shipdate")), 400).alias("start")).first()
+    return rounded(bar_ops.since(bars, F.lit(newest["start"]), ["close"]), 4, "close")
 
 
 @query("weekly_bars", "A14 D3", with_views("weeks", """
@@ -179,7 +177,19 @@ def fear_bands(spark, sf):
     return levels.withColumn("mood", pulse_plan.mood(F.col("level")))
 
 
-@query("breadth", "A17 F23 D7", with_views("bars", """
+@query("breadth_listed", "F23 A17", with_views("bars", """
+SELECT count(*) FILTER (WHERE close > a50) AS above, count(*) AS total,
+       CAST(round(100.0 * count(*) FILTER (WHERE close > a50) / count(*)) AS BIGINT) AS pct
+FROM (SELECT *, avg(close) OVER (PARTITION BY symbol ORDER BY pos ROWS 49 PRECEDING) AS a50, count(*) OVER (PARTITION BY symbol) AS n FROM
+        (SELECT * FROM bars WHERE symbol % 4 <> 0 AND date >= (SELECT max(date) FROM bars WHERE symbol % 4 <> 0) - INTERVAL 710 DAY))
+WHERE pos = n_bars - 1 AND n >= 50 AND date >= (SELECT max(date) FROM bars) - INTERVAL 30 DAY"""))
+def breadth_listed(spark, sf):
+    """Breadth beside indexes: every fourth symbol is an index, named with a leading caret."""
+    named = F.concat(F.when(F.col("symbol") % 4 == 0, "^").otherwise(""), F.col("symbol").cast("string"))
+    return pulse_plan.breadth(standin.bar_table(spark, sf).withColumn("symbol", named), fresh_days=30, history_days=710)
+
+
+@query("breadth", "A17 D7", with_views("bars", """
 SELECT count(*) FILTER (WHERE close > a50) AS above, count(*) AS total,
        CAST(round(100.0 * count(*) FILTER (WHERE close > a50) / count(*)) AS BIGINT) AS pct
 FROM (SELECT *, avg(close) OVER (PARTITION BY symbol ORDER BY pos ROWS 49 PRECEDING) AS a50, count(*) OVER (PARTITION BY symbol) AS n FROM

@@ -128,7 +128,7 @@ def recent_breakouts(spark, sf):
     ).orderBy(F.desc("detected_at"), "scanner", "symbol")
 
 
-@query("payload_cells", "S8 S7 C1 R2 R3 F11 F10 C5 C6", """
+@query("payload_cells", "S8 S7 C1 R2 R3 F11 C5 C6", """
 SELECT event_id, symbol, price, k, filled, filled >= 3 AS is_stock, row_text
 FROM (SELECT event_id, 'U' || user_id AS symbol, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
              3 + CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS filled,

@@ -27,6 +27,27 @@ def day_first(trades: DataFrame, orders: tuple[str, ...] = ("tier", "score"), sl
     return per_symbol.withColumn("place", nth).where(F.col("place") <= slots).drop("ord")
 
 
+def scenarios(trades: DataFrame, slots: list[int], policies: list[str], seeds: int) -> DataFrame:
+    """The first buys of each day under every scenario of a grid: (slots, policy, seed) beside the trade, and `place`.
+
+    `tier` takes tiers in order and shuffles within them, `score` the best score first (unscored trades last, shuffled),
+    `random` shuffles all. A shuffle is the order of a seeded hash of the trade's name, so reruns agree. One buy per
+    symbol and day; both limits cut a scenario's rows before they are shuffled. The grid is a few dozen rows.
+    """
+    grid = F.explode(F.array(*[F.struct(F.lit(n).alias("slots"), F.lit(p).alias("policy"), F.lit(s).alias("seed")) for n in slots for p in policies for s in range(seeds)]))
+    each = trades.select("*", grid.alias("g")).select(*trades.columns, "g.*")
+    name = F.concat_ws("|", F.col("seed").cast("string"), F.col("scanner"), F.col("symbol").cast("string"), F.col("hit_date").cast("string"))
+    lead = F.when(F.col("policy") == "tier", tier_priority(F.col("tier")).cast("double")).when(
+        F.col("policy") == "score", F.coalesce(-F.col("score"), F.lit(float("inf")))
+    ).otherwise(F.lit(0.0))
+    each = each.withColumn("ord", F.struct(lead.alias("lead"), F.md5(name).alias("h"), "scanner"))
+    scenario = ["slots", "policy", "seed", "entry_date"]
+    per_symbol = pick_per_key(each, [*scenario, "symbol"], [F.col("ord")])
+    nth = F.row_number().over(W.partitionBy(*scenario).orderBy("ord"))
+    # A literal limit lets Spark cut rows ahead of the shuffle; the scenario's own is a smaller one.
+    return per_symbol.withColumn("place", nth).where(F.col("place") <= max(slots)).where(F.col("place") <= F.col("slots")).drop("ord")
+
+
 def next_workday(day: Column) -> Column:
     """The day itself, or the Monday after a weekend."""
     weekday = dates.weekday(day)

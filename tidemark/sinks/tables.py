@@ -17,6 +17,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers that the folders of a path carry, `7` or `version=7`, in order; none where the path is not there."""
+    if not exists(spark, path):
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName().split("=")[-1] for f in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop) if f.isDirectory()]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of one's own, if it is there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -99,11 +108,7 @@ def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 def _manifests(spark: SparkSession, path: str) -> list[int]:
     """Versions of a bucketed table, oldest first."""
-    if not exists(spark, f"{path}/manifest"):
-        return []
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
-    return sorted(int(n) for n in names if exists(spark, f"{path}/manifest/{n}/_SUCCESS"))
+    return [v for v in subfolders(spark, f"{path}/manifest") if exists(spark, f"{path}/manifest/{v}/_SUCCESS")]
 
 
 def bucket_folders(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:

@@ -56,18 +56,29 @@ def hit_exports(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def newest_file_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the lexicographically last CSV in a folder, with `__file`, `__asof` and arrival place `__row`.
+def newest_entry(spark: SparkSession, folder: str, ending: str = ".csv") -> str | None:
+    """The lexicographically last file or folder of exports with an ending; only the listing is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+    return max((n for n in names if n.endswith(ending)), default=None)
 
-    The file is found from the listing alone; older files are not opened.
+
+def newest_file_rows(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Rows of the last CSV export of a folder, with `__file`, `__asof` and arrival place `__row`; None without any.
+
+    An export is a file, or a folder of part files as Spark writes it. Older exports are not opened.
     """
-    listed = spark.read.format("binaryFile").load(f"{folder}/*.csv")
-    newest = listed.agg(F.max("path")).first()[0]
-    rows = spark.read.option("header", True).csv(newest).withColumns(
+    newest = newest_entry(spark, folder)
+    if newest is None:
+        return None
+    rows = spark.read.option("header", True).csv(f"{folder}/{newest}").withColumns(
         {
-            "__file": F.col("_metadata.file_name"),
-            "__asof": asof_of(F.col("_metadata.file_name"), F.col("_metadata.file_modification_time")),
-            "__row": F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")),
+            "__file": F.lit(newest),
+            "__asof": asof_of(F.lit(newest), F.col("_metadata.file_modification_time")),
+            "__row": F.struct(
+                F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")
+            ),
         }
     )
     return _without_bom(rows)

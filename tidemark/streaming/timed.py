@@ -19,7 +19,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 from ..operators import membership
 from ..operators.keys import earliest_values
 from ..session import cut
-from ..sinks.tables import exists, remove
+from ..sinks.tables import exists, remove, subfolders
 from .jobs import run_to_end
 
 MONDAY = "4 days"  # from the epoch's Thursday to the first Monday
@@ -31,11 +31,7 @@ def _before(clock, delay: str) -> Column:
 
 def batches(spark: SparkSession, folder: str, before: int | None = None) -> list[int]:
     """Numbers of the batches that have a folder, those of `before` and later left out."""
-    if not exists(spark, folder):
-        return []
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return sorted(n for n in (int(f.getPath().getName()) for f in found) if before is None or n < before)
+    return [n for n in subfolders(spark, folder) if before is None or n < before]
 
 
 def carried(spark: SparkSession, folder: str, batch: int, shape: StructType) -> DataFrame:
