@@ -1,9 +1,9 @@
 """What happened after a signal: entry touch, first barrier, holding returns.
 
 Sessions are `pos` arithmetic. Everything an outcome needs from later bars is put on
-the bar row by ordered windows, so a signal reads it with one equality join. Only the
-stop search walks a path: positions are cut into chunks, which keeps an equality key
-and at most (chunk + path) rows per entry, and only rows that hit the stop come out.
+the bar row by ordered windows, so a signal reads it with one equality join. The stop
+search goes down a tree of minima: one row per level and entry, however long the path.
+A bar opens at or above its low, so an open under the stop is a low under it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from ..functions.numbers import net_return, round_scaled, with_rounded
 from ..functions.rules import RuleBook
 from .bars import by_pos, by_pos_back
 from .indicators import exit_line
+from . import rangemin
 from .rolling import Extreme, sliding_extremes
 from .signals import KEY, locate
 
@@ -106,28 +107,13 @@ def barrier_exit(touched: DataFrame, bars: DataFrame, rules: RuleBook) -> DataFr
             F.least(F.col("below.pos"), F.col("entry_pos") + F.col("max_hold"), F.col("n_bars") - 1),
         )
     )
-    pieces = entries.select(
-        *KEY, "entry_pos", "stop", "__until",
-        F.explode(
-            F.sequence(F.floor(F.col("entry_pos") / CHUNK), F.floor(F.col("__until") / CHUNK))
-        ).alias("__chunk"),
-    )
-    lows = bars.select("symbol", F.floor(F.col("pos") / CHUNK).alias("__chunk"), "pos", "open", "low", "date")
-    opens_below = (F.col("pos") > F.col("entry_pos")) & (F.col("open") <= F.col("stop"))
-    hit = F.col("pos").between(F.col("entry_pos"), F.col("__until")) & ((F.col("low") <= F.col("stop")) | opens_below)
-    stops = (
-        pieces.join(lows, ["symbol", "__chunk"])
-        .where(hit)
-        .groupBy(*KEY)
-        .agg(
-            F.min(
-                F.struct(
-                    F.col("pos"), F.col("date"), F.when(opens_below, F.col("open")).otherwise(F.col("stop")).alias("px")
-                )
-            ).alias("stopped")
-        )
-    )
-    out = entries.join(stops, KEY, "left")
+    # One number: the sessions of the longest history.
+    longest = bars.agg(F.max("n_bars")).first()[0] or 1
+    found = rangemin.first_under(entries, bars, "low", ["open", "date"], "entry_pos", "__until", "stop", longest, "__hit")
+    opens_below = (F.col("__hit.pos") > F.col("entry_pos")) & (F.col("__hit.open") <= F.col("stop"))
+    px = F.when(opens_below, F.col("__hit.open")).otherwise(F.col("stop"))
+    stopped = F.struct(F.col("__hit.pos").alias("pos"), F.col("__hit.date").alias("date"), px.alias("px"))
+    out = found.withColumn("stopped", F.when(F.col("__hit").isNotNull(), stopped)).drop("__hit")
     limit = F.col("entry_pos") + F.col("max_hold")
     fell = F.col("below.pos").isNotNull() & (F.col("below.pos") <= limit)
     cap = _cap_bar(rules, F.col("max_hold"))
