@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
+from ..session import BY_SYMBOL, configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Q
 
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(configure(spark, BY_SYMBOL), sf_dir)
 
         QUERIES[name] = run
         COVERS[name] = covers.split()

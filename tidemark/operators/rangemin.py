@@ -3,7 +3,8 @@
 A leaf row holds `FAN` sessions of a symbol, a row of level k the minima of `FAN` rows of level k - 1. A search looks at
 its own leaf row and the rows above it, which a leaf carries along, and finds the lowest node to the right that holds a
 hit; then it goes down, one equality join per level. A search so meets one row per level, however long its path is, and
-a symbol's history is never gathered: every row has at most `FAN` values per level.
+a symbol's history is never gathered: every row has at most `FAN` values per level. All joins hold the symbol, so where
+bars are bucketed by symbol only searches are shuffled, and once.
 """
 
 from __future__ import annotations

@@ -13,12 +13,17 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
+# Tables laid out by symbol: joins on (symbol, day) use that layout as it is. A symbol's rows are bounded by the calendar.
+BY_SYMBOL = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def configure(spark: SparkSession, more: dict[str, str] | None = None) -> SparkSession:
     """Apply the runtime settings every query relies on."""
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (more or {})).items():
         spark.conf.set(key, value)
     return spark
 
