@@ -8,7 +8,7 @@ from ..functions.numbers import currency_to_number
 from ..operators import keys
 from ..plans import fundamentals as fund
 from ..sources import standin
-from ..sources.files import rows_by_code, statement_values
+from ..sources.files import rows_by_code, statement_fields
 from .base import query, with_views
 from .market import rounded
 
@@ -249,10 +249,7 @@ def ratio_derive(spark, sf):
         "debt": ["Total Debt"], "receivables": ["Accounts Receivable", "Receivables"],
         "cash_flow": ["Operating Cash Flow", "Cash Flow From Continuing Operating Activities"],
     }
-    wide = long.select("symbol").distinct()
-    for name, labels in wanted.items():
-        wide = wide.join(statement_values(long, labels).withColumnRenamed("values", name), "symbol", "left")
-    shaped = wide.withColumnRenamed("symbol", "code").withColumns(
+    shaped = statement_fields(long, wanted).withColumnRenamed("symbol", "code").withColumns(
         {"quarterly_income": F.col("net_income"), "op_margin": F.lit(None).cast("double")}
     )
     return fund.statement_ratios(shaped)

@@ -17,6 +17,7 @@ from ..session import scratch_path
 from ..sources import standin
 from ..streaming import jobs
 from .base import query, with_views
+from .snapshots import NESTED
 
 LANDINGS = 6
 
@@ -48,7 +49,16 @@ def stream_new_members(spark, sf):
     return over_landings(spark, sf, "diff", lambda stream, work: jobs.membership_diff(stream, to_members, work))
 
 
-@query("settled_entries", "T3 J27")
+@query("settled_entries", "T3 J27", with_views("walk folded", """
+SELECT e.scanner, e.symbol, e.run, kind
+FROM (SELECT m.scanner, m.symbol, m.run, CASE WHEN last IS NULL THEN 'fresh' ELSE 'retest' END AS kind
+      FROM (SELECT *, lag(run) OVER (PARTITION BY scanner, symbol ORDER BY run) AS last FROM folded) m
+      JOIN (SELECT scanner, run, lag(run) OVER (PARTITION BY scanner ORDER BY run) AS prev FROM sets) r ON r.scanner = m.scanner AND r.run = m.run
+      WHERE prev IS NOT NULL AND (last IS NULL OR last < prev)) e
+WHERE (SELECT max(run) FROM folded) - e.run >= 1 AND NOT EXISTS (
+    SELECT 1 FROM walk w JOIN folded b ON b.scanner = w.scanner AND b.run = w.base_run
+    WHERE w.half AND w.scanner = e.scanner AND w.next_run = e.run AND b.symbol = e.symbol
+          AND NOT EXISTS (SELECT 1 FROM folded f WHERE f.scanner = w.scanner AND f.run = w.run AND f.symbol = b.symbol))""", NESTED))
 def settled_entries(spark, sf):
     return jobs.settled_entries(standin.members(spark, sf, symbols=8), 6.0).select("scanner", "symbol", "run", "kind")
 

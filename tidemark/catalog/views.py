@@ -331,6 +331,26 @@ def event_dates_by_source(spark, sf):
     return view_plan.first_event_dates(wanted, [listed, told, other], day("1998-01-05"), day("1998-01-12"))
 
 
+@query("event_dates_by_code", "J19 S9", """
+WITH cal AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'S' || o_custkey END AS short_name,
+                    CASE o_orderkey % 3 WHEN 1 THEN 'S' || o_custkey WHEN 2 THEN 'B' || o_custkey END AS code, CAST(o_orderdate AS DATE) AS d FROM orders),
+syms AS (SELECT 'S' || c_custkey AS symbol, CASE WHEN c_custkey % 2 = 0 THEN 'B' || c_custkey END AS mapped FROM customer)
+SELECT symbol, arg_min(d, ROW(prio, d)) AS day, arg_min(what, ROW(prio, d)) AS what FROM (
+    SELECT symbol, d, 'name' AS what, 0 AS prio FROM syms JOIN cal ON short_name = symbol
+    UNION ALL SELECT symbol, d, 'code', 1 FROM syms JOIN cal ON code = symbol
+    UNION ALL SELECT symbol, d, 'mapped code', 2 FROM syms JOIN cal ON code = mapped)
+WHERE d BETWEEN DATE '1998-01-05' AND DATE '1998-02-20' GROUP BY symbol""")
+def event_dates_by_code(spark, sf):
+    """A calendar that names companies by short name, by own code or by another exchange's code."""
+    k, own = F.col("o_orderkey") % 3, F.concat(F.lit("S"), "o_custkey")
+    calendar = standin.table(spark, sf, "orders").select(
+        F.when(k == 0, own).alias("short_name"), F.when(k == 1, own).when(k == 2, F.concat(F.lit("B"), "o_custkey")).alias("code"), F.to_date("o_orderdate").alias("day")
+    )
+    customers = standin.table(spark, sf, "customer")
+    symbols = customers.select(F.concat(F.lit("S"), "c_custkey").alias("symbol"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("B"), "c_custkey")).alias("mapped"))
+    return view_plan.first_event_dates(symbols, view_plan.calendar_sources(symbols, calendar), day("1998-01-05"), day("1998-02-20"))
+
+
 @query("quality_checks", "A27 J22 D7", with_views("states members", f"""
 SELECT * FROM (
 WITH c AS (

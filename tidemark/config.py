@@ -122,6 +122,28 @@ NUMBER_FIELDS = {
 }
 
 MIN_CHECKED = 7
+
+# The screen's rules as (label, what must be known, what must hold), and flags as (text, condition).
+SCREEN_RULES = [
+    ("Near 52w high", "price <> 0 AND high <> 0", "price / high * 100 > 80"),
+    ("Market cap", "mcap IS NOT NULL", "mcap > 100 AND mcap < 5000"),
+    ("ROCE", "roce IS NOT NULL", "roce > 15"),
+    ("OPM", "opm IS NOT NULL", "opm > 5"),
+    ("Debt/equity", "de IS NOT NULL", "de < 1.1"),
+    ("Pledge", "pledge IS NOT NULL", "pledge = 0"),
+    ("Promoter", "promoter IS NOT NULL", "promoter > 55"),
+    ("Profit growth", "profit1y IS NOT NULL OR profit_q IS NOT NULL", "coalesce(profit1y > 40, false) OR coalesce(profit_q > 100, false)"),
+    ("Debtor days", "debtor_days IS NOT NULL", "debtor_days < 150"),
+    ("P/E", "pe IS NOT NULL", "pe > 0 AND pe < 20"),
+]
+RED_FLAGS = [
+    ("weak cash conversion", "cfo_pat < 0.5"),
+    ("negative CFO", "cfo < 0"),
+    ("high debtor days", "debtor_days > 120"),
+    ("debtor days rising", "debtor_days_ch > 20"),
+    ("debt jumped", "debt > 0 AND debt_change > debt * 0.5"),
+    ("one-off profit spike?", "profit1y > 500"),
+]
 UNCLASSIFIED = "Unclassified"
 
 # Month names, of which the first three letters count too, and words that may stand inside a date.

@@ -41,32 +41,14 @@ def bank_adjusted(rows: DataFrame, for_score: bool = False) -> DataFrame:
     return rows.withColumns(out | {"bank": bank})
 
 
-def screen_rules() -> list[tuple[str, Column, Column]]:
-    """The ten rules as (label, whether it could be checked, whether it passes)."""
-    def one(label: str, value: Column, test: Column) -> tuple[str, Column, Column]:
-        return label, value.isNotNull(), test
+def screen_rules(rules: list[tuple[str, str, str]] = config.SCREEN_RULES) -> list[tuple[str, Column, Column]]:
+    """Rules as (label, whether it could be checked, whether it passes), from rows of text."""
+    return [(label, F.coalesce(F.expr(known), F.lit(False)), F.expr(test)) for label, known, test in rules]
 
-    c = F.col
-    near = c("price") / F.nullif("high", F.lit(0.0)) * 100
-    near = F.when(c("price") != 0, near)
-    rise = F.coalesce(c("profit1y") > 40, F.lit(False)) | F.coalesce(c("profit_q") > 100, F.lit(False))
-    return [
-        one("Near 52w high", near, near > 80),
-        one("Market cap", c("mcap"), (c("mcap") > 100) & (c("mcap") < 5000)),
-        one("ROCE", c("roce"), c("roce") > 15),
-        one("OPM", c("opm"), c("opm") > 5),
-        one("Debt/equity", c("de"), c("de") < 1.1),
-        one("Pledge", c("pledge"), c("pledge") == 0),
-        one("Promoter", c("promoter"), c("promoter") > 55),
-        ("Profit growth", c("profit1y").isNotNull() | c("profit_q").isNotNull(), rise),
-        one("Debtor days", c("debtor_days"), c("debtor_days") < 150),
-        one("P/E", c("pe"), (c("pe") > 0) & (c("pe") < 20)),
-    ]
-
-
-def screened(rows: DataFrame) -> DataFrame:
+
+def screened(rows: DataFrame, rules: list[tuple[str, str, str]] = config.SCREEN_RULES) -> DataFrame:
     """Add passed, checked, total, fail_labels, unknown and ok: no fails among at least seven checks."""
-    rules = screen_rules()
+    rules = screen_rules(rules)
     passed = sum((F.when(known & test, 1).otherwise(0) for _, known, test in rules), F.lit(0))
     checked = sum((known.cast("int") for _, known, _ in rules), F.lit(0))
     fails = F.array(*[F.when(known & ~test, F.lit(label)) for label, known, test in rules])
@@ -149,16 +131,7 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def red_flags() -> Column:
-    c = F.col
-    return F.concat_ws(
-        "; ",
-        F.when(c("cfo_pat") < 0.5, "weak cash conversion"),
-        F.when(c("cfo") < 0, "negative CFO"),
-        F.when(c("debtor_days") > 120, "high debtor days"),
-        F.when(c("debtor_days_ch") > 20, "debtor days rising"),
-        F.when((c("debt") > 0) & (c("debt_change") > c("debt") * 0.5), "debt jumped"),
-        F.when(c("profit1y") > 500, "one-off profit spike?"),
-    )
+    return F.concat_ws("; ", *[F.when(F.expr(test), flag) for flag, test in config.RED_FLAGS])
 
 
 def verdict() -> Column:

@@ -210,6 +210,18 @@ def top_movers(momentum: DataFrame, n: int = 3) -> DataFrame:
     return up.unionByName(down)
 
 
+def calendar_sources(symbols: DataFrame, calendar: DataFrame) -> list[DataFrame]:
+    """Calendar days of symbols by short name, by the symbol as code, and by the code that the symbol is mapped to.
+
+    `symbols`: symbol, mapped (may be NULL); `calendar`: short_name, code, day. `what` tells how a day was found.
+    """
+    def found(on: str, by: str, what: str) -> DataFrame:
+        rows = calendar.select(F.col(by).alias(on), "day")
+        return symbols.join(rows, on).select("symbol", "day", F.lit(what).alias("what"))
+
+    return [found("symbol", "short_name", "name"), found("symbol", "code", "code"), found("mapped", "code", "mapped code")]
+
+
 def first_event_dates(symbols: DataFrame, sources: list[DataFrame], start: Column, end: Column) -> DataFrame:
     """Event day per symbol from the first source that has one in the window.
 

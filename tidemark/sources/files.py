@@ -113,17 +113,24 @@ def event_calendar(spark: SparkSession, path: str, one_document: bool = True) ->
     ).where(F.col("meeting_date").isNotNull())
 
 
-def statement_values(statements: DataFrame, labels: list[str]) -> DataFrame:
-    """Per symbol, the values of the first listed label it has, newest first.
+def statement_fields(statements: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """One row per symbol with an array of values per field, newest first, in one pass over the statements.
 
-    `statements`: symbol, label, period_rank (0 = newest), value. A label has a handful of periods.
+    `statements`: symbol, label, period_rank (0 = newest), value; a label has a handful of periods. A line belongs to
+    every field that lists its label; per field the earliest listed label that the symbol has counts.
     """
-    rank = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).cast("int")
-    listed = statements.where(F.col("label").isin(labels)).withColumn("__rank", rank)
-    best = F.min("__rank").over(W.partitionBy("symbol"))
-    chosen = listed.withColumn("__best", best).where(F.col("__rank") == F.col("__best"))
+    roles = {}
+    for field, labels in wanted.items():
+        for i, label in enumerate(labels):
+            roles.setdefault(label, []).append(F.struct(F.lit(field).alias("field"), F.lit(i).alias("rank")))
+    named = F.lit(None).cast("array<struct<field:string,rank:int>>")
+    for label, pairs in roles.items():
+        named = F.when(F.col("label") == label, F.array(*pairs)).otherwise(named)
+    lines = statements.select("symbol", "period_rank", "value", F.explode(named).alias("r")).select("symbol", "period_rank", "value", "r.*")
     ordered = F.array_sort(F.collect_list(F.struct("period_rank", "value")))
-    return chosen.groupBy("symbol").agg(F.transform(ordered, lambda s: s["value"]).alias("values"))
+    series = lines.groupBy("symbol", "field", "rank").agg(F.transform(ordered, lambda s: s["value"]).alias("values"))
+    best = [F.min_by(F.when(F.col("field") == f, F.col("values")), F.when(F.col("field") == f, F.col("rank"))).alias(f) for f in wanted]
+    return statements.select("symbol").distinct().join(series.groupBy("symbol").agg(*best), "symbol", "left")
 
 
 MODEL_SCHEMA = (
