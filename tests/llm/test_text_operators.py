@@ -2,7 +2,9 @@
 
 import heapq
 import random
+import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -48,6 +50,50 @@ def test_broken_and_long_pages():
     assert extract.main_text("<div>" * 3000 + "<article><p>Deep words, but words of an article.</p></article>") != ""
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a \">", '<a ">"', "<a '\"", "<b>", "</b>", "<!x", "<span><p>", "<select>", '<div class="', '<a ">"<'])
+@pytest.mark.parametrize("tail", ["", "'", ">"])
+def test_broken_pages_take_linear_time(unit, tail):
+    def seconds(n: int) -> float:
+        page, start = unit * (n // len(unit)) + tail, time.process_time()
+        extract.main_text(page)
+        return time.process_time() - start
+
+    seconds(1000)
+    # Four times the page in far less than the sixteen times of a quadratic scan; at 400 KB that one took minutes.
+    assert seconds(400_000) < 8 * seconds(100_000) + 2
+
+
+def plain_tags(page):
+    """Tags by trying each `<`: the quoted form first, the first `>` where that one ends nowhere."""
+    quoted = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>")
+    plain = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+    out, at = [], 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            out.append((at, len(page) if end < 0 else end + 3, False, "", ""))
+        elif page[at + 1 : at + 2] in ("!", "?") and page.find(">", at) >= 0:
+            out.append((at, page.find(">", at) + 1, False, "", ""))
+        elif m := quoted.match(page, at) or plain.match(page, at):
+            out.append((at, m.end(), bool(m[1]), m[2].lower(), m[3]))
+        else:
+            at += 1
+            continue
+        at = out[-1][1]
+    return out
+
+
+def test_tags_against_plain_search():
+    rng = random.Random(7)
+    for _ in range(20_000):
+        page = "".join(rng.choice(["<", ">", '"', "'", "a", "/", "!", "-", "--", " ", "<!--", "-->", "<a", "?", "="]) for _ in range(rng.randrange(14)))
+        tags, found, at = extract.Tags(page), [], 0
+        while one := tags.after(at):
+            found.append(one)
+            at = one[1]
+        assert found == plain_tags(page), page
+
+
 ICONS = "<article><p>First words {} more.</p><p>Second paragraph, with words of its own.</p></article>"
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame
 
 from .common import in_small_batches
 
-# A tag, comment or declaration.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*|[^>]*)>",
-    re.S | re.I,
-)
+# Where a comment, declaration or tag may begin.
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOPS = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 # Names that say how a box is laid out rather than what it is.
 _LAYOUT = re.compile(r"\b(?:with|without|has|no|show|hide|is)[-_][\w-]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -71,6 +69,48 @@ REST = 20
 ADJACENT, ACROSS, SHARED, NESTED = 60, 25, 50, 30
 
 
+class Tags:
+    """Comments, declarations and tags of a page in order, in time linear in its length, however broken it is.
+
+    A tag ends at the first `>` outside quotes or, where a quote is never closed, at the first `>` of all. A quote from
+    which no end of a tag was reached is remembered, so no stretch is gone over once per tag. Without a `>` all is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.lost: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Place after the `>` that ends the tag whose name ends at `at`; one exists."""
+        page, tried, here = self.page, [], at
+        while stop := _STOPS.search(page, here):
+            if stop[0] == ">":
+                return stop.end()
+            quote = stop.start()
+            closed = -1 if quote in self.lost else page.find(stop[0], quote + 1)
+            tried.append(quote)
+            if closed < 0:
+                break
+            here = closed + 1
+        self.lost.update(tried)
+        return page.find(">", at) + 1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether an end tag, name in lower case, attributes) of the first at or after `at`; no name: no tag."""
+        while m := _OPENS.search(self.page, at):
+            if m[0] == "<!--":
+                end = self.page.find("-->", m.end())
+                return m.start(), len(self.page) if end < 0 else end + 3, False, "", ""
+            if m.end() > self.last:
+                at = m.end()
+                continue
+            if not m[2]:
+                return m.start(), self.page.find(">", m.end()) + 1, False, "", ""
+            end = self._end(m.end())
+            return m.start(), end, bool(m[1]), m[2].lower(), self.page[m.end() : end - 1]
+        return None
+
+
 class Block:
     __slots__ = ("pieces", "text", "linked", "cost", "parent", "heading")
 
@@ -111,7 +151,9 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     boxes = [Box("", 0, -1, False)]
     # Open elements: tag, container, hidden (2: in an element of UNSHOWN, 3: in svg markup).
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    opened: Counter[str] = Counter()  # how many elements of a kind are open
     ahead: dict[str, int] = {}
+    tags = Tags(page)
     block: Block | None = None
     links = 0
     at = 0
@@ -133,6 +175,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     def pop(n: int) -> None:
         nonlocal block, links
         for tag, *_, hidden in stack[n:]:
+            opened[tag] -= 1
             if tag == "a":
                 links -= 1
             if tag not in INLINE and hidden < 2:
@@ -146,36 +189,40 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             ahead[tag] = end.end() if end else -1
         return ahead[tag]
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    def push(tag: str, container: int, hidden: int) -> None:
+        opened[tag] += 1
+        stack.append((tag, container, hidden))
+
+    while found := tags.after(at):
+        start, end, closing, tag, attributes = found
+        if start > at:
+            text(page[at:start])
+        at = end
         if not tag:
             continue
         # In svg markup no text is raw.
-        if tag in RAW and not m[1] and stack[-1][2] < 3:
+        if tag in RAW and not closing and stack[-1][2] < 3:
             at = ends_at(tag)
             if at < 0:
                 at = len(page)
             continue
-        if not m[1] and stack[-1][2] > 1 and (tag == "select" or tag in BREAKS_OUT):
+        if not closing and stack[-1][2] > 1 and (tag == "select" or tag in BREAKS_OUT):
             # What is still open of svg markup and of a select ends here.
             n = len(stack)
             while stack[n - 1][2] == 3:
                 n -= 1
             pop(next((i for i in range(1, n) if stack[i][0] == "select" and stack[i][2] > 1), n))
-        if not m[1] and stack[-1][2] > 1:
+        if not closing and stack[-1][2] > 1:
             state = 3 if tag == "svg" else 2 if tag == "foreignobject" else stack[-1][2]
-            if tag not in VOID and not (m[3].endswith("/") and 3 in (state, stack[-1][2])):
+            if tag not in VOID and not (attributes.endswith("/") and 3 in (state, stack[-1][2])):
                 links += tag == "a"
-                stack.append((tag, stack[-1][1], state))
+                push(tag, stack[-1][1], state)
             continue
-        if m[1]:
-            if tag == "br" or tag == "p" and not any(s[0] == "p" for s in stack):
+        if closing:
+            if tag == "br" or tag == "p" and not opened["p"]:
                 block = None if tag == "p" else block
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -188,14 +235,14 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         if tag in UNSHOWN:
             # One that is never closed says nothing about what follows it, but svg and select end by other tags.
-            if not (tag == "svg" and m[3].endswith("/")) and (tag in ("svg", "select") or ends_at(tag) >= 0):
-                stack.append((tag, stack[-1][1], 3 if tag == "svg" else 2))
+            if not (tag == "svg" and attributes.endswith("/")) and (tag in ("svg", "select") or ends_at(tag) >= 0):
+                push(tag, stack[-1][1], 3 if tag == "svg" else 2)
             continue
         if tag not in INLINE:
             block = None
             # An open paragraph ends where a block-level element begins; list items and cells end at their like.
             ends = CLOSED_BY_SELF.get(tag, set()) | {"p"}
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if any(opened[e] for e in ends) else 0, 0, -1):
                 if stack[i][0] in ends:
                     pop(i)
                     break
@@ -207,16 +254,16 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         _, container, hidden = stack[-1]
         if tag not in INLINE:
-            names = _named(m[3]) if m[3] else 0
+            names = _named(attributes) if attributes else 0
             if names is None:
                 hidden = True
-            boxes.append(Box(tag, names or 0, container, any(s[0] == "form" for s in stack) if tag in ("article", "main") else False))
+            boxes.append(Box(tag, names or 0, container, opened["form"] > 0 and tag in ("article", "main")))
             container = len(boxes) - 1
-        elif m[3] and _named(m[3]) is None:
+        elif attributes and _named(attributes) is None:
             hidden = True
         if tag == "a":
             links += 1
-        stack.append((tag, container, hidden))
+        push(tag, container, hidden)
     if at < len(page):
         text(page[at:])
     for b in out:
