@@ -149,6 +149,30 @@ def test_pages_frame(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_without_marks_keep_their_sentences():
+    said = [f"The council met on Monday {i} and spoke of the bridge." for i in range(3)]
+    lines = "".join(f"<p>{x}</p><p><a href=x>Photo {i}</a></p>" for i, x in enumerate(said))
+    for page in (f"<div>{lines}</div>", f'<nav><a href="/">Home</a></nav><div>{lines}</div><footer>About us.</footer>'):
+        assert [x for x in extract.main_text(page).split("\n") if not x.startswith("Photo")] == said
+    recipe = "<h1>Recipe</h1><ul><li>two eggs</li><li>some flour</li><li>salt</li></ul><p>Mix all and bake for an hour.</p>"
+    want = ["Recipe", "two eggs", "some flour", "salt", "Mix all and bake for an hour."]
+    assert extract.main_text(recipe).split("\n") == want
+    assert extract.main_text('<nav><a href="/">Home</a><a href="/b">News</a></nav>' + recipe + "<footer>© 2020 Site</footer>").split("\n") == want
+    assert extract.main_text("<p>Gone</p>") == "Gone"
+    assert extract.main_text("<nav>Menu</nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><footer>© 2020</footer>") == ""
+
+
+@pytest.mark.parametrize("name", ["kommentare", "leser-kommentare", "commentaires", "comentarios", "user-comments", "publicité", "Werbung"])
+def test_parts_named_in_the_four_languages(name):
+    page = f"<article><p>{SENTENCE}</p></article><div class='{name}'><p>{SENTENCE[::-1]}.</p></div>"
+    assert extract.main_text(page) == SENTENCE
+
+
+def test_a_link_line_of_an_article_stays():
+    page = f"<article><p>{SENTENCE}</p><p><a href=x>The whole report</a></p><p>{SENTENCE}</p></article>"
+    assert extract.main_text(page).split("\n") == [SENTENCE, "The whole report", SENTENCE]
+
+
 def cut_cost(terminal, edges, side):
     return sum(-t if s and t < 0 else t if not s and t > 0 else 0 for t, s in zip(terminal, side)) + sum(c for (a, b), c in edges.items() if side[a] != side[b])
 

@@ -58,9 +58,13 @@ NAMES = {
         -600: "nav navbar navigation menu footer sidebar aside ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo "
         "promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login comment comments "
         "commentlist disqus reply replies respond discussion share sharing social breadcrumb breadcrumbs pagination pager toolbar search "
-        "related recommend recommended recommendations copyright disclaimer widget skip paywall complementary contentinfo",
-        -350: "header masthead topbar top bottom tags taglist byline legal links rail outbrain taboola",
-        250: "article articlebody content main post entry story body text",
+        "related recommend recommended recommendations copyright disclaimer widget skip paywall complementary contentinfo "
+        "kommentar kommentare leserkommentare werbung anzeige anzeigen seitenleiste fusszeile fußzeile hinweis teilen anmelden suche verwandte datenschutz "
+        "commentaire commentaires publicité publicite annonce annonces bandeau pied partager partage recherche abonnement connexion "
+        "comentario comentarios publicidad anuncio anuncios aviso compartir buscar búsqueda busqueda suscripción suscripcion relacionados relacionadas",
+        -350: "header masthead topbar top bottom tags taglist byline legal links rail outbrain taboola "
+        "kopfzeile cabecera encabezado",
+        250: "article articlebody content main post entry story body text artikel inhalt beitrag contenu contenido articulo artículo",
     }.items()
     for w in words.split()
 }
@@ -114,6 +118,11 @@ class Tags:
 class Block:
     __slots__ = ("pieces", "text", "linked", "cost", "parent", "heading")
 
+    @property
+    def share(self) -> float:
+        """Share of the letters that stand in links."""
+        return min(1.0, self.linked / len(self.text))
+
     def __init__(self, parent: int, heading: bool):
         self.pieces: list[str] = []
         self.text = ""
@@ -320,14 +329,13 @@ def weigh(found: list[Block], boxes: list[Box]) -> None:
                 marked = marked or b.cost > 0
 
 
-def score(b: Block) -> int:
-    """What speaks for content less what speaks against it, in hundredths."""
+def score(b: Block, brief: int = 30) -> int:
+    """What speaks for content less what speaks against it, in hundredths; `brief` is held against a line for being one."""
     n = len(b.text)
-    share = b.linked / n
-    value = b.cost - int(400 * share)
+    value = b.cost - int(400 * b.share)
     ends = b.text[-1] in ".!?:;\"'”»…。)"
-    value += min(n, 200) // 2 - (0 if b.heading else 30)
-    value += 60 if ends else -40 if not b.heading else 0
+    value += min(n, 200) // 2 - (0 if b.heading else brief)
+    value += 60 if ends else -40 if brief and not b.heading else 0
     if n < 60 and re.search(r"(?i)©|\bcopyright\b|\ball rights reserved\b", b.text):
         value -= 300
     return value
@@ -399,16 +407,22 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     n = len(found)
-    terminal = [score(b) for b in found] + [0] * len(parents)
     edges: dict[tuple[int, int], int] = {}
     for i, b in enumerate(found):
-        edges[i, n + b.parent] = SHARED
+        # Links and prose are unlike: outside of what is marked as content, the less alike blocks are, the looser they are tied.
+        edges[i, n + b.parent] = SHARED if b.cost > 0 else int(SHARED * (1 - b.share))
         if i:
-            edges[i - 1, i] = ADJACENT if found[i - 1].parent == b.parent or found[i - 1].cost == b.cost else ACROSS
+            near = found[i - 1]
+            most = ADJACENT if near.parent == b.parent or near.cost == b.cost else ACROSS
+            edges[i - 1, i] = most if b.cost > 0 else int(most * (1 - abs(near.share - b.share)))
     for c, p in enumerate(parents):
         if p >= 0:
             edges[n + p, n + c] = NESTED
-    content = minimum_cut(terminal, edges)
+    # On a page of short lines alone nothing may be content; its lines are then judged without being held short.
+    for brief in (30, 0):
+        content = minimum_cut([score(b, brief) for b in found] + [0] * len(parents), edges)[:n]
+        if any(content):
+            break
     return "\n".join(b.text for b, c in zip(found, content) if c)
 
 
