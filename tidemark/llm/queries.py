@@ -121,14 +121,14 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHECKS["op5_neighbours"] = """
-    WITH v AS (
-        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
               AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-    s AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
-          FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e))
+    s AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+          FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.r <> q.r AND len(q.e) = len(v.e))
     SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
-    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+    WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
 
 
 @query
