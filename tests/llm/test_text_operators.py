@@ -355,8 +355,9 @@ def test_cross_parsing_counts_phrases():
     make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     samples = (("one", make("abc ", 300)), ("two", make("abcdé", 200)))
     texts = [make("abcdéz ", n) for n in (0, 1, 5, 511, 512, 513, 1500)]
-    got = language.phrases(texts, samples)
+    got, lacking = language.phrases(texts, samples)
     assert got.tolist() == [[phrases_loop(t, s) for _, s in samples] for t in texts]
+    assert lacking.tolist() == [[sum(c not in s for c in t) for _, s in samples] for t in texts]
 
 
 def test_suffix_automaton_accepts_substrings_only():
@@ -393,6 +394,38 @@ def test_language(spark):
     assert {(r.lang_pred, r.score) for r in language.predict(frame, ()).collect()} == {("und", 0.0)}
 
 
+def test_samples_of_unlike_size(spark):
+    """With English cut to 600 letters, held-out English texts stay right; by raw counts of phrases a part of them is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    samples = tuple((k, v[:600] if k == "en" else v) for k, v in language.fit(docs, ~language.held_out()))
+    held = docs.where(language.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").collect()
+    texts = [(language.letters(r.text), r.lang) for r in held]
+    texts = [x for x in texts if x[0]]
+    count, lacking = language.phrases([t for t, _ in texts], samples)
+    english = np.array([lang == "en" for _, lang in texts])
+    right = lambda c: np.array([samples[i][0] == lang for i, (_, lang) in zip(c.argmin(axis=1), texts)])
+    raw, normalised = right(count), right(language.normalised(count, lacking, samples))
+    assert normalised.mean() > 0.98 and normalised[english].mean() > max(0.95, raw[english].mean())
+
+
+def test_many_letters_and_many_languages(spark):
+    rng = random.Random(13)
+    # Three scripts of 1,500 letters each that share none, and a table for each that stays within its cells.
+    script = lambda k: [chr(0x4E00 + 1500 * k + i) for i in range(1500)]
+    rows = [(i, "".join(rng.choice(script(i % 3)) for _ in range(400)), f"han{i % 3}") for i in range(120)]
+    # Far more languages than the former bound of 200, each with two words of its own.
+    rows += [(1000 + i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 2}{chr(97 + i // 26) * 4} " * 5, f"x{i:03d}") for i in range(300) for _ in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.fit(frame, F.lit(True))
+    assert len(samples) == 303
+    table, _, column, _ = language._tables(samples)
+    assert table.size <= 1 << 26 and column.shape[0] == 303
+    han = [r for r in rows if r[2].startswith("han")]
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame, samples).collect()}
+    assert all(got[i] == lang for i, _, lang in han)
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.98 * len(rows)
+
+
 def quality_rows(spark):
     rng = random.Random(11)
     rows, labels = [], []
