@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.catalog.outcomes import RULES, closed
-from tidemark.operators import rangemin
+from tidemark.operators import ordering, rangemin
+from tidemark.plans import ranker
 from tidemark.session import SETTINGS
 from tidemark.sources import standin
 
@@ -31,3 +33,23 @@ def test_closed_trades_gather_no_bars(spark):
 
 def test_no_method_stays_interpreted():
     assert int(SETTINGS["spark.sql.codegen.hugeMethodLimit"]) <= 8000
+
+
+def test_imputation_unrolls_no_values(spark):
+    rng = random.Random(5)
+    rows = [(k % 2, rng.choice([None, 1.5, rng.gauss(0, 1)]), rng.gauss(5, 1) if k % 2 else None, float(k)) for k in range(5001)]
+    frame = spark.createDataFrame(rows, "fold int, a double, `b c` double, d double").repartition(5)
+    got = {(r.fold, r.feature): r.median for r in ranker.imputation(frame, ["a", "b c", "d"], "fold").collect()}
+    for fold in (0, 1):
+        for i, name in enumerate(["a", "b c", "d"], 1):
+            known = [r[i] for r in rows if r[0] == fold and r[i] is not None]
+            assert got[fold, name] == (np.median(known) if known else 0.0)
+    # What is ranked is the part between the edges, not a row per value.
+    ranked = []
+    real = ordering.cumulative
+    ordering.cumulative = lambda counted, *args: ranked.append(counted.count()) or real(counted, *args)
+    try:
+        assert ordering.medians(frame, "fold", {"d": F.col("d")}).count() == 2
+    finally:
+        ordering.cumulative = real
+    assert ranked[0] < 300
