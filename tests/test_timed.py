@@ -105,6 +105,19 @@ def test_resting_orders(spark, tmp_path):
     }
 
 
+def test_resting_orders_meet_bars_of_their_own_weeks_only(spark, tmp_path):
+    order, bar = "id long, symbol long, placed_at timestamp, trigger double, deadline date", "symbol long, bar_at timestamp, open double, high double"
+    # 6 to 7 days lie between an order and its bar, over and inside the ends of stretches of 7 days; the last bar comes too late.
+    orders = [(d, 1, at(d * 24 + 18), 10.0, at((d + 7) * 24).date()) for d in (0, 6, 13, 20)]
+    bars = [(1, at(d * 24 + h), 9.0, 11.0) for d, h in ((7, 12), (13, 18), (20, 17), (27, 19))]
+    work = str(tmp_path / "work")
+    out = timed.resting_orders(land(spark, str(tmp_path / "o"), orders, order), land(spark, str(tmp_path / "b"), bars, bar), work, ["id"], "30 days", 7)
+    want = {0: at(7 * 24 + 12), 6: at(7 * 24 + 12), 13: at(20 * 24 + 17), 20: None}
+    assert {r.id: r.fill_at for r in out.collect()} == want
+    held = spark.read.format("statestore").option("path", f"{work}/resting-log").option("joinSide", "left").load()
+    assert held.select("key").distinct().count() > 1
+
+
 def test_once_only_keeps_its_keys_on_disk(spark, tmp_path):
     folder, work = str(tmp_path / "in"), str(tmp_path / "work")
     for values in (["a", "b", "a", None], ["b", "c", None], []):
