@@ -1,6 +1,8 @@
 """Range-minimum search against loops, layout by symbol without exchanges, stored models, scenarios and newest exports."""
 
 import datetime as dt
+import hashlib
+import itertools
 import random
 
 import pytest
@@ -75,6 +77,26 @@ def test_scenarios_are_seeded_and_limited(spark):
     assert all(len(set(v)) == len(v) for v in of("random", 6).values())
 
 
+def test_scenarios_are_ranked_exactly_after_bounds(spark):
+    rng = random.Random(5)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    # The last day has two symbols, fewer than places; others have crowds of equal scores and tiers.
+    rows = [(f"s{rng.randrange(3)}", k % 40 if d < 4 else k % 2, day(-k), day(d), rng.choice(["Midcap", "Largecap", None]), rng.choice([0.1, 0.9, None])) for d in range(5) for k in range(150)]
+    trades = spark.createDataFrame(rows, "scanner string, symbol long, hit_date date, entry_date date, tier string, score double")
+    made = books.scenarios(trades, [1, 3], ["tier", "score", "random"], 4)
+    got = {(r.slots, r.policy, r.seed, r.entry_date, r.place): (r.scanner, r.symbol, r.hit_date) for r in made.collect()}
+    want = {}
+    lead = {"tier": lambda r: {"Midcap": 0, "Largecap": 1}.get(r[4], 3), "score": lambda r: 9 if r[5] is None else -r[5], "random": lambda r: 0}
+    for policy, seed, d in itertools.product(lead, range(4), {r[3] for r in rows}):
+        order = sorted((r for r in rows if r[3] == d), key=lambda r: (lead[policy](r), hashlib.md5(f"{seed}|{r[0]}|{r[1]}|{r[2]}".encode()).hexdigest(), r[0]))
+        first = list({r[1]: r for r in reversed(order)}.values())
+        for place, r in enumerate(sorted(first, key=order.index)[:3], 1):
+            want |= {(n, policy, seed, d, place): r[:3] for n in (1, 3) if place <= n}
+    assert got == want
+    # Bounds of leads (twice: for the bounds of hashes, too) and of hashes cut the rows before any of them is sorted or dealt by scenario.
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 3
+
+
 def test_newest_export_opens_one_folder(spark, tmp_path):
     assert files.newest_file_rows(spark, str(tmp_path)) is None
     for name, text in (("2024-01-01.csv", "Code\nold\n"), ("notes.txt", "x")):

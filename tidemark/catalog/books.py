@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import books
 from ..plans import performance
-from ..session import cut
+from ..session import cut, stored
 from ..sources import standin
 from .base import query, with_views
 from .market import rounded
@@ -103,7 +103,7 @@ GROUP BY slots, policy, seed""".replace("FROM taken", """FROM (
 def scenario_grid(spark, sf):
     """Growth of evenly spread books under 2 x 3 x 20 orders of a day's buys."""
     by = ["slots", "policy", "seed"]
-    taken = cut(books.scenarios(trades(spark, sf), **GRID).select(*by, "entry_date", "exit_date", "ret"))
+    taken = cut(books.scenarios(stored(trades(spark, sf)), **GRID).select(*by, "entry_date", "exit_date", "ret"))
     curves = cut(books.spread_curve(taken, by))
     sizes = taken.groupBy(*by).agg(F.count(F.lit(1)).alias("trades"))
     days = curves.groupBy(*by).agg(F.count(F.lit(1)).alias("days"))

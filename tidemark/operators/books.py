@@ -27,25 +27,57 @@ def day_first(trades: DataFrame, orders: tuple[str, ...] = ("tier", "score"), sl
     return per_symbol.withColumn("place", nth).where(F.col("place") <= slots).drop("ord")
 
 
+PARTS = 8
+
+
+def _bound(rows: DataFrame, by: list[str], value: str, slots: int) -> DataFrame:
+    """Per group a bound that holds `slots` symbols at least: the `slots`-th smallest of the minima of parts of its symbols.
+
+    Parts share no symbol, so their minima belong to different ones. NULL where fewer parts have rows: nothing is cut there.
+    The bound only limits what is ranked; the ranking itself is exact.
+    """
+    part = F.pmod(F.xxhash64("symbol"), F.lit(max(PARTS, 2 * slots))).alias("__part")
+    least = rows.groupBy(*by, part).agg(F.min(value).alias("__least"))
+    return least.groupBy(*by).agg(F.get(F.sort_array(F.collect_list("__least")), F.lit(slots - 1)).alias("__bound"))
+
+
 def scenarios(trades: DataFrame, slots: list[int], policies: list[str], seeds: int) -> DataFrame:
     """The first buys of each day under every scenario of a grid: (slots, policy, seed) beside the trade, and `place`.
 
     `tier` takes tiers in order and shuffles within them, `score` the best score first (unscored trades last, shuffled),
     `random` shuffles all. A shuffle is the order of a seeded hash of the trade's name, so reruns agree. One buy per
-    symbol and day; both limits cut a scenario's rows before they are shuffled. The grid is a few dozen rows.
+    symbol and day. `trades` are read several times. Trades that no seed can reach are cut by their lead, then those that
+    a seed cannot reach by the first digits of their hash; only the few others are sorted, once for all numbers of slots.
+    The bounds have one row per day, policy and seed, so the calendar limits what is broadcast.
     """
-    grid = F.explode(F.array(*[F.struct(F.lit(n).alias("slots"), F.lit(p).alias("policy"), F.lit(s).alias("seed")) for n in slots for p in policies for s in range(seeds)]))
-    each = trades.select("*", grid.alias("g")).select(*trades.columns, "g.*")
+    most = max(slots)
+    lead = {
+        "tier": tier_priority(F.col("tier")).cast("double"), "score": F.coalesce(-F.col("score"), F.lit(float("inf"))),
+        "random": F.lit(0.0),
+    }
+    policy = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), lead[p].alias("lead")) for p in policies]))
+    each = trades.select("*", policy.alias("g")).select(*trades.columns, "g.*")
+    days = ["policy", "entry_date"]
+    edges = _bound(each, days, "lead", most).withColumnRenamed("__bound", "__edge")
+    within = F.col("__edge").isNull() | (F.col("lead") <= F.col("__edge"))
+    reached = each.join(F.broadcast(edges), days).where(within)
+
     name = F.concat_ws("|", F.col("seed").cast("string"), F.col("scanner"), F.col("symbol").cast("string"), F.col("hit_date").cast("string"))
-    lead = F.when(F.col("policy") == "tier", tier_priority(F.col("tier")).cast("double")).when(
-        F.col("policy") == "score", F.coalesce(-F.col("score"), F.lit(float("inf")))
-    ).otherwise(F.lit(0.0))
-    each = each.withColumn("ord", F.struct(lead.alias("lead"), F.md5(name).alias("h"), "scanner"))
-    scenario = ["slots", "policy", "seed", "entry_date"]
-    per_symbol = pick_per_key(each, [*scenario, "symbol"], [F.col("ord")])
+    seeded = reached.select("*", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")).withColumn("__h", F.md5(name))
+    # The first 15 hexadecimal digits order trades as the whole hash does, but for ties, which the bound keeps.
+    seeded = seeded.withColumn("__head", F.conv(F.substring("__h", 1, 15), 16, 10).cast("long"))
+    tied = F.col("lead") == F.col("__edge")
+    bounds = _bound(seeded.where(tied), [*days, "seed"], "__head", most)
+    near = seeded.join(F.broadcast(bounds), [*days, "seed"], "left")
+    kept = near.where(F.coalesce(~tied, F.lit(True)) | F.col("__bound").isNull() | (F.col("__head") <= F.col("__bound")))
+
+    kept = kept.withColumn("ord", F.struct("lead", F.col("__h").alias("h"), "scanner"))
+    scenario = ["policy", "seed", "entry_date"]
+    per_symbol = pick_per_key(kept, [*scenario, "symbol"], [F.col("ord")])
     nth = F.row_number().over(W.partitionBy(*scenario).orderBy("ord"))
-    # A literal limit lets Spark cut rows ahead of the shuffle; the scenario's own is a smaller one.
-    return per_symbol.withColumn("place", nth).where(F.col("place") <= max(slots)).where(F.col("place") <= F.col("slots")).drop("ord")
+    placed = per_symbol.withColumn("place", nth).where(F.col("place") <= most)
+    books = placed.withColumn("slots", F.explode(F.array(*[F.lit(n) for n in slots]))).where(F.col("place") <= F.col("slots"))
+    return books.select(*trades.columns, "slots", "policy", "seed", "place")
 
 
 def next_workday(day: Column) -> Column:
