@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.catalog.outcomes import RULES, closed
-from tidemark.operators import ordering, rangemin
+from tidemark.operators import ordering, rangemin, signals
 from tidemark.plans import ranker
 from tidemark.session import SETTINGS
 from tidemark.sources import standin
@@ -53,3 +53,16 @@ def test_imputation_unrolls_no_values(spark):
     finally:
         ordering.cumulative = real
     assert ranked[0] < 300
+
+
+def test_bars_with_coming_sessions_are_not_sorted_again(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        at = signals.locate(standin.signals(spark, SF), standin.bar_table(spark, SF), RULES)
+        plan = at._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    # Only the signals are sorted for the join by day.
+    assert "SortMergeJoin" in plan and sum("Sort [" in line and "__date#" in line for line in plan.splitlines()) == 1
