@@ -51,6 +51,18 @@ def test_entries_are_told_once_and_early_rows_not_read_again(spark, tmp_path):
     assert sorted((r.symbol, r.run - base) for r in held) == [(1, 2), (2, 4), (3, 4)]
 
 
+def test_symbols_share_the_groups_of_the_store(spark, tmp_path):
+    folder, work, base = str(tmp_path / "in"), str(tmp_path / "work"), first_run()
+    for spec in ({0: [None, *range(600)], 1: range(300)}, {2: [None, *range(599)], 9: [0]}):
+        got = timed.entries_once(land(spark, folder, runs(spec), SEEN), work, 6, "6 hours")
+    assert {(r.symbol, r.run - base, r.kind) for r in got.collect()} == {(x, 2, "retest") for x in [None, *range(300, 599)]}
+    # A call per group and batch, not per symbol.
+    held = spark.read.format("statestore").option("path", f"{work}/members-log").option("stateVarName", "last").load()
+    assert held.select("key").distinct().count() <= 256
+    last = timed.state_of(spark, f"{work}/members-log", 0, "last").select("key.symbol", "value.run").collect()
+    assert {r.symbol: r.run - base for r in last} == {x: 0 if x == 599 else 2 for x in [None, *range(600)]}
+
+
 def test_half_read_runs_take_entries_back(spark, tmp_path):
     folder, work, base = str(tmp_path / "in"), str(tmp_path / "work"), first_run()
     # Runs 2 and 3 are half-read beside run 1, run 5 beside run 4; run 7 comes too long after run 6 for that.

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +22,7 @@ from ..sinks.tables import exists, remove, subfolders
 from .jobs import run_to_end
 
 MONDAY = "4 days"  # from the epoch's Thursday to the first Monday
+SLOTS = 256  # of a scanner's symbols, each a group of the keyed store
 
 
 def _before(clock, delay: str) -> Column:
@@ -80,9 +80,12 @@ def routed(stream: DataFrame, work: str, at: str, until: Column, delay: str) ->
 
 
 def state_of(spark: SparkSession, checkpoint: str, operator: int = 0, variable: str | None = None) -> DataFrame:
-    """The rows that a job's store holds, by the state reader."""
+    """The rows that a job's store holds, by the state reader; a map's entries with their own key beside that of the group."""
     reader = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator)
-    return (reader.option("stateVarName", variable) if variable else reader).load()
+    held = (reader.option("stateVarName", variable) if variable else reader).load()
+    if "user_map_key" not in held.columns:
+        return held
+    return held.select(F.struct("key.*", "user_map_key.*").alias("key"), F.col("user_map_value").alias("value"))
 
 
 def weeks_once(stream: DataFrame, work: str, delay: str = "1 day") -> DataFrame:
@@ -114,18 +117,28 @@ def _run_at(hours: int, run: Column) -> Column:
 
 
 class LastRun(StatefulProcessor):
-    """Per (scanner, symbol): the last run that held it. Gives every run the one before, and keeps nothing else."""
+    """Per scanner and slot of symbols: the last run that held each symbol. Gives every run the one before, and keeps nothing else.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "run long")
+    A call costs far more than a look-up in the store, so a symbol is an entry of its slot's map and not a call of its own.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.last.get()[0] if self.last.exists() else None
-        runs = sorted(run for part in rows for run in part["run"].tolist())
-        self.last.update((runs[-1],))
-        yield pd.DataFrame(
-            {"scanner": key[0], "symbol": key[1], "run": runs, "last_run": pd.array([before, *runs[:-1]], "Int64")}
-        )
+    def __init__(self, symbol: str) -> None:
+        self.symbol = symbol
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", f"symbol {self.symbol}", "run long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        runs: dict = {}
+        for row in rows:
+            runs.setdefault(row["symbol"], []).append(row["run"])
+        for symbol, held in runs.items():
+            before = self.last.getValue((symbol,))
+            last = before[0] if before else None
+            for run in sorted(held):
+                yield Row(scanner=key[0], symbol=symbol, run=run, last_run=last)
+                last = run
+            self.last.updateValue((symbol,), (last,))
 
     def close(self) -> None:
         pass
@@ -138,10 +151,11 @@ def closed_members(in_time: DataFrame, hours: int, delay: str) -> DataFrame:
     """
     span = F.window("ts", f"{hours} hours")
     closed = in_time.withWatermark("ts", delay).groupBy(span, "scanner", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    keyed = closed.select("scanner", "symbol", _run_of(F.col("window.start"), hours).alias("run")).groupBy("scanner", "symbol")
+    slot = F.pmod(F.xxhash64("symbol"), F.lit(SLOTS)).alias("slot")
+    keyed = closed.select("scanner", slot, "symbol", _run_of(F.col("window.start"), hours).alias("run")).groupBy("scanner", "slot")
     kinds = {f.name: f.dataType.simpleString() for f in in_time.schema}
     out = f"scanner {kinds['scanner']}, symbol {kinds['symbol']}, run long, last_run long"
-    return keyed.transformWithStateInPandas(LastRun(), out, "append", "none")
+    return keyed.transformWithState(LastRun(kinds["symbol"]), out, "append", "none")
 
 
 def _told(spark: SparkSession, folder: str, shape: str) -> DataFrame:
