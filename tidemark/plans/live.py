@@ -24,35 +24,30 @@ def signal_states(signals: DataFrame, measured: DataFrame, hits: DataFrame, rule
 
     `measured` are bars with the filter measures.
     """
-    base = sig.with_tier(sig.confirmations(signals.drop("tier", "sector")), hits)
+    base = signals.drop("tier", "sector")
     snapped = asof.snap_to_session(base, measured.select("symbol", "date"))
     located = sig.locate(snapped, measured, rules, ["filter_dist", "filter_atr"], day="session_date")
-    touched = outcomes.first_touch(located, rules)
     args = (F.col("scanner"), F.col("filter_dist"), F.col("filter_atr"))
     passed = F.col("end_pos").isNull() | rules.passes(*args)
-    ridden = outcomes.barrier_exit(touched.where(passed), measured, rules)
-    fields = ["stop", "exit", "exit_date", "sell_signal", "now", "ma", "ret", "last_close", "last_date"]
-    results = ridden.select(*sig.KEY, F.col("status").alias("__result"), F.col("sessions_left").alias("__left"), *fields)
-    joined = touched.join(results, sig.KEY, "left")
-    status = (
-        F.when(F.col("end_pos").isNull(), "no prices yet")
-        .when(~passed, "skipped")
-        .otherwise(F.coalesce("__result", "status"))
-    )
+    cleared = {c: F.when(passed, F.col(c)) for c in ("entry_pos", "entry_date", "entry", "gap")}
+    touched = outcomes.first_touch(located, rules).withColumns(cleared).drop("session_date", "weekly", "start_pos")
+    # Every signal goes through the search once, and takes on tier and confirmations after it.
+    ridden = outcomes.barrier_exit(touched, measured, rules, every=True)
+    joined = sig.confirmations(sig.with_tier(ridden, hits))
+    status = F.when(F.col("end_pos").isNull(), "no prices yet").when(~passed, "skipped").otherwise(F.col("status"))
     window = rules.value(F.col("scanner"), "window")
     states = joined.withColumns(
         {
             "status": status,
             "why": F.when(~passed, rules.skip_reason(*args)),
-            "sessions_left": F.when(passed, F.coalesce("__left", "sessions_left")),
+            "sessions_left": F.when(passed, F.col("sessions_left")),
             "valid_until": F.when(
                 status == "waiting",
                 dates.add_workdays(F.col("signal_date"), window),
             ),
         }
-    ).drop("__result", "__left", "session_date")
-    cleared = {c: F.when(passed, F.col(c)) for c in ("entry_pos", "entry_date", "entry", "gap")}
-    marked = sig.mark_duplicates(states.withColumns(cleared))
+    )
+    marked = sig.mark_duplicates(states)
     again = F.col("duplicate")
     gone = {c: F.when(~again, F.col(c)) for c in [*TRADE_FIELDS, "trigger", "valid_until", "last_close", "last_date"]}
     return marked.withColumns(
@@ -61,7 +56,7 @@ def signal_states(signals: DataFrame, measured: DataFrame, hits: DataFrame, rule
             "status": F.when(again, "duplicate").otherwise(F.col("status")),
             "why": F.when(again, "a buy-stop from an earlier signal is still open").otherwise(F.col("why")),
         }
-    ).drop("duplicate", "weekly", "start_pos")
+    ).drop("duplicate")
 
 
 def is_closed() -> Column:
