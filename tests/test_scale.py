@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.catalog.outcomes import RULES, closed
-from tidemark.operators import ordering, rangemin, signals
+from tidemark.catalog.views import states_of
+from tidemark.operators import ordering, outcomes, rangemin, signals
 from tidemark.plans import ranker
 from tidemark.session import SETTINGS
 from tidemark.sources import standin
@@ -66,3 +67,39 @@ def test_bars_with_coming_sessions_are_not_sorted_again(spark):
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     # Only the signals are sorted for the join by day.
     assert "SortMergeJoin" in plan and sum("Sort [" in line and "__date#" in line for line in plan.splitlines()) == 1
+
+
+def unbroadcast_plan(spark, frame):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        return frame()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+
+
+def test_paths_are_sorted_once_and_narrow(spark):
+    plan = unbroadcast_plan(spark, lambda: closed(spark, SF))
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    # Bars before the windows, and the signals; the join takes the windows' rows as they lie.
+    assert sum("__back#" in line for line in sorts) == 2 and not any("entry_pos#" in line for line in sorts)
+
+
+def test_states_work_out_the_touch_once(spark):
+    plan = unbroadcast_plan(spark, lambda: states_of(spark, SF))
+    # Week, day, path and tier; the results of the search are not joined with the signals again.
+    assert plan.count("SortMergeJoin") == 4 and plan.count("CoGroup") == 1
+
+
+def test_signals_without_an_entry_pass_the_search_as_they_are(spark):
+    bars = standin.bar_table(spark, SF)
+    touched = outcomes.first_touch(signals.locate(standin.signals(spark, SF), bars, RULES), RULES)
+    every = {tuple(r[c] for c in signals.KEY): r.asDict() for r in outcomes.barrier_exit(touched, bars, RULES, every=True).collect()}
+    only = [r.asDict() for r in outcomes.barrier_exit(touched, bars, RULES).collect()]
+    rest = [r.asDict() for r in touched.where("entry_pos IS NULL").collect()]
+    assert only and rest and len(every) == len(only) + len(rest)
+    assert all(every[tuple(r[c] for c in signals.KEY)] == r for r in only)
+    for r in rest:
+        got = every[tuple(r[c] for c in signals.KEY)]
+        assert {c: got[c] for c in r} == r and all(got[c] is None for c in ("stop", "exit", "exit_date", "now", "ret", "last_date"))
