@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.catalog.books import curve
 from tidemark.catalog.outcomes import RULES, closed
 from tidemark.catalog.views import states_of
 from tidemark.operators import ordering, outcomes, rangemin, signals
@@ -92,6 +93,19 @@ def test_states_work_out_the_touch_once(spark):
     assert plan.count("SortMergeJoin") == 4 and plan.count("CoGroup") == 1
 
 
+def test_curves_work_out_the_trades_once(spark):
+    ran = []
+    real = rangemin.first_under
+    rangemin.first_under = lambda searches, *args: ran.append(searches.columns) or real(searches, *args)
+    try:
+        made = curve(spark, SF)
+    finally:
+        rangemin.first_under = real
+    # The search ran before the days' sums were cut, so nothing of it is left to run for the span and again for the values.
+    assert made._jdf.queryExecution().executedPlan().toString().count("CoGroup") == 0
+    assert len(ran) == 1 and "sector" not in ran[0]
+
+
 def test_signals_without_an_entry_pass_the_search_as_they_are(spark):
     bars = standin.bar_table(spark, SF)
     touched = outcomes.first_touch(signals.locate(standin.signals(spark, SF), bars, RULES), RULES)

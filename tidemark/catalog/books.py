@@ -30,7 +30,7 @@ def trades(spark, sf):
 
 
 def curve(spark, sf):
-    return books.spread_curve(closed(spark, sf).select("scanner", "entry_date", "exit_date", "ret"), ["scanner"])
+    return books.spread_curve(closed(spark, sf, told=()).select("scanner", "entry_date", "exit_date", "ret"), ["scanner"])
 
 
 @query("day_order", "W15", with_views("trades", """

@@ -25,10 +25,11 @@ def sources_of(spark, sf):
     return [exported, live]
 
 
-def closed(spark, sf):
+def closed(spark, sf, told=("tier", "sector")):
+    """Closed trades; `told` are the columns besides the key that signals carry through every step."""
     bars = standin.bar_table(spark, sf)
     measured = indicators.filter_measures(bars)
-    return outcomes.closed_trades(standin.signals(spark, sf), measured, RULES)
+    return outcomes.closed_trades(standin.signals(spark, sf).select(*sig.KEY, *told), measured, RULES)
 
 
 def holds(spark, sf):

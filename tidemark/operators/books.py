@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import dates
 from ..functions.rules import tier_priority
+from ..session import cut
 from .keys import pick_per_key
 
 
@@ -91,10 +92,11 @@ def spread_curve(trades: DataFrame, by: list[str], capital: float = config.CAPIT
 
     Each trade gains its return on the day it closes (or the next workday). Returns carry two decimals and are summed as whole
     hundredths, so the order of rows never shows. A group's curve has one row per day, so its window is bounded by the calendar.
+    The days' sums are read twice, for the span and for the values, and cut first: else each reading works out the trades again.
     """
     done = trades.withColumn("date", next_workday(F.col("exit_date")))
     cents = F.sum(F.round(F.col("ret") * 100).cast("long")).alias("cents")
-    booked = done.groupBy(*by, "date").agg(cents, F.count(F.lit(1)).alias("closed"), F.min("entry_date").alias("entered"))
+    booked = cut(done.groupBy(*by, "date").agg(cents, F.count(F.lit(1)).alias("closed"), F.min("entry_date").alias("entered")))
     spans = booked.groupBy(*by).agg(F.sum("closed").alias("n"), F.min("entered").alias("lo"), F.max("date").alias("hi"))
     days = spans.select(*by, "n", F.explode(F.sequence("lo", "hi")).alias("date")).where(dates.weekday(F.col("date")) < 5)
     so_far = F.sum("cents").over(W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0))
