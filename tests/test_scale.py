@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.books import curve
 from tidemark.catalog.outcomes import RULES, closed
+from tidemark.catalog.ranker import features
 from tidemark.catalog.views import states_of
 from tidemark.operators import ordering, outcomes, rangemin, signals
 from tidemark.plans import ranker
@@ -106,6 +107,13 @@ def test_curves_work_out_the_trades_once(spark):
     assert len(ran) == 1 and "sector" not in ran[0]
 
 
+def test_features_read_bars_as_they_lie(spark):
+    plan = unbroadcast_plan(spark, lambda: features(spark, SF))
+    # Only signals are shuffled by symbol, and indicators that are not asked for are not worked out.
+    assert plan.count("Exchange hashpartitioning(symbol#") == 1
+    assert "Window [" in plan and "__gain" not in plan and "__up#" not in plan
+
+
 def test_signals_without_an_entry_pass_the_search_as_they_are(spark):
     bars = standin.bar_table(spark, SF)
     touched = outcomes.first_touch(signals.locate(standin.signals(spark, SF), bars, RULES), RULES)
