@@ -130,6 +130,16 @@ def test_resting_orders_meet_bars_of_their_own_weeks_only(spark, tmp_path):
     assert held.select("key").distinct().count() > 1
 
 
+def test_resting_orders_open_one_store_a_task(spark, tmp_path):
+    order, bar = "id long, symbol long, placed_at timestamp, trigger double, deadline date", "symbol long, bar_at timestamp, open double, high double"
+    work = str(tmp_path / "work")
+    orders = land(spark, str(tmp_path / "o"), [(1, 1, at(18), 10.0, at(72).date())], order)
+    bars = land(spark, str(tmp_path / "b"), [(1, at(36), 9.0, 11.0)], bar)
+    assert [(r.status, r.fill) for r in timed.resting_orders(orders, bars, work, ["id"], "2 days", 7).collect()] == [("filled", 10.0)]
+    # Rows and counts of both sides share it; each used to have a store of its own.
+    assert not [d for d in os.listdir(f"{work}/resting-log/state/0/0") if d.startswith(("left", "right"))]
+
+
 def test_once_only_keeps_its_keys_on_disk(spark, tmp_path):
     folder, work = str(tmp_path / "in"), str(tmp_path / "work")
     for values in (["a", "b", "a", None], ["b", "c", None], []):
